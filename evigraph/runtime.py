@@ -58,15 +58,18 @@ def _clean_up() -> None:
             continue
 
 
-def materialize(df: DataFrame, label: str = "step") -> DataFrame:
+def materialize(df: DataFrame, label: str = "step", compact: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage like ``checkpoint()`` but runs the plan only once, keeps the data
     columnar and compressed, gives later joins real sizes, and survives the loss of
-    any executor.
+    any executor. ``compact`` deals narrow rows to one file per core first: stages of many
+    small partitions otherwise leave as many small files.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if compact:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.evigraph_path = path  # for release()
@@ -110,6 +113,7 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", os.environ.get("EVIGRAPH_PARTITIONS", "8"))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
