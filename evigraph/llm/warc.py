@@ -188,7 +188,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     revisits = marks.join(firsts, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
     # a repeated id may have several payloads, so the digest is part of the key
     ready = narrow.withColumn("digest", F.sha2("html", 256)).join(revisits, ["page_id", "digest"], "left")
-    ready = ready.select("page_id", "url", F.col("html").cast("binary").alias("payload"), "digest", "refers_to").repartition(shuffle_width(spark))
+    ready = ready.select("page_id", "url", F.col("html").cast("binary").alias("payload"), "digest", "refers_to")
     system, root = pafs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
 
@@ -216,7 +216,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made, strict=True)], names=["path", "records", "bytes"])
 
-    return materialize(ready.mapInArrow(run, "path string, records long, bytes long"), "warc-files")
+    return materialize(ready.mapInArrow(run, "path string, records long, bytes long"), "warc-files", compact=True)
 
 
 def read_archives(spark: SparkSession, files: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
@@ -246,7 +246,7 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, with_paylo
                     yield pack(rows)
 
     shape = "path string, offset long, record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string"
-    return files.select("path").repartition(shuffle_width(spark), F.xxhash64("path")).mapInArrow(run, shape + ", payload binary" * with_payload)
+    return files.select("path").repartition(shuffle_width(spark)).mapInArrow(run, shape + ", payload binary" * with_payload)
 
 
 def page_of(uri: str, kind: str) -> F.Column:
@@ -270,6 +270,7 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
             page_of("record_id", kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to", kind).alias("refers_to")
         ),
         "warc-records",
+        compact=True,
     )
     delete_path(spark, folder)  # everything that was in the archives has been read and checked
     responses = read.where("record_type = 'response'").select(
