@@ -91,6 +91,19 @@ def bound_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def hash_sample(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """At most ``limit`` rows, those of the smallest hashes of ``keys``.
+
+    The choice does not depend on the layout of ``df``. A first cut by hash leaves a few
+    times ``limit`` rows in all, so partitions send little to the final selection.
+    """
+    slots = 1 << 30
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots))
+    total = max(1, count_rows(df.select(*keys)))
+    some = df.where(slot < min(slots, slots * 4 * limit // total + 1))
+    return some.orderBy(slot, F.xxhash64(F.lit(1), *keys), *keys).limit(limit)
+
+
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
