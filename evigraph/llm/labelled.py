@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.runtime import hash_sample
+
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Documents whose labels may not be learned from."""
@@ -20,6 +22,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int) -
     """
     marks = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     marks = marks.groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # so the broadcast below has ``limit`` rows at most
+    sample = hash_sample(marks, ["doc_id"], limit)  # so the broadcast below has ``limit`` rows at most
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("doc_id", "text", "y")

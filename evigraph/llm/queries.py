@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import line_dedup, multiset_fp, quality, secrets, simhash, toxicity, warc
+from evigraph.llm import decontaminate, line_dedup, multiset_fp, packing, pii, quality, secrets, simhash, toxicity, warc
 from evigraph.runtime import table
 
 
@@ -22,6 +22,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -43,6 +55,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_quality": op2_quality,
         "op3_toxicity": op3_toxicity,
+        "op4_packing": op4_packing,
+        "op5_decontamination": op5_decontamination,
+        "op6_pii": op6_pii,
         "op7_secrets": op7_secrets,
         "op8_simhash": op8_simhash,
         "op9_fingerprints": op9_fingerprints,
@@ -51,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op4_packing": packing.oracle_sql()}

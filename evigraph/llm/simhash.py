@@ -166,3 +166,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return marks.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates, with all its columns.
+
+    Rows equal in id and text count once. Groups whose ids are all null keep all their texts.
+    """
+    classes = near_duplicates(docs, text, doc_id)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    left = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
+    return left.dropDuplicates([doc_id, text]).select(*docs.columns)

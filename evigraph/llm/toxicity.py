@@ -220,3 +220,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``THRESHOLD``, with all their columns.
+
+    The decision is made row by row, so null and repeated ids need no special care.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels).parts())
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = FactorizationMachine(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([model.probability(t) < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.runtime import bound_batches, delete_path, materialize, scratch_path, shuffle_width
+from evigraph.runtime import bound_batches, delete_path, hash_sample, materialize, scratch_path, shuffle_width
 
 MIN_REVISIT = 100
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -180,8 +180,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     narrow = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")
     )
-    kept = narrow.select(F.xxhash64("page_id").alias("h"), F.substring("html", 1, DICTIONARY_PAGE_CHARS).alias("html")).orderBy("h").limit(DICTIONARY_PAGES)
-    dictionary = fit_dictionary([r.html.encode("utf-8", "surrogatepass") for r in kept.select("html").collect()])
+    chosen = hash_sample(narrow.select("page_id"), ["page_id"], DICTIONARY_PAGES).distinct()
+    kept = narrow.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min(F.substring("html", 1, DICTIONARY_PAGE_CHARS)).alias("html"))
+    dictionary = fit_dictionary([r.html.encode("utf-8", "surrogatepass") for r in kept.orderBy("page_id").collect()])
 
     marks = narrow.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(f"n >= {MIN_REVISIT}")
     firsts = marks.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "refers_to")
