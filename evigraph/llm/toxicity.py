@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.labelled import held_out, training_rows
-from evigraph.runtime import bound_batches
+from evigraph.runtime import bound_batches, materialize, release
 
 TRAIN_DOCS = 8_000
 BUCKETS = 1 << 20
@@ -35,6 +35,8 @@ MIN_DOCS = 3
 #: So many documents must speak for a term before it gets a weight of its own.
 EVIDENCE = 2.0
 PAIRED = 512
+#: Terms whose labels deviate by fewer standard deviations from the base rate are left out.
+SCREEN_Z = 2.0
 STEPS = 200
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
@@ -192,9 +194,24 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int
 
     sample = training_rows(docs, labels, target, limit)
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.select("text", "y", "doc_id").mapInArrow(run, f"x binary, y int, doc_id {kind}").collect()
-    got.sort(key=lambda r: (str(r.doc_id), bytes(r.x)))
-    return fit_machine([np.frombuffer(r.x, dtype="<i4") for r in got], np.array([r.y for r in got], dtype=float))
+    ready = materialize(sample.select("text", "y", "doc_id").mapInArrow(run, f"x binary, y int, doc_id {kind}"), "toxicity-sample")
+    # two passes over the sample, so that the driver never holds more than the terms that may matter
+    seen, toxic, docs_, positive = np.zeros(BUCKETS, dtype=np.int32), np.zeros(BUCKETS, dtype=np.int32), 0, 0
+    for r in ready.select("x", "y").toLocalIterator():
+        at = np.frombuffer(r.x, dtype="<i4")
+        seen[at] += 1
+        toxic[at] += r.y
+        docs_, positive = docs_ + 1, positive + r.y
+    base = min(max(positive / max(docs_, 1), 1e-3), 1 - 1e-3)
+    apart = np.abs(toxic - seen * base)
+    useful = (seen >= MIN_DOCS) & (apart >= 1.0) & (apart >= SCREEN_Z * np.sqrt(seen * base * (1 - base)))
+    got = []
+    for r in ready.toLocalIterator():
+        at = np.frombuffer(r.x, dtype="<i4")
+        got.append((str(r.doc_id), at[useful[at]].copy(), r.y))
+    release(ready)
+    got.sort(key=lambda g: (g[0], g[1].tobytes()))
+    return fit_machine([x for _, x, _ in got], np.array([y for _, _, y in got], dtype=float))
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
