@@ -1 +1 @@
-
+"""Column functions: value normalizers and similarity measures."""

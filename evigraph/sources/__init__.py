@@ -1 +1 @@
-
+"""Readers, source adapters and the synthetic corpus."""
