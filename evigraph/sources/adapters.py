@@ -208,7 +208,7 @@ def ingest(spark: SparkSession, folder: str, ontology: Ontology) -> Ingested:
         if not _exists(spark, path):
             continue
         got = adapter(spark, path)
-        report[name] = spark.read.text(path).count() - (1 if name.endswith(".csv") else 0)
+        report[name] = (spark.read.option("header", True).csv(path) if name.endswith(".csv") else spark.read.text(path)).count()
         for kind, frames in got.records.items():
             for frame in frames:
                 parts.add(kind, frame)

@@ -1 +1,22 @@
+"""Incremental intake: records normalized and keyed as they arrive."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evigraph.functions.normalize import normalize
+from evigraph.ontology import EntityType
+from evigraph.operators.blocking import rule_key
+
+
+def normalized_stream(raw: DataFrame, entity: EntityType) -> DataFrame:
+    """A stream of raw records (key, source and property columns) with known properties normalized."""
+    kept = [p for p in entity.properties.values() if p.name in raw.columns]
+    return raw.select("key", "source", *[normalize(p.kind, F.col(p.name)).alias(p.name) for p in kept])
+
+
+def keyed_stream(records: DataFrame, entity: EntityType) -> DataFrame:
+    """A stream of ``(key, block)``: the blocks each arriving record falls into, to be joined with stored ones."""
+    keys = F.array(*[rule_key(r, records) for r in entity.blocking])
+    return records.select("key", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("block"))
