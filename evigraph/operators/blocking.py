@@ -22,7 +22,7 @@ def rule_key(rule: BlockingRule, records: DataFrame) -> Column:
     parts = []
     for name in rule.properties:
         value = F.try_element_at(name, F.lit(1)) if isinstance(records.schema[name].dataType, T.ArrayType) else F.col(name)
-        text = F.nullif(value.cast("string"), F.lit(""))
+        plain = text = F.nullif(value.cast("string"), F.lit(""))
         if rule.strategy == "prefix":
             text = F.substring(text, 1, rule.length)
         elif rule.strategy == "soundex":
@@ -33,7 +33,7 @@ def rule_key(rule: BlockingRule, records: DataFrame) -> Column:
         elif rule.strategy == "sorted_tokens":
             letters = F.array_sort(F.filter(F.split(F.replace(text, F.lit(" "), F.lit("")), ""), lambda c: c != ""))
             text = F.array_join(F.slice(letters, 1, rule.length), "")
-        parts.append(text)
+        parts.append(F.when(plain.isNotNull(), text))
     missing = parts[0].isNull()
     for p in parts[1:]:
         missing = missing | p.isNull()
