@@ -79,9 +79,31 @@ def plausibility(value: str) -> float:
     return min(1.0, 0.35 + 0.1 * mixed + entropy / 10 + min(len(value), 24) / 120)
 
 
+def _literals(parts: list) -> list[tuple[int, int, str]]:
+    """The literals behind an expression in order, each once, constants followed to their own.
+
+    A constant is kept as a reference to its expression, so that chains of sums take linear
+    space however often they double.
+    """
+    out, seen, stack = [], {id(parts)}, [iter(parts)]
+    while stack:
+        for p in stack[-1]:
+            if isinstance(p, tuple):
+                if p not in seen:
+                    seen.add(p)
+                    out.append(p)
+            elif id(p) not in seen:
+                seen.add(id(p))
+                stack.append(iter(p))
+                break
+        else:
+            stack.pop()
+    return out
+
+
 def lex(text: str) -> list[tuple[int, int, str, float]]:
     """``(start, end, name, score)`` of the literals that reach a sensitive name."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    known: dict[str, list] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for m in _PAIR.finditer(text):
         name, parts = m["name"], []
@@ -90,14 +112,15 @@ def lex(text: str) -> list[tuple[int, int, str, float]]:
             if raw[0] in "\"'`":
                 parts.append((at + 1, at + len(raw) - 1, raw[1:-1]))
             elif raw.rstrip(".:") in known:
-                parts.extend(known[raw.rstrip(".:")])
+                parts.append(known[raw.rstrip(".:")])
             elif raw.rstrip(".:"):
                 parts.append((at, at + len(raw.rstrip(".:")), raw.rstrip(".:")))
-        known[name] = known[name.rpartition(".")[2]] = parts[:32]
+        known[name] = known[name.rpartition(".")[2]] = parts
         weight = sensitivity(name)
         if weight:
-            whole = plausibility("".join(p[2] for p in parts))
-            for a, b, value in parts:
+            literals = _literals(parts)
+            whole = plausibility("".join(p[2] for p in literals))
+            for a, b, value in literals:
                 score = weight * max(plausibility(value), whole if len(value) >= 3 else 0.0)
                 if score >= THRESHOLD and score > best.get((a, b), (0.0, ""))[0]:
                     best[a, b] = (score, name)

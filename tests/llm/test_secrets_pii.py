@@ -74,3 +74,16 @@ def test_pii_odd_tables(odd, empty, clashing):
     rows = pii.pseudonymize(clashing).collect()
     assert len(rows) == odd.count() and {r.text for r in rows if r.doc_id in (4, 5)} == {""}
     assert pii.pseudonymize(empty).count() == 0
+
+
+def test_constants_that_double_stay_linear():
+    lines = ['c0 = "Zq8fP2"', *[f"c{i} = c{i - 1} + c{i - 1}" for i in range(1, 60)], "db_password = c59"]
+    text = "\n".join(lines)
+    at = text.index("Zq8fP2")
+    assert [(s, e) for s, e, name, _ in secrets.lex(text) if name == "db_password"] == [(at, at + 6)]
+
+
+def test_sums_of_many_constants_keep_all():
+    many = [f'part{i} = "k{i}Xw9_{i}"' for i in range(50)]
+    text = "\n".join([*many, "secret = " + " + ".join(f"part{i}" for i in range(50))])
+    assert len([x for x in secrets.lex(text) if x[2] == "secret"]) == 50
