@@ -13,6 +13,7 @@ scoring covers every line of every text.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from evigraph.llm.labelled import held_out, training_rows
 from evigraph.runtime import bound_batches
 
 TRAIN_DOCS = 8_000
-#: Lines of a training document beyond this many are left out of the fit (never of scoring).
+#: A longer training document gives the fit a stretch of this many lines from anywhere in it;
+#: scoring always takes every line.
 TRAIN_LINES = 200
 STEPS = 200
 THRESHOLD = 0.5
@@ -193,9 +195,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [document_features(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            x = [f[:TRAIN_LINES].astype("<f4").tobytes() for f, _ in made]
-            w = [n[:TRAIN_LINES].astype("<f4").tobytes() for _, n in made]
+            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            made = [document_features(t) for t in texts]
+            cuts = [(at := zlib.crc32(t) % max(1, len(n) - TRAIN_LINES + 1), at + TRAIN_LINES) for t, (_, n) in zip(texts, made, strict=True)]
+            x = [f[a:b].astype("<f4").tobytes() for (a, b), (f, _) in zip(cuts, made, strict=True)]
+            w = [n[a:b].astype("<f4").tobytes() for (a, b), (_, n) in zip(cuts, made, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(w, pa.binary()), batch.column(1), batch.column(2)], names=["x", "w", "y", "doc_id"])
 
     sample = training_rows(docs, labels, target, limit)
