@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,21 @@ def test_communities(spark):
     assert analytics.modularity(edges, labels).first().modularity == pytest.approx(2 * (6 / 13 - 0.25))
 
 
+def test_communities_of_large_components(spark):
+    """Coarsening by joins loses little modularity, and separate components are as in one graph."""
+    rng = random.Random(3)
+    ids = [f"PER-{i:02d}" for i in range(48)]
+    inside = [(a, b) for a, b in itertools.combinations(range(48), 2) if a // 8 == b // 8 and rng.random() < 0.8]
+    pairs = inside + [(i, i + 1) for i in (7, 15, 31, 39)]
+    edges, entities = edges_of(spark, [("communicated", ids[a], ids[b]) for a, b in pairs]).cache(), entities_of(spark, ids).cache()
+    whole = analytics.louvain(analytics.weighted_pairs(edges, ONTOLOGY).toPandas())
+    exact = {r.node: r.community for r in analytics.communities(entities, edges, ONTOLOGY).collect()}
+    assert {frozenset(n for n in exact if exact[n] == c) for c in exact.values()} == {frozenset(n for n in whole if whole[n] == c) for c in whole.values()}
+    coarse = analytics.communities(entities, edges, ONTOLOGY, group_pairs=20).cache()
+    best = analytics.modularity(edges, spark.createDataFrame(list(exact.items()), "node string, community string")).first().modularity
+    assert analytics.modularity(edges, coarse).first().modularity >= 0.9 * best
+
+
 def test_patterns(spark):
     pay = lambda a, b, *amounts: [("transacted", f"ACC-{a}", f"ACC-{b}", m) for m in amounts]
     rows = pay(0, 1, 1, 2, 3) + pay(1, 2, 1, 2, 3) + pay(2, 0, 1, 2, 3) + pay(2, 3, 5, 5, 5) + pay(5, 6, 9000, 9500, 9900, 8600, 100) + pay(6, 7, 9000, 9500)

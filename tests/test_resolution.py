@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from evigraph.ontology import BlockingRule, EntityType, LinkType, Ontology, PropertyDef, default_ontology
 from evigraph.operators import blocking, scoring
+from evigraph.operators.clustering import cluster
 from evigraph.operators.resolve import evaluate, find_errors, resolve_type
 
 PERSON = EntityType(
@@ -65,6 +68,20 @@ def test_veto_keeps_different_passports_apart(spark):
     assert jane.props["email"] == ["x@y.z", "w@y.z"] and jane.sources == ["s0", "s1"] and jane.confidence == pytest.approx(0.85)
 
 
+def test_rounds_of_joins_merge_as_the_strict_order_does(spark):
+    rng = random.Random(8)
+    exclusive = PropertyDef("passport", "id", 0.98, 1e-6, 1.0)
+    kind = EntityType("person", {"passport": exclusive}, (BlockingRule("p", ("passport",)),))
+    rows = spark.createDataFrame([(i, rng.choice([None, "a", "b", "c"])) for i in range(24)], "pos long, passport string").cache()
+    drawn = {tuple(sorted(rng.sample(range(24), 2))) for _ in range(40)}
+    matches = spark.createDataFrame([(a, b, float(rng.randrange(4)), a, 0) for a, b in sorted(drawn)], "l long, r long, score double, first_pos long, rule int").cache()
+    outcomes = []
+    for limit in (1000, 0):
+        clusters, vetoed = cluster(rows, matches, kind, group_pairs=limit)
+        outcomes.append(({r.pos: r.cluster for r in clusters.collect()}, {r.component: r.vetoes for r in vetoed.collect()}))
+    assert outcomes[0] == outcomes[1] and outcomes[0][1]
+
+
 def test_merge_prefers_frequent_then_long_values(spark):
     rows = people(spark, [("bo li", "1980-01-01", "1", None), ("bo q li", "1980-01-01", "1", None), ("bo li", None, "1", None)])
     props = resolve_type(rows, SMALL, "person").entities.first().props
