@@ -16,6 +16,14 @@ blocks. Distinct fingerprints (never documents) meet on each of the ten block tr
   about forty distinct members, so linking each to the smallest is linear in the bucket.
 
 Copies share a fingerprint and cost one row, however many there are.
+
+The near-dedup stage of the pipeline (``keep_one``) uses no fingerprints. Its documents link
+when the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, found
+exactly by prefix filtering: in one order of all shingles, two such sets share ``k`` of their
+first ``n // 5 + k``, with ``k = 1 + n // 20`` of the smaller set. The order is by hash with common shingles last, which changes the cost and
+never the result. Sets that share as many are compared whole, pair by pair where they meet in buckets of
+up to ``PAIR_LIMIT`` sets. In a larger bucket all are compared with a few pivots first, and then
+those that are not yet in one component with each other.
 """
 
 from __future__ import annotations
@@ -26,11 +34,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.operators.components import connected_components
-from evigraph.runtime import bound_batches, materialize
+from evigraph.runtime import bound_batches, hash_sample, materialize
 
 SEED = 42
 SHINGLE = 3
@@ -38,6 +46,12 @@ MAX_BITS = 2
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIR_LIMIT = 48
 
+#: The near-dedup stage: shingle length, and how many pivots a bucket of more than ``PAIR_LIMIT`` sets has.
+NEAR_SHINGLE = 5
+PIVOTS = 4
+#: Shingles that come last in every set: at most ``COMMON``, held by ``COMMON_LEAST`` documents of the sample or more.
+COMMON, COMMON_SAMPLE, COMMON_LEAST = 20_000, 4096, 4
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The eight bits of a byte as eight one-byte lanes of a word, bit 0 in the lowest lane.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype="<u8")
@@ -168,12 +182,136 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     )
 
 
+def shingle_set(raw: bytes | None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles of ``NEAR_SHINGLE`` words."""
+    return np.unique(np.array(shingle_hashes(raw or b"", NEAR_SHINGLE), dtype=np.uint64))
+
+
+def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def _common_shingles(named: DataFrame) -> np.ndarray:
+    """At most ``COMMON`` shingles that many documents of a sample hold, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            flat = np.concatenate(sets) if sets else np.array([], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["h"])
+
+    counts = hash_sample(named, ["doc_id"], COMMON_SAMPLE).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.sort(np.array([r.h for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def _sets(named: DataFrame, common: np.ndarray | None) -> DataFrame:
+    """``(doc_id, digest, n, head)``: the set's hash and size, and its first shingles or, without ``common``, all as bytes."""
+    bound_batches(named.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes, heads = [], [], []
+            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+                found = shingle_set(raw)
+                digests.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                sizes.append(len(found))
+                if common is None:
+                    heads.append(found.tobytes())
+                else:
+                    late = np.isin(found, common)
+                    heads.append(np.concatenate([found[~late], found[late]])[: len(found) // 5 + 1 + len(found) // 20].view(np.int64))
+            kind = pa.binary() if common is None else pa.list_(pa.int64())
+            columns = [batch.column(0), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(heads, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "head"])
+
+    key = named.schema["doc_id"].dataType.simpleString()
+    return named.mapInArrow(run, f"doc_id {key}, digest long, n int, head {'binary' if common is None else 'array<long>'}")
+
+
+def _similar(pairs: DataFrame, distinct: DataFrame, named: DataFrame) -> DataFrame:
+    """Those of the pairs ``(u, v)`` of digests whose whole sets have a Jaccard similarity of 0.8 or more."""
+    pairs = materialize(pairs, "near-pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
+    ids = materialize(distinct.join(wanted, "digest").select("digest", F.col("least").alias("doc_id")), "near-wanted")
+    texts = named.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = _sets(texts, None).join(ids.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    sets = materialize(sets.select("digest", "head"), "near-sets")
+    both = pairs.join(sets.withColumnsRenamed({"digest": "u", "head": "a"}), "u").join(sets.withColumnsRenamed({"digest": "v", "head": "b"}), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in (a, b))
+                keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near-links")
+
+
+def _meeting(left: DataFrame, right: DataFrame, once: Column) -> DataFrame:
+    """Pairs of sets in a bucket ``h`` whose sizes allow a similarity of 0.8, and in how many they meet.
+
+    Both sides have set ``x`` as a struct of digest, n and the shingles that it has in buckets
+    of the other kind, where a pair may share more than it does here.
+    """
+    u, v = F.least("x", "y"), F.greatest("x", "y")
+    sizes = (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
+    met = left.join(right.withColumnRenamed("x", "y"), "h").where(once & sizes)
+    return met.select(u.alias("u"), v.alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _enough(met: DataFrame) -> DataFrame:
+    """Pairs that may share as much of their first shingles as similar sets do."""
+    need = 1 + F.floor(F.least("u.n", "v.n") / 20)
+    return met.where(F.col("shared") + F.least("u.other", "v.other") >= need).select("u.digest", F.col("v.digest").alias("__v")).toDF("u", "v")
+
+
+def similar_links(distinct: DataFrame, named: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Edges ``(u, v)`` that connect exactly the sets with a Jaccard similarity of 0.8 or more.
+
+    ``distinct`` has one row ``(digest, least, n, head)`` for each set. Like
+    ``hamming_links``, not every similar pair is returned, but any two are joined by edges.
+    """
+    shingles = distinct.select("digest", "n", F.explode("head").alias("h"))
+    sizes = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = materialize(shingles.join(sizes, "h"), "near-met")
+    few, many = F.col("size") <= pair_limit, F.col("size") > pair_limit
+    apart = met.groupBy("digest").agg(F.count_if(few).cast("int").alias("few"), F.count_if(many).cast("int").alias("many"))
+    met = materialize(met.join(apart.where("many > 0"), "digest", "left"), "near-met")
+    member = lambda other: F.struct("digest", "n", F.coalesce(other, F.lit(0)).alias("other"))
+    small = met.where(few).select("h", member("many").alias("x"))
+    large = met.where(many).select("h", member("few").alias("x"))
+    pivots = large.groupBy("h").agg(*[F.min(F.struct(F.xxhash64("x.digest", F.lit(i)), "x")).alias(f"p{i}") for i in range(PIVOTS)])
+    pivots = pivots.select("h", F.explode(F.array_distinct(F.array(*[f"p{i}.x" for i in range(PIVOTS)]))).alias("x"))
+    pairs = _enough(_meeting(small, small, F.col("x.digest") < F.col("y.digest")))
+    stars = _meeting(large, pivots, F.col("x.digest") != F.col("y.digest")).select("u.digest", F.col("v.digest").alias("__v")).toDF("u", "v")
+    links = _similar(pairs.unionByName(stars).distinct(), distinct, named)
+    if not large.limit(1).count():
+        return links
+    parts = materialize(connected_components(links), "near-parts")
+    large = large.join(parts, F.col("x.digest") == F.col("node"), "left").select("h", "x", F.coalesce("component", "x.digest").alias("component"))
+    mixed = large.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("h")
+    open_ = materialize(large.join(mixed, "h", "left_semi"), "near-open")
+    rest = _meeting(open_.withColumnRenamed("component", "a"), open_.withColumnRenamed("component", "b"), F.col("a") < F.col("b"))
+    return links.unionByName(_similar(_enough(rest), distinct, named))
+
+
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The document with the smallest id of each group of near-duplicates, with all its columns.
 
-    Rows equal in id and text count once. Groups whose ids are all null keep all their texts.
+    Near-duplicates are documents reachable over pairs with a Jaccard similarity of
+    ``NEAR_SHINGLE``-word shingles of 0.8 or more. Rows equal in id and text count once.
+    Groups whose ids are all null keep all their texts.
     """
-    classes = near_duplicates(docs, text, doc_id)
+    named = _named(docs, text, doc_id)
+    marks = materialize(_sets(named, _common_shingles(named)), "near-marks")
+    distinct = materialize(marks.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("head").alias("head")), "near-distinct")
+    parts = connected_components(similar_links(distinct, named))
+    labelled = distinct.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("component", "digest").alias("component"))
+    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    classes = marks.select("doc_id", "digest").join(labelled.join(ids, "component").select("digest", "component_id"), "digest")
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     left = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
     return left.dropDuplicates([doc_id, text]).select(*docs.columns)

@@ -84,3 +84,52 @@ def test_keep_one_and_odd_tables(odd, empty, clashing):
     assert ids.count(1) == 1 and 2 not in ids and ids.count(6) == 1 and 4 in ids and 8 not in ids
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
     assert simhash.near_duplicates(clashing).count() == odd.count()
+
+
+def five_word_sets(rows):
+    sets = {}
+    for i, text in rows:
+        ws = text.lower().split()
+        sets[i] = {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+    return sets
+
+
+def similar_least(sets):
+    """Smallest id reachable over pairs of Jaccard similarity 0.8 or more."""
+    least = {i: i for i in sets}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                least[b] = a
+    return {find(i) for i in sets}
+
+
+def test_keep_one_finds_all_similar_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    shared, rows = " ".join(rng.choices(vocabulary, k=12)), []
+    for size, copies in ((120, 30), (400, 8), (9, 6), (60, 6), (1500, 4)) * 2:
+        base = rng.choices(vocabulary, k=size)
+        for _ in range(copies):
+            text = list(base)
+            for _ in range(rng.randint(0, max(1, size // 45))):
+                text[rng.randrange(size)] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(text)))
+    rows += [(len(rows) + k, shared + " " + " ".join(rng.choices(vocabulary, k=5 + k))) for k in range(20)]
+    sets = five_word_sets(rows)
+    want = similar_least(sets)
+    marks = {i: slow_fingerprint(t) for i, t in rows}
+    far = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and (marks[i] ^ marks[j]).bit_count() > 2]
+    assert len(far) > 50 and len(want) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit, common in ((48, 4), (3, 4), (3, 10**6)):  # pairs only, pivots with common shingles last, pivots without
+        monkeypatch.setattr(simhash, "COMMON_LEAST", common)
+        monkeypatch.setattr(simhash.similar_links, "__defaults__", (limit,))
+        assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
