@@ -618,12 +618,12 @@ def modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("communities")
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.communities(_users(spark, sf_dir), _flow_edges(spark, sf_dir, least=2), TRADE)
+    return analytics.communities(_users(spark, sf_dir), _flow_edges(spark, sf_dir), TRADE)
 
 
 @query("betweenness")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.betweenness(_users(spark, sf_dir), _flow_edges(spark, sf_dir, least=3), samples=40).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return analytics.betweenness(_users(spark, sf_dir), _flow_edges(spark, sf_dir), samples=40).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query(
