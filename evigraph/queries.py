@@ -623,7 +623,7 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("betweenness")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.betweenness(_users(spark, sf_dir), _flow_edges(spark, sf_dir), samples=40).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return analytics.betweenness(_users(spark, sf_dir), _flow_edges(spark, sf_dir)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
 
 @query(

@@ -37,3 +37,30 @@ def test_communities_use_every_edge(spark, flow, users):
         got.setdefault(r.community, set()).add(r.node)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
     assert set().union(*got.values()) == set(users)
+
+
+def test_betweenness_is_exact_up_to_the_operators_bound(spark, flow, users):
+    near = {u: [] for u in users}
+    for a, b in flow:  # edges in both directions are two ways
+        near[a].append(b)
+        near[b].append(a)
+    want = dict.fromkeys(users, 0.0)
+    for source in users:
+        paths, depth, order = Counter({source: 1.0}), {source: 0}, [source]
+        for x in order:
+            for y in near[x]:
+                if y not in depth:
+                    depth[y] = depth[x] + 1
+                    order.append(y)
+                if depth[y] == depth[x] + 1:
+                    paths[y] += paths[x]
+        delta = Counter()
+        for y in reversed(order):
+            for x in near[y]:
+                if depth[x] == depth[y] - 1:
+                    delta[x] += paths[x] / paths[y] * (1 + delta[y])
+            if y != source:
+                want[y] += delta[y]
+    n = len(users)
+    got = {r.node: r.betweenness for r in Q.queries()["betweenness"](spark, FOLDER).collect()}
+    assert got == pytest.approx({u: b / ((n - 1) * (n - 2)) for u, b in want.items()}, abs=1e-6)
