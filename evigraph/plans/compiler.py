@@ -114,4 +114,5 @@ class Engine:
         keys = []
         if q.order is not None:
             keys = [k.desc_nulls_last() if q.descending else k.asc_nulls_first() for k in sort_key(q.order)]
-        return out.orderBy(*keys, "entity_type", "ord").limit(q.limit)
+        out = out.orderBy(*keys, "entity_type", "ord")
+        return out if q.limit is None else out.limit(q.limit)

@@ -809,24 +809,24 @@ def _language(name: str, text: str, sql: str) -> None:
     query(name, sql)(run)
 
 
-_language("find_where_eq", "find person where segment = 'building' limit 1000000", f"SELECT id FROM {_PEOPLE_SQL} WHERE lower(segment) = 'building'")
-_language("find_where_ne", "find person where segment != building limit 1000000", f"SELECT id FROM {_PEOPLE_SQL} WHERE lower(segment) <> 'building'")
-_language("find_where_gt", "find person where balance > 5000 limit 1000000", f"SELECT id FROM {_PEOPLE_SQL} WHERE balance > 5000")
-_language("find_where_le", "find person where balance <= -100.5 limit 1000000", f"SELECT id FROM {_PEOPLE_SQL} WHERE balance <= -100.5")
-_language("find_where_contains", "find person where full_name ~ '00012' limit 1000000", f"SELECT id FROM {_PEOPLE_SQL} WHERE contains(name, '00012')")
-_language("find_where_missing", "find where segment != building limit 1000000", f"SELECT id FROM {_PEOPLE_SQL} WHERE lower(segment) <> 'building' UNION ALL SELECT 'S-' || s_suppkey FROM supplier UNION ALL SELECT 'N-' || n_nationkey FROM nation")
+_language("find_where_eq", "find person where segment = 'building' limit all", f"SELECT id FROM {_PEOPLE_SQL} WHERE lower(segment) = 'building'")
+_language("find_where_ne", "find person where segment != building limit all", f"SELECT id FROM {_PEOPLE_SQL} WHERE lower(segment) <> 'building'")
+_language("find_where_gt", "find person where balance > 5000 limit all", f"SELECT id FROM {_PEOPLE_SQL} WHERE balance > 5000")
+_language("find_where_le", "find person where balance <= -100.5 limit all", f"SELECT id FROM {_PEOPLE_SQL} WHERE balance <= -100.5")
+_language("find_where_contains", "find person where full_name ~ '00012' limit all", f"SELECT id FROM {_PEOPLE_SQL} WHERE contains(name, '00012')")
+_language("find_where_missing", "find where segment != building limit all", f"SELECT id FROM {_PEOPLE_SQL} WHERE lower(segment) <> 'building' UNION ALL SELECT 'S-' || s_suppkey FROM supplier UNION ALL SELECT 'N-' || n_nationkey FROM nation")
 _language(
-    "find_where_boolean", "find person where not segment = building and (balance >= 9000 or balance < 0) limit 1000000",
+    "find_where_boolean", "find person where not segment = building and (balance >= 9000 or balance < 0) limit all",
     f"SELECT id FROM {_PEOPLE_SQL} WHERE NOT lower(segment) = 'building' AND (balance >= 9000 OR balance < 0)",
 )
 _language("find_order_limit", "find person order by balance desc limit 10", f"SELECT id FROM {_PEOPLE_SQL} ORDER BY balance DESC, ord LIMIT 10")
 _language("find_order_asc", "find organization order by balance asc limit 7", "SELECT 'S-' || s_suppkey AS id FROM supplier ORDER BY s_acctbal, s_suppkey LIMIT 7")
 _language(
-    "find_where_degree", "find location where degree >= 4 limit 1000000",
+    "find_where_degree", "find location where degree >= 4 limit all",
     "SELECT 'N-' || s_nationkey AS id FROM supplier GROUP BY 1 HAVING count(*) >= 4",
 )
 _language(
-    "find_linked_via_within", "find organization linked to 'N-1' via registered_at within 1 limit 1000000",
+    "find_linked_via_within", "find organization linked to 'N-1' via registered_at within 1 limit all",
     "SELECT 'S-' || s_suppkey AS id FROM supplier WHERE s_nationkey = 1",
 )
 _language("show_query", "show S-3", "SELECT 'S-' || s_suppkey AS id FROM supplier WHERE s_suppkey = 3")

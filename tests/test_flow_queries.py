@@ -64,3 +64,9 @@ def test_betweenness_is_exact_up_to_the_operators_bound(spark, flow, users):
     n = len(users)
     got = {r.node: r.betweenness for r in Q.queries()["betweenness"](spark, FOLDER).collect()}
     assert got == pytest.approx({u: b / ((n - 1) * (n - 2)) for u, b in want.items()}, abs=1e-6)
+
+
+@pytest.mark.parametrize("name", [q for q in Q.queries() if q.startswith(("find_where_", "find_linked_"))])
+def test_find_queries_without_sql_limit_have_none(spark, name):
+    plan = Q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit" not in plan
