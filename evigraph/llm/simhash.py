@@ -17,13 +17,17 @@ blocks. Distinct fingerprints (never documents) meet on each of the ten block tr
 
 Copies share a fingerprint and cost one row, however many there are.
 
-The near-dedup stage of the pipeline (``keep_one``) uses no fingerprints. Its documents link
-when the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, found
-exactly by prefix filtering: in one order of all shingles, two such sets share ``k`` of their
-first ``n // 5 + k``, with ``k = 1 + n // 20`` of the smaller set. The order is by hash with common shingles last, which changes the cost and
-never the result. Sets that share as many are compared whole, pair by pair where they meet in buckets of
-up to ``PAIR_LIMIT`` sets. In a larger bucket all are compared with a few pivots first, and then
-those that are not yet in one component with each other.
+The near-dedup stage of the pipeline (``keep_one``) links documents whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more. Such pairs differ in about ten bits of a
+64-bit SimHash and in up to eighteen, and blocks that must agree would have three bits each:
+they select nothing. The stage keeps the scheme and changes the symbols. Its fingerprint is
+``SYMBOLS`` min-wise hashes of the set, split into blocks of ``BLOCK_SYMBOLS``; close pairs
+share a block (a pair of similarity 0.8 shares none with probability 3e-6), pairs meet on
+equal blocks, and the Hamming distance of the fingerprints' one-bit code is verified (at
+similarity 0.8 it is 16 of 160 bits on average and over ``FAR_BITS`` with probability 3e-7).
+What is left is compared exactly, set by set. No bucket is expanded into its pairs: each set
+first meets the most central one of its bucket, and only sets that this leaves in different
+components meet each other.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.operators.components import connected_components
-from evigraph.runtime import bound_batches, hash_sample, materialize
+from evigraph.runtime import bound_batches, materialize, release
 
 SEED = 42
 SHINGLE = 3
@@ -46,11 +50,10 @@ MAX_BITS = 2
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIR_LIMIT = 48
 
-#: The near-dedup stage: shingle length, and how many pivots a bucket of more than ``PAIR_LIMIT`` sets has.
+#: The near-dedup stage.
 NEAR_SHINGLE = 5
-PIVOTS = 4
-#: Shingles that come last in every set: at most ``COMMON``, held by ``COMMON_LEAST`` documents of the sample or more.
-COMMON, COMMON_SAMPLE, COMMON_LEAST = 20_000, 4096, 4
+SYMBOLS, BLOCK_SYMBOLS, FAR_BITS = 160, 5, 38
+WANTED_BITS = 1 << 23
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The eight bits of a byte as eight one-byte lanes of a word, bit 0 in the lowest lane.
@@ -187,131 +190,156 @@ def shingle_set(raw: bytes | None) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(raw or b"", NEAR_SHINGLE), dtype=np.uint64))
 
 
-def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+_DRAW = np.random.default_rng(SEED)
+_XOR, _TIMES = (_DRAW.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)[:, None] for _ in range(2))
+_TIMES |= np.uint32(1)
+_WEIGHTS = _DRAW.integers(0, 1 << 63, (SYMBOLS // BLOCK_SYMBOLS, BLOCK_SYMBOLS + 1), dtype=np.uint64) | np.uint64(1)
+_SCATTER = np.uint32(0x9E3779B1)
 
 
-def _common_shingles(named: DataFrame) -> np.ndarray:
-    """At most ``COMMON`` shingles that many documents of a sample hold, sorted."""
+def min_wise(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's block keys and its code: one bit of each of ``SYMBOLS`` min-wise hashes, as three longs."""
+    small = (found ^ (found >> np.uint64(32))).astype(np.uint32)
+    least = np.full(SYMBOLS, 0xFFFFFFFF, dtype=np.uint32)
+    for a in range(0, len(small), 1024):
+        np.minimum(least, ((small[None, a : a + 1024] ^ _XOR) * _TIMES).min(axis=1), out=least)
+    keys = (least.reshape(_WEIGHTS.shape[0], BLOCK_SYMBOLS).astype(np.uint64) * _WEIGHTS[:, 1:]).sum(axis=1, dtype=np.uint64) ^ _WEIGHTS[:, 0]
+    bits = np.zeros(192, dtype=np.uint8)
+    bits[:SYMBOLS] = (least * _SCATTER) >> np.uint32(31)
+    return keys.view(np.int64), np.packbits(bits).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            flat = np.concatenate(sets) if sets else np.array([], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["h"])
 
-    counts = hash_sample(named, ["doc_id"], COMMON_SAMPLE).mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    return np.sort(np.array([r.h for r in rows], dtype=np.int64).view(np.uint64))
+def _digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes(), SEED)
 
 
-def _sets(named: DataFrame, common: np.ndarray | None) -> DataFrame:
-    """``(doc_id, digest, n, head)``: the set's hash and size, and its first shingles or, without ``common``, all as bytes."""
+def _marks(named: DataFrame) -> DataFrame:
+    """``(doc_id, a, b, digest, n, keys, c0, c1, c2)`` per row: hash and size of its shingle set, block keys, code."""
     bound_batches(named.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, heads = [], [], []
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
+            digests, sizes, keys, codes = [], [], [], []
+            for raw in batch.column(3).cast(pa.binary()).to_pylist():
                 found = shingle_set(raw)
-                digests.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                blocks, code = min_wise(found)
+                digests.append(_digest(found))
                 sizes.append(len(found))
-                if common is None:
-                    heads.append(found.tobytes())
-                else:
-                    late = np.isin(found, common)
-                    heads.append(np.concatenate([found[~late], found[late]])[: len(found) // 5 + 1 + len(found) // 20].view(np.int64))
-            kind = pa.binary() if common is None else pa.list_(pa.int64())
-            columns = [batch.column(0), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(heads, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "head"])
+                keys.append(blocks if len(found) else blocks[:0])
+                codes.append(code)
+            code = np.array(codes, dtype=np.int64).reshape(-1, 3)
+            columns = [*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), *[pa.array(code[:, i]) for i in range(3)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "b", "digest", "n", "keys", "c0", "c1", "c2"])
 
     key = named.schema["doc_id"].dataType.simpleString()
-    return named.mapInArrow(run, f"doc_id {key}, digest long, n int, head {'binary' if common is None else 'array<long>'}")
+    return named.mapInArrow(run, f"doc_id {key}, a long, b long, digest binary, n int, keys array<long>, c0 long, c1 long, c2 long")
+
+
+def _close(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those of the pairs ``(u, v)`` whose sizes and codes allow a similarity of 0.8."""
+    side = lambda tag: facts.select(F.col("digest").alias(tag), *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "c0", "c1", "c2")])
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(_may_match("u", "v")).select("u", "v")
+
+
+def _may_match(u: str, v: str) -> Column:
+    sizes = (5 * F.col(f"{u}_n") >= 4 * F.col(f"{v}_n")) & (5 * F.col(f"{v}_n") >= 4 * F.col(f"{u}_n"))
+    apart = sum((F.bit_count(F.col(f"{u}_{c}").bitwiseXOR(F.col(f"{v}_{c}"))) for c in ("c0", "c1", "c2")), F.lit(0))
+    return sizes & (apart <= FAR_BITS)
 
 
 def _similar(pairs: DataFrame, distinct: DataFrame, named: DataFrame) -> DataFrame:
-    """Those of the pairs ``(u, v)`` of digests whose whole sets have a Jaccard similarity of 0.8 or more."""
-    pairs = materialize(pairs, "near-pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
-    ids = materialize(distinct.join(wanted, "digest").select("digest", F.col("least").alias("doc_id")), "near-wanted")
-    texts = named.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = _sets(texts, None).join(ids.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    sets = materialize(sets.select("digest", "head"), "near-sets")
-    both = pairs.join(sets.withColumnsRenamed({"digest": "u", "head": "a"}), "u").join(sets.withColumnsRenamed({"digest": "v", "head": "b"}), "v")
+    """Those of the pairs ``(u, v)`` of digests whose whole sets have a Jaccard similarity of 0.8 or more.
+
+    Sets are made again from the texts that are wanted: a bitmap of ``WANTED_BITS`` bits tells
+    most of them, whatever their number, and a join by digest the rest. They travel as
+    32-bit hashes.
+    """
+    spark = pairs.sparkSession
+    wanted = materialize(distinct.join(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct(), "digest").select("digest", "rep.a"), "near-wanted")
+    slot = F.pmod("a", F.lit(WANTED_BITS))
+    words = wanted.select(F.expr(f"pmod(a, {WANTED_BITS})").alias("slot")).groupBy(F.expr("slot div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 AS int)))").alias("bits"))
+    bitmap = np.zeros(WANTED_BITS // 32, dtype=np.uint32)
+    for r in words.collect():  # WANTED_BITS / 32 words at most
+        bitmap[r.w] = r.bits
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            some = np.flatnonzero(held[at >> 5] >> (at & 31).astype(np.uint32) & 1)
+            found = [shingle_set(x) for x in batch.column(1).take(pa.array(some)).cast(pa.binary()).to_pylist()]
+            packed = [np.unique(x.astype(np.uint32)).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array(packed, pa.binary())], names=["digest", "x"])
+
+    sets = named.select(slot.alias("slot"), "text").mapInArrow(cut, "digest binary, x binary").join(wanted.select("digest"), "digest", "left_semi")
+    sets = materialize(sets.dropDuplicates(["digest"]), "near-sets")
+    both = pairs.join(sets.withColumnsRenamed({"digest": "u", "x": "a"}), "u").join(sets.withColumnsRenamed({"digest": "v", "x": "b"}), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(c.as_buffer(), dtype=np.uint64) for c in (a, b))
+                x, y = (np.frombuffer(c.as_buffer(), dtype=np.uint32) for c in (a, b))
                 keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near-links")
-
-
-def _meeting(left: DataFrame, right: DataFrame, once: Column) -> DataFrame:
-    """Pairs of sets in a bucket ``h`` whose sizes allow a similarity of 0.8, and in how many they meet.
-
-    Both sides have set ``x`` as a struct of digest, n and the shingles that it has in buckets
-    of the other kind, where a pair may share more than it does here.
-    """
-    u, v = F.least("x", "y"), F.greatest("x", "y")
-    sizes = (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
-    met = left.join(right.withColumnRenamed("x", "y"), "h").where(once & sizes)
-    return met.select(u.alias("u"), v.alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
-
+    links = materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary"), "near-links", compact=True)
+    shared.destroy()
+    release(sets)
+    release(wanted)
+    return links
 
-def _enough(met: DataFrame) -> DataFrame:
-    """Pairs that may share as much of their first shingles as similar sets do."""
-    need = 1 + F.floor(F.least("u.n", "v.n") / 20)
-    return met.where(F.col("shared") + F.least("u.other", "v.other") >= need).select("u.digest", F.col("v.digest").alias("__v")).toDF("u", "v")
 
+def similar_links(distinct: DataFrame, named: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` that connect the sets with a Jaccard similarity of 0.8 or more, and no others.
 
-def similar_links(distinct: DataFrame, named: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Edges ``(u, v)`` that connect exactly the sets with a Jaccard similarity of 0.8 or more.
-
-    ``distinct`` has one row ``(digest, least, n, head)`` for each set. Like
+    ``distinct`` has one row ``(digest, rep, n, keys, c0, c1, c2)`` for each set. Like
     ``hamming_links``, not every similar pair is returned, but any two are joined by edges.
     """
-    shingles = distinct.select("digest", "n", F.explode("head").alias("h"))
-    sizes = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = materialize(shingles.join(sizes, "h"), "near-met")
-    few, many = F.col("size") <= pair_limit, F.col("size") > pair_limit
-    apart = met.groupBy("digest").agg(F.count_if(few).cast("int").alias("few"), F.count_if(many).cast("int").alias("many"))
-    met = materialize(met.join(apart.where("many > 0"), "digest", "left"), "near-met")
-    member = lambda other: F.struct("digest", "n", F.coalesce(other, F.lit(0)).alias("other"))
-    small = met.where(few).select("h", member("many").alias("x"))
-    large = met.where(many).select("h", member("few").alias("x"))
-    pivots = large.groupBy("h").agg(*[F.min(F.struct(F.xxhash64("x.digest", F.lit(i)), "x")).alias(f"p{i}") for i in range(PIVOTS)])
-    pivots = pivots.select("h", F.explode(F.array_distinct(F.array(*[f"p{i}.x" for i in range(PIVOTS)]))).alias("x"))
-    pairs = _enough(_meeting(small, small, F.col("x.digest") < F.col("y.digest")))
-    stars = _meeting(large, pivots, F.col("x.digest") != F.col("y.digest")).select("u.digest", F.col("v.digest").alias("__v")).toDF("u", "v")
-    links = _similar(pairs.unionByName(stars).distinct(), distinct, named)
-    if not large.limit(1).count():
-        return links
+    rows = distinct.select("digest", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = materialize(rows.join(sizes, "key").select("key", "digest", "size"), "near-met", compact=True)
+    facts = materialize(distinct.select("digest", "n", "c0", "c1", "c2").join(met.select("digest").distinct(), "digest"), "near-facts", compact=True)
+    # the set with the most company is the likeliest to be similar to all others of its buckets
+    weight = met.groupBy("digest").agg(F.sum("size").alias("weight"))
+    centre = met.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest"))["digest"].alias("centre"))
+    stars = met.join(centre, "key").where("digest <> centre").select(F.least("digest", "centre").alias("u"), F.greatest("digest", "centre").alias("v")).distinct()
+    tried = materialize(_close(stars, facts), "near-stars", compact=True)
+    links = _similar(tried, distinct, named)
     parts = materialize(connected_components(links), "near-parts")
-    large = large.join(parts, F.col("x.digest") == F.col("node"), "left").select("h", "x", F.coalesce("component", "x.digest").alias("component"))
-    mixed = large.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("h")
-    open_ = materialize(large.join(mixed, "h", "left_semi"), "near-open")
-    rest = _meeting(open_.withColumnRenamed("component", "a"), open_.withColumnRenamed("component", "b"), F.col("a") < F.col("b"))
-    return links.unionByName(_similar(_enough(rest), distinct, named))
+    named_met = met.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
+    mixed = named_met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    open_ = materialize(named_met.join(mixed, "key", "left_semi").join(facts, "digest"), "near-open", compact=True)
+    side = lambda tag: open_.select("key", *[F.col(c).alias(f"{tag}_{c}") for c in ("digest", "component", "n", "c0", "c1", "c2")])
+    rest = side("l").join(side("r"), "key").where((F.col("l_component") < F.col("r_component")) & _may_match("l", "r"))
+    rest = rest.select(F.least("l_digest", "r_digest").alias("u"), F.greatest("l_digest", "r_digest").alias("v")).distinct()
+    rest = materialize(rest.join(tried, ["u", "v"], "left_anti"), "near-rest", compact=True)
+    for done in (met, tried, parts, open_, facts):
+        release(done)
+    more = _similar(rest, distinct, named)
+    release(rest)
+    return links.unionByName(more)
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates, with all its columns.
+    """One document of each group of near-duplicates, with all its columns.
 
     Near-duplicates are documents reachable over pairs with a Jaccard similarity of
-    ``NEAR_SHINGLE``-word shingles of 0.8 or more. Rows equal in id and text count once.
-    Groups whose ids are all null keep all their texts.
+    ``NEAR_SHINGLE``-word shingles of 0.8 or more; texts that differ only in case or white
+    space, and null and empty texts, are equal. The smallest id stays, null ids last; of texts
+    that share it, the one of the smallest hash. Rows equal in id and text count once.
     """
-    named = _named(docs, text, doc_id)
-    marks = materialize(_sets(named, _common_shingles(named)), "near-marks")
-    distinct = materialize(marks.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("head").alias("head")), "near-distinct")
-    parts = connected_components(similar_links(distinct, named))
-    labelled = distinct.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "least", F.coalesce("component", "digest").alias("component"))
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = marks.select("doc_id", "digest").join(labelled.join(ids, "component").select("digest", "component_id"), "digest")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    left = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
-    return left.dropDuplicates([doc_id, text]).select(*docs.columns)
+    whole = F.col(text).cast("string")
+    key = {"__a": F.xxhash64(F.col(doc_id), whole, F.col(doc_id).isNull()), "__b": F.xxhash64(F.lit(SEED), whole, F.col(doc_id))}
+    named = docs.select(F.col(doc_id).alias("doc_id"), key["__a"].alias("a"), key["__b"].alias("b"), whole.alias("text"))
+    marks = materialize(_marks(named), "near-marks")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("rep")
+    distinct = materialize(marks.groupBy("digest").agg(rep, *[F.first(c).alias(c) for c in ("n", "keys", "c0", "c1", "c2")]), "near-distinct")
+    release(marks)
+    links = similar_links(distinct, named)
+    parts = connected_components(links)
+    labelled = distinct.select("digest", "rep").join(parts.withColumnRenamed("node", "digest"), "digest", "left")
+    kept = materialize(labelled.groupBy(F.coalesce("component", "digest").alias("c")).agg(F.min("rep").alias("rep")).select(F.col("rep.a").alias("__a"), F.col("rep.b").alias("__b")), "near-kept")
+    release(distinct)
+    return docs.withColumns(key).join(kept, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select(*docs.columns)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 from evigraph.llm import simhash
 
@@ -129,7 +130,29 @@ def test_keep_one_finds_all_similar_pairs(spark, monkeypatch):
     far = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and (marks[i] ^ marks[j]).bit_count() > 2]
     assert len(far) > 50 and len(want) < len(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for limit, common in ((48, 4), (3, 4), (3, 10**6)):  # pairs only, pivots with common shingles last, pivots without
-        monkeypatch.setattr(simhash, "COMMON_LEAST", common)
-        monkeypatch.setattr(simhash.similar_links, "__defaults__", (limit,))
-        assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+    # without the central sets the members of a bucket still meet each other
+    monkeypatch.setattr(simhash, "_close", lambda pairs, facts: pairs.limit(0))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+
+
+def test_min_wise_blocks_meet_and_codes_are_near():
+    rng = np.random.default_rng(5)
+    far = []
+    for n in (1, 4, 9, 60, 3000):
+        for _ in range(100):
+            shared = rng.integers(0, 1 << 63, n * 8 // 9 + 1, dtype=np.uint64)
+            one, two = (np.unique(np.concatenate([shared, rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)])) for _ in range(2))
+            (k, c), (j, d) = simhash.min_wise(one), simhash.min_wise(two)
+            assert (k == j).any()
+            far.append(sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(c.tolist(), d.tolist(), strict=True)))
+    assert max(far) <= simhash.FAR_BITS
+
+
+def test_keep_one_with_repeated_ids_and_nulls(spark):
+    words = "one two three four five six seven eight nine ten"
+    other = "red orange yellow green blue indigo violet black white gray"
+    rows = [(1, words), (1, words), (1, other), (2, words.upper()), (3, other + " "), (None, "alpha beta"), (None, "alpha  beta"), (None, None), (4, ""), (5, "gamma")]
+    kept = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 5 and (1, words) in kept and (1, other) in kept and (4, "") in kept and (5, "gamma") in kept
+    assert sum(i is None for i, _ in kept) == 1
