@@ -26,8 +26,8 @@ share a block (a pair of similarity 0.8 shares none with probability 3e-6), pair
 equal blocks, and the Hamming distance of the fingerprints' one-bit code is verified (at
 similarity 0.8 it is 16 of 160 bits on average and over ``FAR_BITS`` with probability 3e-7).
 What is left is compared exactly, set by set. No bucket is expanded into its pairs: each set
-first meets the most central one of its bucket, and only sets that this leaves in different
-components meet each other.
+first meets the most central one of its bucket, and what this leaves in different components
+is compared part by part within tasks, which return links alone.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ PAIR_LIMIT = 48
 NEAR_SHINGLE = 5
 SYMBOLS, BLOCK_SYMBOLS, FAR_BITS = 160, 5, 38
 WANTED_BITS = 1 << 23
+GROUP, PART = 4096, 256
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The eight bits of a byte as eight one-byte lanes of a word, bit 0 in the lowest lane.
@@ -247,23 +248,20 @@ def _may_match(u: str, v: str) -> Column:
     return sizes & (apart <= FAR_BITS)
 
 
-def _similar(pairs: DataFrame, distinct: DataFrame, named: DataFrame) -> DataFrame:
-    """Those of the pairs ``(u, v)`` of digests whose whole sets have a Jaccard similarity of 0.8 or more.
+def _sets(wanted: DataFrame, named: DataFrame) -> DataFrame:
+    """``(digest, x)``: the sets of the digests in ``wanted`` as sorted 32-bit hashes.
 
-    Sets are made again from the texts that are wanted: a bitmap of ``WANTED_BITS`` bits tells
-    most of them, whatever their number, and a join by digest the rest. They travel as
-    32-bit hashes.
+    Sets are made again from the texts that are wanted, which have the hashes ``a``: a bitmap
+    of ``WANTED_BITS`` bits tells most of them, whatever their number, a join by digest the rest.
     """
-    spark = pairs.sparkSession
-    wanted = materialize(distinct.join(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct(), "digest").select("digest", "rep.a"), "near-wanted")
     slot = F.pmod("a", F.lit(WANTED_BITS))
     words = wanted.select(F.expr(f"pmod(a, {WANTED_BITS})").alias("slot")).groupBy(F.expr("slot div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 AS int)))").alias("bits"))
     bitmap = np.zeros(WANTED_BITS // 32, dtype=np.uint32)
     for r in words.collect():  # WANTED_BITS / 32 words at most
         bitmap[r.w] = r.bits
-    shared = spark.sparkContext.broadcast(bitmap)
+    shared = named.sparkSession.sparkContext.broadcast(bitmap)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
             at = batch.column(0).to_numpy()
@@ -272,8 +270,14 @@ def _similar(pairs: DataFrame, distinct: DataFrame, named: DataFrame) -> DataFra
             packed = [np.unique(x.astype(np.uint32)).tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array(packed, pa.binary())], names=["digest", "x"])
 
-    sets = named.select(slot.alias("slot"), "text").mapInArrow(cut, "digest binary, x binary").join(wanted.select("digest"), "digest", "left_semi")
+    sets = named.select(slot.alias("slot"), "text").mapInArrow(run, "digest binary, x binary").join(wanted.select("digest"), "digest", "left_semi")
     sets = materialize(sets.dropDuplicates(["digest"]), "near-sets")
+    shared.destroy()
+    return sets
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``(u, v)`` of digests whose whole sets have a Jaccard similarity of 0.8 or more."""
     both = pairs.join(sets.withColumnsRenamed({"digest": "u", "x": "a"}), "u").join(sets.withColumnsRenamed({"digest": "v", "x": "b"}), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +288,68 @@ def _similar(pairs: DataFrame, distinct: DataFrame, named: DataFrame) -> DataFra
                 keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    links = materialize(both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary"), "near-links", compact=True)
-    shared.destroy()
-    release(sets)
-    release(wanted)
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+
+
+def _joined(ids: list[bytes], labels: list[bytes], sets: list[np.ndarray], left: list[int], right: list[int]) -> list[tuple[bytes, bytes]]:
+    """Links between sets of different labels, one where several would join the same; each of ``left`` meets the ``right`` after it."""
+    root = {x: x for x in labels}
+
+    def find(x: bytes) -> bytes:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    sizes = np.array([len(sets[j]) for j in right])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    names, places = np.unique(np.concatenate([sets[j] for j in right]), return_inverse=True)
+    here, links = np.zeros(len(names) + 1, dtype=np.int32), []
+    for k, i in enumerate(left):
+        at = np.minimum(np.searchsorted(names, sets[i]), len(names) - 1)
+        at = at[names[at] == sets[i]]
+        here[at] = 1
+        shared = np.add.reduceat(here[places], starts)
+        here[at] = 0
+        for m in np.flatnonzero(9 * shared >= 4 * (sizes + len(sets[i]))):
+            j = right[m]
+            if (left is not right or m > k) and (a := find(labels[i])) != (b := find(labels[j])):
+                root[b] = a
+                links.append((ids[i], ids[j]))
+    return links
+
+
+def _across(open_: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets of different components that share a block.
+
+    ``open_`` has key, digest and component. Sets that hang together by blocks are one group
+    or, where these are more than ``GROUP``, those of each block are. A group is dealt into
+    parts of about ``PART`` sets, and each two parts meet in one task that compares whole
+    sets and returns links only. Where a block has many components of sets that are less than
+    similar, this costs the square of its size.
+    """
+    held = open_.select("digest").distinct()
+    ends = stars.join(held.withColumnRenamed("digest", "u"), "u", "left_semi").join(held.withColumnRenamed("digest", "v"), "v", "left_semi")
+    whole = materialize(connected_components(ends).withColumnRenamed("node", "digest").withColumnRenamed("component", "g"), "near-groups")
+    sizes = whole.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    fit = whole.join(sizes.where(F.col("size") <= GROUP), "g")
+    small = open_.select("digest", "component").distinct().join(fit, "digest").select("g", "digest", "component", "size")
+    rest = open_.join(fit.select("digest"), "digest", "left_anti").select(F.encode(F.col("key").cast("string"), "utf-8").alias("g"), "digest", "component")
+    large = rest.join(rest.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "g").select("g", "digest", "component", "size")
+    dealt = small.unionByName(large).withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    met = dealt.select("g", "digest", "component", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select("g", "digest", "component", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, labels, parts = (group.column(c).to_pylist() for c in ("digest", "component", "p"))
+        found = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in group.column("x")]
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = ([k for k, p in enumerate(parts) if p == x] for x in (i, j))
+        links = _joined(ids, labels, found, left, left if i == j else right) if left and right else []
+        return pa.table({"u": pa.array([u for u, _ in links], pa.binary()), "v": pa.array([v for _, v in links], pa.binary())})
+
+    links = materialize(met.join(sets, "digest").groupBy("g", "i", "j").applyInArrow(run, "u binary, v binary"), "near-links", compact=True)
+    release(whole)
     return links
 
 
@@ -300,25 +362,21 @@ def similar_links(distinct: DataFrame, named: DataFrame) -> DataFrame:
     rows = distinct.select("digest", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = materialize(rows.join(sizes, "key").select("key", "digest", "size"), "near-met", compact=True)
-    facts = materialize(distinct.select("digest", "n", "c0", "c1", "c2").join(met.select("digest").distinct(), "digest"), "near-facts", compact=True)
     # the set with the most company is the likeliest to be similar to all others of its buckets
     weight = met.groupBy("digest").agg(F.sum("size").alias("weight"))
     centre = met.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest"))["digest"].alias("centre"))
     stars = met.join(centre, "key").where("digest <> centre").select(F.least("digest", "centre").alias("u"), F.greatest("digest", "centre").alias("v")).distinct()
-    tried = materialize(_close(stars, facts), "near-stars", compact=True)
-    links = _similar(tried, distinct, named)
-    parts = materialize(connected_components(links), "near-parts")
-    named_met = met.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
-    mixed = named_met.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_ = materialize(named_met.join(mixed, "key", "left_semi").join(facts, "digest"), "near-open", compact=True)
-    side = lambda tag: open_.select("key", *[F.col(c).alias(f"{tag}_{c}") for c in ("digest", "component", "n", "c0", "c1", "c2")])
-    rest = side("l").join(side("r"), "key").where((F.col("l_component") < F.col("r_component")) & _may_match("l", "r"))
-    rest = rest.select(F.least("l_digest", "r_digest").alias("u"), F.greatest("l_digest", "r_digest").alias("v")).distinct()
-    rest = materialize(rest.join(tried, ["u", "v"], "left_anti"), "near-rest", compact=True)
-    for done in (met, tried, parts, open_, facts):
+    stars = materialize(stars, "near-stars", compact=True)
+    facts = materialize(distinct.select("digest", "rep.a", "n", "c0", "c1", "c2").join(met.select("digest").distinct(), "digest"), "near-facts", compact=True)
+    sets = _sets(facts.select("digest", "a"), named)
+    links = materialize(_similar(_close(stars, facts), sets), "near-links", compact=True)
+    parts = materialize(connected_components(links), "near-parts", compact=True)
+    labelled = met.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    open_ = materialize(labelled.join(mixed, "key", "left_semi"), "near-open", compact=True)
+    more = _across(open_, stars, sets)
+    for done in (met, stars, parts, open_, facts, sets):
         release(done)
-    more = _similar(rest, distinct, named)
-    release(rest)
     return links.unionByName(more)
 
 
