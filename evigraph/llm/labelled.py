@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.runtime import hash_sample
+from evigraph.runtime import bound_batches, hash_sample
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -25,3 +27,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int) -
     sample = hash_sample(marks, ["doc_id"], limit)  # so the broadcast below has ``limit`` rows at most
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("doc_id", "text", "y")
+
+
+def fit_in_one_task(sample: DataFrame, features: Callable, shape: str, fit: Callable) -> bytes | None:
+    """The model that ``fit`` yields from the features of a bounded sample, in order of doc_id.
+
+    Features are made where the texts are; the fit takes the memory of an executor's worker
+    instead of the driver's, is repeated if that executor is lost, and gives one row
+    ``model``. None if there is no row to learn from.
+    """
+    bound_batches(sample.sparkSession)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    made = sample.select("text", "y", "doc_id").mapInArrow(features, f"{shape}, y int, doc_id {kind}")
+    row = made.repartition(1).sortWithinPartitions("doc_id").mapInArrow(fit, "model binary").first()
+    return bytes(row.model) if row else None

@@ -13,7 +13,7 @@ scoring covers every line of every text.
 from __future__ import annotations
 
 import math
-import zlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.labelled import held_out, training_rows
+from evigraph.llm.labelled import fit_in_one_task, held_out, training_rows
 from evigraph.runtime import bound_batches
 
 TRAIN_DOCS = 8_000
-#: A longer training document gives the fit a stretch of this many lines from anywhere in it;
-#: scoring always takes every line.
-TRAIN_LINES = 200
 STEPS = 200
 THRESHOLD = 0.5
 OWN = 12
@@ -155,7 +152,8 @@ def fit_field(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> LineF
         share = min(max(share, 0.01), 0.99)
         return LineField(np.zeros(width), np.ones(width), np.zeros(width), 0.0, np.zeros((2, 2)), (0.0, math.log(share / (1 - share))))
     flat = np.concatenate([x for x, _ in docs])
-    mean, scale = flat.mean(axis=0), flat.std(axis=0) + 1e-3
+    mean, scale = flat.mean(axis=0, dtype=float), flat.std(axis=0, dtype=float) + 1e-3
+    del flat
     xs = [(x - mean) / scale for x, _ in docs]
     blocks = [(b, s, np.concatenate([xs[i] for i in b]), np.arange(s.max())[None, :] < s[:, None]) for b, s in _padded(xs)]
     theta = np.zeros(width + 1 + 4)
@@ -191,23 +189,26 @@ def fit_field(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> LineF
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: int = TRAIN_DOCS) -> LineField:
-    bound_batches(docs.sparkSession)
+    """Fit in one executor task on every line of at most ``limit`` documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [document_features(t or b"") for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            x, w = ([f[i].astype("<f4").tobytes() for f in made] for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(w, pa.binary()), *batch.columns[1:]], names=["x", "w", "y", "doc_id"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, y = [], []
         for batch in batches:
-            texts = [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            made = [document_features(t) for t in texts]
-            cuts = [(at := zlib.crc32(t) % max(1, len(n) - TRAIN_LINES + 1), at + TRAIN_LINES) for t, (_, n) in zip(texts, made, strict=True)]
-            x = [f[a:b].astype("<f4").tobytes() for (a, b), (f, _) in zip(cuts, made, strict=True)]
-            w = [n[a:b].astype("<f4").tobytes() for (a, b), (_, n) in zip(cuts, made, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(w, pa.binary()), batch.column(1), batch.column(2)], names=["x", "w", "y", "doc_id"])
-
-    sample = training_rows(docs, labels, target, limit)
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sample.select("text", "y", "doc_id").mapInArrow(run, f"x binary, w binary, y int, doc_id {kind}").collect()
-    got.sort(key=lambda r: (str(r.doc_id), bytes(r.x)))
-    made = [(np.frombuffer(r.x, "<f4").reshape(-1, 3 * OWN + 2).astype(float), np.frombuffer(r.w, "<f4").astype(float)) for r in got]
-    return fit_field(made, np.array([r.y for r in got], dtype=float))
+            for x, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                made.append((np.frombuffer(x, "<f4").reshape(-1, 3 * OWN + 2), np.frombuffer(w, "<f4")))
+            y += batch.column(2).to_pylist()
+        field = fit_field(made, np.array(y, dtype=float))
+        parts = (field.mean, field.scale, field.weights, field.bias, field.move, field.curve)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(parts)], pa.binary())], names=["model"])
+
+    blob = fit_in_one_task(training_rows(docs, labels, target, limit), features, "x binary, w binary", fit)
+    return LineField(*pickle.loads(blob)) if blob else fit_field([], np.zeros(0))
 
 
 def score(docs: DataFrame, field: LineField, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

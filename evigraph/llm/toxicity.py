@@ -8,14 +8,18 @@ longer words, so that inflected forms of one stem share terms. Each term is hash
 
 over the features present: besides a weight for each term it learns a vector for each, and
 the products of the vectors say how much two terms mean together (an insult with a group
-mention) beyond what they mean alone. An L1 fit chooses the weights and vectors go to few
-terms, so most features are exactly zero and scoring a document looks at few. The fit takes at most ``TRAIN_DOCS`` labelled documents, none held
-out; scoring covers every whole text.
+mention) beyond what they mean alone. No term is left out for meaning nothing alone: an L1
+fit over all terms chooses weights, every pair of stems in a document is then tallied with
+what that fit leaves unexplained, and both the weighted terms and the members of pairs
+with evidence get weights and vectors, fitted together. Most features stay exactly zero, so
+scoring a document looks at few. The fit takes at most ``TRAIN_DOCS`` labelled documents,
+none held out, and runs in one executor task; scoring covers every whole text.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.labelled import held_out, training_rows
-from evigraph.runtime import bound_batches, materialize, release
+from evigraph.llm.labelled import fit_in_one_task, held_out, training_rows
+from evigraph.runtime import bound_batches
 
 TRAIN_DOCS = 8_000
 BUCKETS = 1 << 20
@@ -34,9 +38,10 @@ FACTORS = 4
 MIN_DOCS = 3
 #: So many documents must speak for a term before it gets a weight of its own.
 EVIDENCE = 2.0
-PAIRED = 512
-#: Terms whose labels deviate by fewer standard deviations from the base rate are left out.
-SCREEN_Z = 2.0
+#: And so many deviations of what chance would give it.
+CHANCE = 3.0
+#: Evidence a pair of stems needs: documents whose labels the weights leave unexplained, and deviations.
+PAIR_EVIDENCE, PAIR_Z = 10.0, 6.0
 STEPS = 200
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
@@ -54,6 +59,11 @@ def word_features(word: str) -> list[int]:
     return [_hash(word), *[_hash(f"^{word[:n]}") for n in PREFIXES if len(word) > n]]
 
 
+def stem_feature(word: str) -> int:
+    """The feature that the inflected forms of a word share."""
+    return _hash(f"^{word[: PREFIXES[-1]]}") if len(word) > PREFIXES[-1] else _hash(word)
+
+
 def text_words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
@@ -91,8 +101,8 @@ class FactorizationMachine:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.margin(text or ""), -30, 30))))
 
 
-def _lasso(flat: np.ndarray, row: np.ndarray, n: int, y: np.ndarray, penalty: float, rounds: int = 12, grow: int = 96) -> tuple[float, np.ndarray, np.ndarray]:
-    """Logistic regression with an L1 penalty by a growing working set: bias, features, weights."""
+def _lasso(flat: np.ndarray, row: np.ndarray, n: int, y: np.ndarray, penalty: np.ndarray, rounds: int = 12, grow: int = 96) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic regression with an L1 penalty (of each feature) by a growing working set: bias, features, weights."""
     docs = len(y)
     base = y.mean()
     bias, active, w = float(np.log(base / (1 - base))), np.zeros(0, dtype=np.int64), np.zeros(0)
@@ -101,10 +111,11 @@ def _lasso(flat: np.ndarray, row: np.ndarray, n: int, y: np.ndarray, penalty: fl
         off = 1 / (1 + np.exp(-margin)) - y
         slope = np.bincount(flat, off[row], n) / docs
         slope[active] = 0
-        fresh = np.flatnonzero(np.abs(slope) > penalty)
+        excess = np.abs(slope) - penalty
+        fresh = np.flatnonzero(excess > 0)
         if not len(fresh):
             break
-        fresh = fresh[np.argsort(-np.abs(slope[fresh]), kind="stable")[:grow]]
+        fresh = fresh[np.argsort(-excess[fresh], kind="stable")[:grow]]
         active, w = np.concatenate([active, fresh]), np.concatenate([w, np.zeros(len(fresh))])
         where = np.full(n, -1)
         where[active] = np.arange(len(active))
@@ -121,7 +132,7 @@ def _lasso(flat: np.ndarray, row: np.ndarray, n: int, y: np.ndarray, penalty: fl
         for _ in range(150):
             off = 1 / (1 + np.exp(-np.clip(x @ z + zb, -30, 30))) - y
             step = z - rate * (x.T @ off) / docs
-            new = np.sign(step) * np.maximum(0, np.abs(step) - rate * penalty)
+            new = np.sign(step) * np.maximum(0, np.abs(step) - rate * penalty[active])
             new_b = zb - rate * off.mean()
             ahead = (1 + math.sqrt(1 + 4 * push * push)) / 2
             z, zb = new + (push - 1) / ahead * (new - now), new_b + (push - 1) / ahead * (new_b - old_b)
@@ -132,12 +143,55 @@ def _lasso(flat: np.ndarray, row: np.ndarray, n: int, y: np.ndarray, penalty: fl
     return bias, active, w
 
 
-def fit_machine(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> FactorizationMachine:
-    """Fit on documents given as arrays of distinct feature numbers.
+def paired_terms(stems: list[np.ndarray], left: np.ndarray, least: float = PAIR_EVIDENCE, least_z: float = PAIR_Z) -> np.ndarray:
+    """Stems of the pairs whose documents the residuals ``left`` favour or disfavour clearly.
 
-    An L1 fit of the linear part, whose penalty is the evidence of ``EVIDENCE`` documents,
-    finds the terms that matter alone. Vectors are given to those and to the ``PAIRED`` terms
-    of the largest marginal z, and all parameters are then fitted together.
+    A pair counts when the residuals of the documents that hold both sum to ``least`` or more
+    and to ``least_z`` deviations of their sum. A stem whose own documents have less in all
+    has no such pair; the sums of all other pairs are products of matrices, some at a time.
+    """
+    everything = np.concatenate(stems) if stems else np.zeros(0, dtype=np.int64)
+    names, where = np.unique(everything, return_inverse=True)
+    row = np.repeat(np.arange(len(stems)), [len(s) for s in stems])
+    weight = left[row]
+    size = len(names)
+    most = np.maximum(np.bincount(where, np.maximum(weight, 0), size), np.bincount(where, np.maximum(-weight, 0), size))
+    able = (most >= least) & (np.bincount(where, minlength=size) >= least_z * least_z)
+    if not able.any():
+        return names[:0]
+    column = np.where(able, np.cumsum(able) - 1, -1)[where]
+    row, column, names = row[column >= 0], column[column >= 0], names[able]
+    wide, docs, found = len(names), len(stems), np.zeros(int(able.sum()), dtype=bool)
+    cuts = np.searchsorted(row, np.arange(0, docs + 1024, 1024))
+
+    def product(a: int, b: int, scale: np.ndarray) -> np.ndarray:
+        """Sums of ``scale`` over the documents that hold both a column of a..b and any later one."""
+        total = np.zeros((b - a, wide - a), dtype=np.float32)
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            r, c = row[lo:hi] - 1024 * k, column[lo:hi] - a
+            x = np.zeros((1024, wide - a), dtype=np.float32)
+            x[r[c >= 0], c[c >= 0]] = 1
+            part = scale[1024 * k : 1024 * (k + 1)]
+            total += (x[: len(part), : b - a] * part[:, None]).T @ x[: len(part)]
+        return total
+
+    for a in range(0, wide, 512):
+        b = min(wide, a + 512)
+        total = np.abs(product(a, b, left.astype(np.float32)))
+        total[np.arange(b - a), np.arange(b - a)] = 0
+        if (total >= least).any():
+            clear = (total >= least) & (total >= least_z * np.sqrt(product(a, b, (left**2).astype(np.float32))))
+            found[a:b] |= clear.any(axis=1)
+            found[a:] |= clear.any(axis=0)
+    return names[found]
+
+
+def fit_machine(rows: list[np.ndarray], y: np.ndarray, stems: list[np.ndarray] | None = None, seed: int = 7) -> FactorizationMachine:
+    """Fit on documents given as arrays of distinct feature numbers, and of those that are stems.
+
+    An L1 fit of the linear part, whose penalty is the evidence of ``EVIDENCE`` documents or
+    ``CHANCE`` deviations of a term without meaning, finds the terms that matter alone, ``paired_terms`` those that matter together. All their
+    weights and vectors are then fitted together.
     """
     every = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
     names, counts = np.unique(every, return_counts=True)
@@ -145,21 +199,28 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Factori
     base = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     if not len(names) or len(np.unique(y)) < 2:
         return FactorizationMachine(float(np.log(base / (1 - base))), {}, np.zeros(0), np.zeros((0, FACTORS)))
-    docs = [np.searchsorted(names, r[np.isin(r, names, assume_unique=True)]).astype(np.int32) for r in rows]
-    sizes = [len(d) for d in docs]
-    flat, row, n = np.concatenate(docs).astype(np.int32), np.repeat(np.arange(len(docs), dtype=np.int32), sizes), len(names)
-    del docs, every
-    bias, active, weights = _lasso(flat, row, n, y, EVIDENCE / len(y))
-
-    z = (np.bincount(flat, y[row], n) - counts * base) / np.sqrt(counts * base * (1 - base))
-    chosen = np.union1d(active, np.argsort(-np.abs(z), kind="stable")[:PAIRED])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    at = np.minimum(np.searchsorted(names, every), len(names) - 1).astype(np.int32)
+    some = names[at] == every
+    flat, row, n = at[some], row[some], len(names)
+    del every, at, some
+    bias, active, weights = _lasso(flat, row, n, y, np.maximum(EVIDENCE, CHANCE * np.sqrt(counts * base * (1 - base))) / len(y))
+
     where = np.full(n, -1)
+    where[active] = np.arange(len(active))
+    some = where[flat] >= 0
+    margin = bias + np.bincount(row[some], weights[where[flat[some]]], len(y))
+    paired = paired_terms(rows if stems is None else stems, y - 1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+    paired = np.searchsorted(names, paired[np.isin(paired, names)])
+    chosen = np.union1d(active, paired)
+    if not len(chosen):
+        return FactorizationMachine(float(bias), {}, np.zeros(0), np.zeros((0, FACTORS)))
+    where[:] = -1
     where[chosen] = np.arange(len(chosen))
     some = where[flat] >= 0
     flat, row = where[flat[some]], row[some]
     w = np.zeros(len(chosen))
     w[where[active]] = weights
-    linear = w != 0
     v = np.random.default_rng(seed).normal(0, 0.05, (len(chosen), FACTORS))
     m, s = np.zeros((len(chosen), FACTORS + 1)), np.zeros((len(chosen), FACTORS + 1))
     mb = sb = 0.0
@@ -170,7 +231,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Factori
         off = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
         each = off[row][:, None] * (total[row] - vf)
         grad = np.stack([np.bincount(flat, off[row], len(chosen)), *[np.bincount(flat, each[:, f], len(chosen)) for f in range(FACTORS)]], axis=1)
-        grad[:, 0] = (grad[:, 0] + 0.03 * w) * linear
+        grad[:, 0] += 0.03 * w
         grad[:, 1:] += 1.0 * v
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
         mb, sb = 0.9 * mb + 0.1 * off.sum(), 0.99 * sb + 0.01 * off.sum() ** 2
@@ -183,35 +244,28 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Factori
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int = TRAIN_DOCS) -> FactorizationMachine:
-    """Fit on the driver; executors turn texts into feature numbers, at most ``limit`` rows of them."""
-    bound_batches(docs.sparkSession)
+    """Fit in one executor task on at most ``limit`` documents, which other tasks turn into feature numbers."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda found: np.array(sorted(found), dtype="<i4").tobytes()
+        for batch in batches:
+            words = [text_words(t or "") for t in batch.column(0).to_pylist()]
+            x = [pack({f for w in ws for f in word_features(w)}) for ws in words]
+            stems = [pack({stem_feature(w) for w in ws}) for ws in words]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(stems, pa.binary()), *batch.columns[1:]], names=["x", "stems", "y", "doc_id"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, stems, y = [], [], []
         for batch in batches:
-            sets = [sorted({f for w in text_words(t or "") for f in word_features(w)}) for t in batch.column(0).to_pylist()]
-            packed = [np.array(s, dtype="<i4").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1), batch.column(2)], names=["x", "y", "doc_id"])
-
-    sample = training_rows(docs, labels, target, limit)
-    kind = sample.schema["doc_id"].dataType.simpleString()
-    ready = materialize(sample.select("text", "y", "doc_id").mapInArrow(run, f"x binary, y int, doc_id {kind}"), "toxicity-sample")
-    # two passes over the sample, so that the driver never holds more than the terms that may matter
-    seen, toxic, docs_, positive = np.zeros(BUCKETS, dtype=np.int32), np.zeros(BUCKETS, dtype=np.int32), 0, 0
-    for r in ready.select("x", "y").toLocalIterator():
-        at = np.frombuffer(r.x, dtype="<i4")
-        seen[at] += 1
-        toxic[at] += r.y
-        docs_, positive = docs_ + 1, positive + r.y
-    base = min(max(positive / max(docs_, 1), 1e-3), 1 - 1e-3)
-    apart = np.abs(toxic - seen * base)
-    useful = (seen >= MIN_DOCS) & (apart >= 1.0) & (apart >= SCREEN_Z * np.sqrt(seen * base * (1 - base)))
-    got = []
-    for r in ready.toLocalIterator():
-        at = np.frombuffer(r.x, dtype="<i4")
-        got.append((str(r.doc_id), at[useful[at]].copy(), r.y))
-    release(ready)
-    got.sort(key=lambda g: (g[0], g[1].tobytes()))
-    return fit_machine([x for _, x, _ in got], np.array([y for _, _, y in got], dtype=float))
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.append(np.frombuffer(a, dtype="<i4"))
+                stems.append(np.frombuffer(b, dtype="<i4").astype(np.int64))
+            y += batch.column(2).to_pylist()
+        machine = fit_machine(rows, np.array(y, dtype=float), stems)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine.parts())], pa.binary())], names=["model"])
+
+    blob = fit_in_one_task(training_rows(docs, labels, target, limit), features, "x binary, stems binary", fit)
+    return FactorizationMachine(*pickle.loads(blob)) if blob else fit_machine([], np.zeros(0))
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -65,6 +65,56 @@ def test_machine_learns_a_pair_that_no_weight_can():
     assert None not in both and abs(machine.vectors[both[0]] @ machine.vectors[both[1]]) > 0.5
 
 
+def exclusive_or(spark, n=3000, seed=1):
+    """Documents whose label is that two words are both there or both not, among many other words."""
+    rng = random.Random(seed)
+    vocabulary = [words(rng, 1) for _ in range(1500)]
+    docs, labels = [], []
+    for i in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        ws = rng.sample(vocabulary, 40) + ["zebra"] * a + ["quartz"] * b
+        rng.shuffle(ws)
+        docs.append((i, " ".join(ws)))
+        labels.append((i, int(a == b)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_training_learns_a_pure_interaction(spark):
+    docs, labels = exclusive_or(spark)
+    machine = toxicity.train(docs, labels)
+    rows = toxicity.score(docs, machine).join(labels, "doc_id").withColumn("held", toxicity.held_out()).collect()
+    for part in (True, False):
+        assert np.mean([(r.score >= 0.5) == r.toxic for r in rows if r.held == part]) > 0.95
+
+
+def test_op3_equals_a_slow_scorer(corpus):
+    docs, labels = corpus
+    machine = toxicity.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.toxicity(docs, labels).collect()[:60]:
+        terms = {f for w in toxicity._WORD.findall(texts[r.doc_id].lower()) for f in toxicity.word_features(w)}
+        at = [machine.active[f] for f in terms if f in machine.active]
+        margin = machine.bias + sum(machine.weights[i] for i in at) + sum(machine.vectors[i] @ machine.vectors[j] for i, j in itertools.combinations(at, 2))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-9) and r.predicted == int(r.score >= 0.7)
+
+
+def test_op2_equals_enumeration_over_the_states_of_short_documents(spark, corpus):
+    docs, labels = corpus
+    field = quality.train(docs, labels)
+    texts = ["One good line of text here.\nANOTHER LINE!!! | | 99\nand a third", "x", "", None, "a b c d e f.\n\n!!! !!! 7 7 7 7\nThe end of it."]
+    rows = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).collect()
+    for r in rows:
+        x, weight = quality.document_features((texts[r.doc_id] or "").encode())
+        emit = np.clip(field.emit(x), -30, 30)
+        total, good = 0.0, np.zeros(len(emit))
+        for states in itertools.product((0, 1), repeat=len(emit)):
+            p = np.exp(sum(e for e, s in zip(emit, states, strict=True) if s) + sum(field.move[a, b] for a, b in itertools.pairwise(states)))
+            total += p
+            good += p * np.array(states)
+        mean = (good / total * weight).sum() / weight.sum()
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(field.curve[0] * mean + field.curve[1]))), abs=1e-6)
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(3)
     emit, move, sizes = rng.normal(size=(3, 5)), rng.normal(size=(2, 2)), np.array([5, 3, 1])
