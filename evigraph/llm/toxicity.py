@@ -42,6 +42,7 @@ EVIDENCE = 2.0
 CHANCE = 3.0
 #: Evidence a pair of stems needs: documents whose labels the weights leave unexplained, and deviations.
 PAIR_EVIDENCE, PAIR_Z = 10.0, 6.0
+RIDGE = 0.1
 STEPS = 200
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
@@ -143,6 +144,21 @@ def _lasso(flat: np.ndarray, row: np.ndarray, n: int, y: np.ndarray, penalty: np
     return bias, active, w
 
 
+def _refit(flat: np.ndarray, row: np.ndarray, bias: float, weights: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Newton steps without the L1 penalty, whose shrinkage would look like evidence of pairs: bias, weights, margins."""
+    x = np.zeros((len(y), len(weights) + 1), dtype=np.float32)
+    x[row, flat] = 1
+    x[:, -1] = 1
+    w = np.append(weights, bias)
+    ridge = np.append(np.full(len(weights), RIDGE), 1e-6)
+    for _ in range(15):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (y - p) - ridge * w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), slope)
+        w = w + step * min(1.0, 4.0 / (np.abs(step).max() + 1e-12))
+    return float(w[-1]), w[:-1], x @ w
+
+
 def paired_terms(stems: list[np.ndarray], left: np.ndarray, least: float = PAIR_EVIDENCE, least_z: float = PAIR_Z) -> np.ndarray:
     """Stems of the pairs whose documents the residuals ``left`` favour or disfavour clearly.
 
@@ -209,7 +225,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, stems: list[np.ndarray] |
     where = np.full(n, -1)
     where[active] = np.arange(len(active))
     some = where[flat] >= 0
-    margin = bias + np.bincount(row[some], weights[where[flat[some]]], len(y))
+    bias, weights, margin = _refit(where[flat[some]], row[some], bias, weights, y)
     paired = paired_terms(rows if stems is None else stems, y - 1 / (1 + np.exp(-np.clip(margin, -30, 30))))
     paired = np.searchsorted(names, paired[np.isin(paired, names)])
     chosen = np.union1d(active, paired)
@@ -231,7 +247,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, stems: list[np.ndarray] |
         off = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y
         each = off[row][:, None] * (total[row] - vf)
         grad = np.stack([np.bincount(flat, off[row], len(chosen)), *[np.bincount(flat, each[:, f], len(chosen)) for f in range(FACTORS)]], axis=1)
-        grad[:, 0] += 0.03 * w
+        grad[:, 0] += RIDGE * w
         grad[:, 1:] += 1.0 * v
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
         mb, sb = 0.9 * mb + 0.1 * off.sum(), 0.99 * sb + 0.01 * off.sum() ** 2
