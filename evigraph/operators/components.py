@@ -23,13 +23,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a smaller node that has none to a smaller one."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up")))).alias("e"))
+    nodes = ends.groupBy("e.n").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("least"))
+    return not nodes.where("up > 1 OR (up = 1 AND least = 0)").limit(1).count()
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node that has an edge to another node.
 
     ``component`` is the smallest node reachable. Null ends and self-loops are ignored,
     repeated edges count once. Only minima are aggregated, so a hub never gathers its
     neighbours in one task. Every round is written to the shared folder; the loop ends
-    when a round changes nothing and raises if ``max_rounds`` do not suffice.
+    when all edges lead to the smallest node and raises if ``max_rounds`` do not suffice.
     """
     now = materialize(
         edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
@@ -38,14 +45,11 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         .distinct(),
         "cc",
     )
-    digest = None
     for _ in range(max_rounds):
-        row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == digest or row.n == 0:
+        if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        digest = (row.n, row.h)
         step = materialize(_small_star(_large_star(now)), "cc")
         release(now)
         now = step
