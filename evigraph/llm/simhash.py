@@ -238,7 +238,7 @@ def _marks(named: DataFrame) -> DataFrame:
 
 def _close(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Those of the pairs ``(u, v)`` whose sizes and codes allow a similarity of 0.8."""
-    side = lambda tag: facts.select(F.col("digest").alias(tag), *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "c0", "c1", "c2")])
+    side = lambda tag: facts.select(F.col("id").alias(tag), *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "c0", "c1", "c2")])
     return pairs.join(side("u"), "u").join(side("v"), "v").where(_may_match("u", "v")).select("u", "v")
 
 
@@ -249,7 +249,7 @@ def _may_match(u: str, v: str) -> Column:
 
 
 def _sets(wanted: DataFrame, named: DataFrame) -> DataFrame:
-    """``(digest, x)``: the sets of the digests in ``wanted`` as sorted 32-bit hashes.
+    """``(id, x)``: the sets of the ids and digests in ``wanted`` as sorted 32-bit hashes.
 
     Sets are made again from the texts that are wanted, which have the hashes ``a``: a bitmap
     of ``WANTED_BITS`` bits tells most of them, whatever their number, a join by digest the rest.
@@ -270,15 +270,15 @@ def _sets(wanted: DataFrame, named: DataFrame) -> DataFrame:
             packed = [np.unique(x.astype(np.uint32)).tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array(packed, pa.binary())], names=["digest", "x"])
 
-    sets = named.select(slot.alias("slot"), "text").mapInArrow(run, "digest binary, x binary").join(wanted.select("digest"), "digest", "left_semi")
-    sets = materialize(sets.dropDuplicates(["digest"]), "near-sets")
+    sets = named.select(slot.alias("slot"), "text").mapInArrow(run, "digest binary, x binary").join(wanted.select("digest", "id"), "digest")
+    sets = materialize(sets.groupBy("id").agg(F.first("x").alias("x")), "near-sets")
     shared.destroy()
     return sets
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs ``(u, v)`` of digests whose whole sets have a Jaccard similarity of 0.8 or more."""
-    both = pairs.join(sets.withColumnsRenamed({"digest": "u", "x": "a"}), "u").join(sets.withColumnsRenamed({"digest": "v", "x": "b"}), "v")
+    """Those of the pairs ``(u, v)`` of ids whose whole sets have a Jaccard similarity of 0.8 or more."""
+    both = pairs.join(sets.withColumnsRenamed({"id": "u", "x": "a"}), "u").join(sets.withColumnsRenamed({"id": "v", "x": "b"}), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,14 +288,14 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _joined(ids: list[bytes], labels: list[bytes], sets: list[np.ndarray], left: list[int], right: list[int]) -> list[tuple[bytes, bytes]]:
-    """Links between sets of different labels, one where several would join the same; each of ``left`` meets the ``right`` after it."""
+def _joined(labels: list[int], sets: list[np.ndarray], left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """Pairs of labels of similar sets, one where several would join the same; each of ``left`` meets the ``right`` after it."""
     root = {x: x for x in labels}
 
-    def find(x: bytes) -> bytes:
+    def find(x: int) -> int:
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
@@ -315,69 +315,78 @@ def _joined(ids: list[bytes], labels: list[bytes], sets: list[np.ndarray], left:
             j = right[m]
             if (left is not right or m > k) and (a := find(labels[i])) != (b := find(labels[j])):
                 root[b] = a
-                links.append((ids[i], ids[j]))
+                links.append((labels[i], labels[j]))
     return links
 
 
-def _across(open_: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between sets of different components that share a block.
+def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between components that have similar sets which share a block.
 
-    ``open_`` has key, digest and component. Sets that hang together by blocks are one group
-    or, where these are more than ``GROUP``, those of each block are. A group is dealt into
-    parts of about ``PART`` sets, and each two parts meet in one task that compares whole
-    sets and returns links only. Where a block has many components of sets that are less than
-    similar, this costs the square of its size.
+    ``open_`` has key, id, component and centre, the component of the block's central set.
+    Components that hang together by blocks are one group or, where these have more than
+    ``GROUP`` sets, those of each block are. A group is dealt into parts of about ``PART``
+    sets, and each two parts meet in one task that compares whole sets and returns links
+    only. Where a block has many components of sets that are less than similar, this costs
+    the square of its size.
     """
-    held = open_.select("digest").distinct()
-    ends = stars.join(held.withColumnRenamed("digest", "u"), "u", "left_semi").join(held.withColumnRenamed("digest", "v"), "v", "left_semi")
-    whole = materialize(connected_components(ends).withColumnRenamed("node", "digest").withColumnRenamed("component", "g"), "near-groups")
-    sizes = whole.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    fit = whole.join(sizes.where(F.col("size") <= GROUP), "g")
-    small = open_.select("digest", "component").distinct().join(fit, "digest").select("g", "digest", "component", "size")
-    rest = open_.join(fit.select("digest"), "digest", "left_anti").select(F.encode(F.col("key").cast("string"), "utf-8").alias("g"), "digest", "component")
-    large = rest.join(rest.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "g").select("g", "digest", "component", "size")
+    ends = open_.select("component", "centre").where("component <> centre").distinct()
+    whole = materialize(connected_components(ends, "component", "centre").select(F.col("node").alias("component"), F.col("component").alias("g")), "near-groups")
+    members = materialize(open_.select("id", "component").distinct().join(whole, "component"), "near-members", compact=True)
+    fit = members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= GROUP)
+    small = members.join(fit, "g").select(F.col("g").alias("block"), F.lit(0).alias("kind"), "id", "component", "size")
+    rest = open_.join(members.join(fit, "g", "left_anti").select("id"), "id", "left_semi").select(F.col("key").alias("block"), F.lit(1).alias("kind"), "id", "component")
+    large = rest.join(rest.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "block").select("block", "kind", "id", "component", "size")
     dealt = small.unionByName(large).withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
-    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-    met = dealt.select("g", "digest", "component", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select("g", "digest", "component", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = dealt.select("block", "kind", "id", "component", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select("block", "kind", "id", "component", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
-        ids, labels, parts = (group.column(c).to_pylist() for c in ("digest", "component", "p"))
+        labels, parts = (group.column(c).to_pylist() for c in ("component", "p"))
         found = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in group.column("x")]
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = ([k for k, p in enumerate(parts) if p == x] for x in (i, j))
-        links = _joined(ids, labels, found, left, left if i == j else right) if left and right else []
-        return pa.table({"u": pa.array([u for u, _ in links], pa.binary()), "v": pa.array([v for _, v in links], pa.binary())})
+        links = _joined(labels, found, left, left if i == j else right) if left and right else []
+        return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
-    links = materialize(met.join(sets, "digest").groupBy("g", "i", "j").applyInArrow(run, "u binary, v binary"), "near-links", compact=True)
+    links = materialize(met.join(sets, "id").groupBy("block", "kind", "i", "j").applyInArrow(run, "u long, v long"), "near-links", compact=True)
     release(whole)
+    release(members)
     return links
 
 
-def similar_links(distinct: DataFrame, named: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` that connect the sets with a Jaccard similarity of 0.8 or more, and no others.
+def similar_components(distinct: DataFrame, named: DataFrame) -> DataFrame:
+    """``(id, component)`` of the sets that are linked by Jaccard similarities of 0.8 or more.
 
-    ``distinct`` has one row ``(digest, rep, n, keys, c0, c1, c2)`` for each set. Like
-    ``hamming_links``, not every similar pair is returned, but any two are joined by edges.
+    ``distinct`` has one row ``(id, digest, rep, n, keys, c0, c1, c2)`` for each set. Not
+    every similar pair becomes a link, but any two similar sets are joined by links.
     """
-    rows = distinct.select("digest", F.explode("keys").alias("key"))
+    rows = distinct.select("id", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = materialize(rows.join(sizes, "key").select("key", "digest", "size"), "near-met", compact=True)
+    met = materialize(rows.join(sizes, "key").select("key", "id", "size"), "near-met", compact=True)
     # the set with the most company is the likeliest to be similar to all others of its buckets
-    weight = met.groupBy("digest").agg(F.sum("size").alias("weight"))
-    centre = met.join(weight, "digest").groupBy("key").agg(F.max(F.struct("weight", "digest"))["digest"].alias("centre"))
-    stars = met.join(centre, "key").where("digest <> centre").select(F.least("digest", "centre").alias("u"), F.greatest("digest", "centre").alias("v")).distinct()
-    stars = materialize(stars, "near-stars", compact=True)
-    facts = materialize(distinct.select("digest", "rep.a", "n", "c0", "c1", "c2").join(met.select("digest").distinct(), "digest"), "near-facts", compact=True)
-    sets = _sets(facts.select("digest", "a"), named)
+    weight = met.groupBy("id").agg(F.sum("size").alias("weight"))
+    centre = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("centre"))
+    led = materialize(met.join(centre, "key").select("key", "id", "centre"), "near-led", compact=True)
+    release(met)
+    stars = led.where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
+    facts = materialize(distinct.join(led.select("id").distinct(), "id").select("id", "digest", "rep.a", "n", "c0", "c1", "c2"), "near-facts", compact=True)
+    sets = _sets(facts.select("id", "digest", "a"), named)
     links = materialize(_similar(_close(stars, facts), sets), "near-links", compact=True)
-    parts = materialize(connected_components(links), "near-parts", compact=True)
-    labelled = met.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("component"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    parts = materialize(connected_components(links).withColumnRenamed("node", "id"), "near-parts", compact=True)
+    of = lambda c: parts.withColumnsRenamed({"id": c, "component": f"{c}_part"})
+    labelled = led.join(of("id"), "id", "left").join(of("centre"), "centre", "left")
+    labelled = labelled.select("key", "id", F.coalesce("id_part", "id").alias("component"), F.coalesce("centre_part", "centre").alias("centre"))
+    mixed = labelled.where("component <> centre").select("key").distinct()
     open_ = materialize(labelled.join(mixed, "key", "left_semi"), "near-open", compact=True)
-    more = _across(open_, stars, sets)
-    for done in (met, stars, parts, open_, facts, sets):
+    more = _across(open_, sets)
+    for done in (led, facts, sets, links, open_):
         release(done)
-    return links.unionByName(more)
+    if not more.limit(1).count():
+        return parts
+    # components that the last links join: each becomes the least of them
+    joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    old = parts.unionByName(more.select(F.explode(F.array("u", "v")).alias("id"), F.col("id").alias("component"))).distinct()
+    return old.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -393,11 +402,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     named = docs.select(F.col(doc_id).alias("doc_id"), key["__a"].alias("a"), key["__b"].alias("b"), whole.alias("text"))
     marks = materialize(_marks(named), "near-marks")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")).alias("rep")
-    distinct = materialize(marks.groupBy("digest").agg(rep, *[F.first(c).alias(c) for c in ("n", "keys", "c0", "c1", "c2")]), "near-distinct")
+    distinct = materialize(marks.groupBy("digest").agg(rep, *[F.first(c).alias(c) for c in ("n", "keys", "c0", "c1", "c2")]).withColumn("id", F.monotonically_increasing_id()), "near-distinct")
     release(marks)
-    links = similar_links(distinct, named)
-    parts = connected_components(links)
-    labelled = distinct.select("digest", "rep").join(parts.withColumnRenamed("node", "digest"), "digest", "left")
-    kept = materialize(labelled.groupBy(F.coalesce("component", "digest").alias("c")).agg(F.min("rep").alias("rep")).select(F.col("rep.a").alias("__a"), F.col("rep.b").alias("__b")), "near-kept")
+    labelled = distinct.select("id", "rep").join(similar_components(distinct, named), "id", "left")
+    kept = materialize(labelled.groupBy(F.coalesce("component", "id").alias("c")).agg(F.min("rep").alias("rep")).select(F.col("rep.a").alias("__a"), F.col("rep.b").alias("__b")), "near-kept")
     release(distinct)
     return docs.withColumns(key).join(kept, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select(*docs.columns)
