@@ -63,14 +63,50 @@ def test_query_blocks_do_not_change_the_result(planted, monkeypatch):
     assert len(got & truth) / len(truth) >= 0.95
 
 
-def test_svd_finds_the_leading_directions(spark):
+def test_svd_finds_the_leading_directions(spark, monkeypatch):
+    monkeypatch.setattr(D, "SPAN", 8)
     rng = np.random.default_rng(2)
     a = rng.normal(size=(120, 4)) @ rng.normal(size=(4, 50)) + 0.01 * rng.normal(size=(120, 50))
-    rows = spark.createDataFrame([(list(range(50)), [float(x) for x in r]) for r in a], "at array<int>, value array<float>")
-    basis = D.randomised_svd(rows.repartition(3), 50, 4)
+    entries = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(120) for j in range(50)], "row long, term int, value float")
+    got = {r.term: np.frombuffer(r.vector, dtype=np.float32) for r in D.randomised_svd(entries, 120, 4).collect()}
+    basis = np.stack([got[j] for j in range(50)])
+    assert np.allclose(basis.T @ basis, np.eye(4), atol=1e-3)
     assert np.linalg.norm(a - a @ basis @ basis.T) / np.linalg.norm(a) < 0.01
 
 
+def exact_search(docs, items):
+    """Every pair that the checks accept, over all passages of all texts, without any candidate search."""
+    found = set()
+    for item, text in items:
+        for p in D.passages_of(item, text):
+            for doc, body in docs:
+                ws = D.words_of(body or "")
+                if any(p.check(ws, a, a + 2 * D.BLOCK) for a in range(0, len(ws), D.BLOCK)):
+                    found.add((doc, item))
+    return found
+
+
+def test_recall_against_exact_search(spark, planted, monkeypatch):
+    monkeypatch.setattr(D, "SAMPLE_DOCS", 300)
+    monkeypatch.setattr(D, "RANK", 40)  # fewer directions than items
+    docs, items, _ = planted
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 200").collect()]
+    want = exact_search(rows, [(r.item_id, r.text) for r in items.collect()])
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(docs.where("doc_id < 200"), items).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 30
+
+
+def test_short_items_are_found_in_long_texts(spark):
+    rng = random.Random(8)
+    vocabulary = [words(rng, 1) for _ in range(2000)]
+    items = [(n, " ".join(rng.sample(vocabulary, n))) for n in range(1, 16)] + [(20 + k, " ".join(rng.sample(vocabulary, 30))) for k in range(20)]
+    items[0] = (1, "zebrafish")
+    docs = [(k, " ".join([*rng.choices(vocabulary, k=200), *(text.split() if k % 2 else []), *rng.choices(vocabulary, k=200)])) for k, (_, text) in enumerate(items)]
+    want = exact_search(docs, items)
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM)).collect()}
+    assert {(k, i) for k, (i, _) in enumerate(items) if k % 2} <= got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_odd_tables(spark, odd, empty, clashing, planted):
     _, items, _ = planted
     more = items.unionByName(spark.createDataFrame([(None, None), (70, ""), (71, "two words"), (72, "é " * 300)], ITEM))
