@@ -5,7 +5,7 @@ document's fingerprint is the sum of its paragraphs' vectors, lane by lane:
 
 * ``STRONG`` lanes modulo 2^32, from BLAKE2b of the paragraph's bytes. They make equality of
   fingerprints mean equality of the paragraph multisets (1024 bits).
-* ``SKETCH`` lanes modulo 2^16, each the sum of +1 or -1 over the paragraph's shingles of
+* ``SKETCH`` lanes modulo 2^32, each the sum of +1 or -1 over the paragraph's shingles of
   three words (a tug-of-war sketch). Squared differences of these lanes estimate how far the
   shingle multisets of two documents are apart, which gives a graded likeness.
 
@@ -24,13 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.llm.ranges import ranged
 from evigraph.runtime import bound_batches, shuffle_width
 
 STRONG, SKETCH, SHINGLE, SEED = 32, 256, 3, 1009
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 #: The eight bits of a byte as eight one-byte lanes of a word.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype="<u8")
@@ -46,7 +47,7 @@ def _shingles(words: list[bytes]) -> Iterator[bytes]:
 
 
 def _signs(hashes: list[int]) -> np.ndarray:
-    """Sum over hashes of SKETCH values +1 or -1, modulo 2^16."""
+    """Sum over hashes of SKETCH values +1 or -1, modulo 2^32."""
     out = np.zeros(SKETCH, dtype=np.int64)
     if hashes:
         base = np.array(hashes, dtype=np.uint64)
@@ -58,7 +59,7 @@ def _signs(hashes: list[int]) -> np.ndarray:
             spread = _LANES[x.view(np.uint8).reshape(-1, 8)]
             sums = np.add.reduceat(spread, np.arange(0, len(spread), 255), axis=0)
             out[64 * i : 64 * i + 64] = sums.view(np.uint8).reshape(len(sums), 64).sum(axis=0, dtype=np.int64)
-    return (2 * out - len(hashes)).astype(np.uint16)
+    return (2 * out - len(hashes)).astype(np.uint32)
 
 
 class Fingerprint:
@@ -68,7 +69,7 @@ class Fingerprint:
 
     def __init__(self, strong: np.ndarray | None = None, sketch: np.ndarray | None = None) -> None:
         self.strong = np.zeros(STRONG, dtype=np.uint32) if strong is None else strong
-        self.sketch = np.zeros(SKETCH, dtype=np.uint16) if sketch is None else sketch
+        self.sketch = np.zeros(SKETCH, dtype=np.uint32) if sketch is None else sketch
 
     @classmethod
     def of(cls, text: str | None) -> Fingerprint:
@@ -99,19 +100,19 @@ class Fingerprint:
     __hash__ = None
 
     def text(self) -> str:
-        return base64.b64encode(self.strong.astype("<u4").tobytes() + self.sketch.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.strong.astype("<u4").tobytes() + self.sketch.astype("<u4").tobytes()).decode()
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         raw = base64.b64decode(text)
-        return cls(np.frombuffer(raw[: 4 * STRONG], "<u4").astype(np.uint32), np.frombuffer(raw[4 * STRONG :], "<u2").astype(np.uint16))
+        return cls(np.frombuffer(raw[: 4 * STRONG], "<u4").astype(np.uint32), np.frombuffer(raw[4 * STRONG :], "<u4").astype(np.uint32))
 
     def likeness(self, other: Fingerprint) -> float:
         """Estimate of 2<a,b> / (<a,a> + <b,b>) of the shingle counts, within 0 and 1; 1 if equal."""
         if self == other:
             return 1.0
-        mine, theirs = (x.sketch.astype(np.int16).astype(np.float64) for x in (self, other))
-        apart = (self.sketch - other.sketch).astype(np.int16).astype(np.float64)
+        mine, theirs = (x.sketch.astype(np.int32).astype(np.float64) for x in (self, other))
+        apart = (self.sketch - other.sketch).astype(np.int32).astype(np.float64)
         whole = float(mine @ mine + theirs @ theirs)
         return min(1.0, max(0.0, 1.0 - float(apart @ apart) / whole)) if whole else 0.0
 
@@ -140,30 +141,31 @@ def _row(text: str, mine: Fingerprint, following: str, theirs: Fingerprint) -> t
 def _in_order(docs: DataFrame) -> DataFrame:
     """Rows in partitions, by descending id, each run ending with a copy of what follows it.
 
-    Ids are cut into ranges by an approximate quantile (one number per range reaches the
-    driver), and the first row of each range is copied to the end of the one before; the
-    first of all follows the last. Ties of the id go by text, descending; null ids come last.
+    Rows are dealt by ranges of the id; a range of one id that holds far more rows than others
+    is dealt again by the hash of the text. The first row of each run is copied to the end of
+    the one before; the first of all follows the last. Ties of the id go by the hash of the
+    text, then the text, descending; null ids come last.
     """
     spark = docs.sparkSession
-    ranges = 4 * shuffle_width(spark)
-    key = F.col("doc_id").cast("double")
-    cuts = docs.select(key.alias("k")).agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    splits = [float("-inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
-    if len(splits) < 3:
-        splits.insert(1, 0.0)
-    keyed = Bucketizer(splits=splits, inputCol="k", outputCol="b", handleInvalid="keep").transform(docs.withColumn("k", F.coalesce(key, F.lit(float("nan")))))
-    # NaN, for null ids, gets the bucket after all others: make it the least
-    keyed = keyed.select(F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("b").cast("int")).alias("bucket"), "doc_id", "text")
-    heads = keyed.groupBy("bucket").agg(F.max(F.struct("doc_id", "text")).alias("head"))
-    order = sorted((r.bucket for r in keyed.select("bucket").distinct().collect()), reverse=True)  # at most ``ranges`` numbers
+    parts = 4 * shuffle_width(spark)
+    keyed = ranged(docs, "doc_id", parts).withColumn("h", F.xxhash64("text"))
+    sizes = keyed.groupBy("range").agg(F.count(F.lit(1)).alias("n"), (F.min("doc_id").eqNullSafe(F.max("doc_id"))).alias("single")).collect()  # parts rows or so
+    fair = max(1, sum(r.n for r in sizes) // parts)
+    split = [(r.range, min(parts, r.n // fair)) for r in sizes if r.single and r.n > 2 * fair]
+    parted = keyed.join(F.broadcast(spark.createDataFrame(split, "range int, times int")), "range", "left")
+    # the hash's upper 31 bits, 0 to 2^31 - 1 in order, cut evenly
+    part = F.floor(F.shiftright(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 33).bitwiseAND(F.lit((1 << 31) - 1)) * F.coalesce("times", F.lit(1)) / (1 << 31))
+    bucketed = parted.select((F.col("range").cast("long") * parts + part.cast("long")).alias("bucket"), "doc_id", "h", "text")
+    heads = bucketed.groupBy("bucket").agg(F.max(F.struct("doc_id", "h", "text")).alias("head"))
+    order = sorted((r.bucket for r in bucketed.select("bucket").distinct().collect()), reverse=True)  # a few numbers for each part
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    moved = spark.createDataFrame(list(before.items()), "bucket int, target int")
-    ends = heads.join(F.broadcast(moved), "bucket").select(F.col("target").alias("bucket"), "head.doc_id", "head.text", F.lit(1).alias("end"))
+    moved = spark.createDataFrame(list(before.items()), "bucket long, target long")
+    ends = heads.join(F.broadcast(moved), "bucket").select(F.col("target").alias("bucket"), "head.doc_id", "head.h", "head.text", F.lit(1).alias("end"))
     return (
-        keyed.withColumn("end", F.lit(0))
+        bucketed.withColumn("end", F.lit(0))
         .unionByName(ends)
         .repartition(shuffle_width(spark), "bucket")
-        .sortWithinPartitions(F.col("bucket").desc(), "end", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+        .sortWithinPartitions(F.col("bucket").desc(), "end", F.col("doc_id").desc_nulls_last(), F.col("h").desc(), F.col("text").desc())
     )
 
 
@@ -171,23 +173,13 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """Fingerprints of every text and of its edit, with likenesses, one row per input row.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. Null texts are empty; a lone document is its own next. Repeated rows keep a
-    row each (ties of doc_id are ordered by text, descending). Other columns are ignored.
+    near_next. Null texts are empty; a lone document is its own next. Ids may be of any type
+    that has an order; repeated rows keep a row each (ties of doc_id are ordered by the hash
+    of the text, descending). Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    kind = narrow.schema["doc_id"].dataType
-    schema = pa.schema(
-        [
-            ("doc_id", pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()),
-            ("n_chars", pa.int64()),
-            ("edited_sha256", pa.string()),
-            ("fingerprint", pa.string()),
-            ("edited_fingerprint", pa.string()),
-            ("near_edited", pa.float64()),
-            ("near_next", pa.float64()),
-        ]
-    )
+    kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (id, text, fingerprint) that waits for what follows it
@@ -199,9 +191,10 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                     rows.append((held[0], *_row(held[1], held[2], now, mark)))
                 held = None if end else (key, now, mark)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                kinds = (batch.column(1).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=COLUMNS)
 
     return _in_order(narrow).select("end", "doc_id", "text").mapInArrow(
         run,
-        f"doc_id {kind.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )

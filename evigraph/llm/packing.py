@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.llm.ranges import ranged
 from evigraph.runtime import bound_batches, materialize, shuffle_width
 
 MAX_LEN = 2048
@@ -91,7 +91,9 @@ def pack(
     """``(doc_id, piece, start_token, n_tokens, bucket, batch, slot)`` for every piece.
 
     ``bucket`` is the boundary the piece is padded to, ``batch`` the batch's number within
-    its bucket, ``slot`` the piece's place in the batch.
+    its bucket, ``slot`` the piece's place in the batch. Empty and null texts have one piece of
+    no tokens, null ids come first, ids may be of any type that has an order, and rows that
+    repeat an id keep their own pieces. Other columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
     sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), (word_count() if length is None else length).cast("long").alias("n")), "lengths", compact=True)
@@ -104,14 +106,7 @@ def pack(
     for b in reversed(bounds[:-1]):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bucket)
 
-    parts = 4 * shuffle_width(spark)
-    cuts = sized.agg(F.percentile_approx(F.col("doc_id").cast("double"), [i / parts for i in range(1, parts)], 100 * parts)).first()[0]
-    splits = [float("-inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
-    if len(splits) < 3:
-        splits.insert(1, 0.0)
-    keyed = pieces.withColumns({"bucket": bucket.cast("long"), "k": F.coalesce(F.col("doc_id").cast("double"), F.lit(float("nan")))})
-    keyed = Bucketizer(splits=splits, inputCol="k", outputCol="part", handleInvalid="keep").transform(keyed)
-    keyed = keyed.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("part").cast("int"))).drop("k")
+    keyed = ranged(pieces.withColumn("bucket", bucket.cast("long")), "doc_id", 4 * shuffle_width(spark)).withColumnRenamed("range", "part")
     counts = keyed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m")).collect()  # buckets x ranges rows at most
     starts, at = [], {}
     for b, p, m in sorted((r.bucket, r.part, r.m) for r in counts):

@@ -8,7 +8,8 @@ kind        validated by; permuted part
 card        13-19 digits, Luhn sum, one separator throughout; all but the check digit
 iban        country, length, mod-97; the account part, check digits recomputed
 ssn         ddd-dd-dddd with assignable parts; all digits, within assignable numbers
-date        a calendar date of 1900-2099 (y-m-d, d/m/y, m/d/y when only that is valid)
+date        a calendar date of 1900-2099 (y-m-d, d/m/y, m/d/y when only that is valid);
+            dates up to and past the 12th each among themselves
 ipv4        four octets of 0-255; all 32 bits
 phone       international or North American layouts; digits after the country code
 email       local part; letters stay letters (case kept), digits stay digits
@@ -44,6 +45,11 @@ _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _ACCENTED = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _EPOCH = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2099, 12, 31).toordinal() - _EPOCH + 1
+#: Days up to and past the 12th of their month, and each day's place in its list (-1 - place for late ones).
+_EARLY, _LATE = ([d for d in range(_DAYS) if (datetime.date.fromordinal(d + _EPOCH).day > 12) == late] for late in (False, True))
+_RANKS = {d: k for k, d in enumerate(_EARLY)} | {d: -1 - k for k, d in enumerate(_LATE)}
+#: Longer texts are permuted symbol by symbol instead of as one number.
+WIDE = 64
 _IBAN_LENGTHS = {
     "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27,
     "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27,
@@ -83,8 +89,14 @@ class Pseudonymizer:
         self.key, self.undo = blake2b(key).digest(), undo
 
     def _round(self, tweak: bytes, i: int, value: int, modulus: int) -> int:
-        data = b"%s|%d|%x" % (tweak, i, value)
-        return int.from_bytes(blake2b(data, key=self.key, digest_size=max(16, modulus.bit_length() // 8 + 9)).digest(), "big") % modulus
+        return int.from_bytes(self._bytes(b"%s|%d|%x" % (tweak, i, value), max(16, modulus.bit_length() // 8 + 9)), "big") % modulus
+
+    def _bytes(self, data: bytes, size: int) -> bytes:
+        """``size`` keyed bytes for some data: one digest, or as many as it takes."""
+        if size <= 64:
+            return blake2b(data, key=self.key, digest_size=size).digest()
+        seed = blake2b(data, key=self.key).digest()
+        return b"".join(blake2b(b"%d" % k, key=seed).digest() for k in range(-(-size // 64)))[:size]
 
     def number(self, value: int, left: int, right: int, tweak: bytes) -> int:
         """Permute 0 .. left*right - 1: a Feistel network on (value // right, value % right)."""
@@ -105,6 +117,8 @@ class Pseudonymizer:
         """Permute strings of one length over an alphabet."""
         if not text:
             return text
+        if len(text) > WIDE:
+            return self._wide(text, alphabet, tweak)
         base, half = len(alphabet), len(text) // 2
         value = 0
         for c in text:
@@ -116,6 +130,18 @@ class Pseudonymizer:
             out.append(alphabet[k])
         return "".join(reversed(out))
 
+    def _wide(self, text: str, alphabet: str, tweak: str) -> str:
+        """The same network on halves that are lists of symbols, in time linear in the length."""
+        base, half = len(alphabet), len(text) - len(text) // 2
+        symbols = [alphabet.index(c) for c in text]
+        sides = [symbols[:half], symbols[half:]]
+        for i in reversed(range(ROUNDS)) if self.undo else range(ROUNDS):
+            mine, other = sides[i % 2], sides[1 - i % 2]
+            keyed = self._bytes(f"{tweak}|{base}|{len(text)}|{i}|".encode() + bytes(other), 4 * len(mine))
+            moves = [int.from_bytes(keyed[k : k + 4], "big") for k in range(0, len(keyed), 4)]
+            sides[i % 2] = [(x - m if self.undo else x + m) % base for x, m in zip(mine, moves, strict=True)]
+        return "".join(alphabet[x] for x in sides[0] + sides[1])
+
     def digits(self, text: str, tweak: str) -> str:
         return self.letters(text, "0123456789", tweak)
 
@@ -164,20 +190,22 @@ class Pseudonymizer:
                 continue
             if not 0 <= day < _DAYS:
                 return None
-            # month-first dates stand only where day-first is not valid, so each layout keeps to its own days
-            new = self._day(day, order)
+            new = datetime.date.fromordinal(self._day(day) + _EPOCH)
             for k, value in zip(order, (new.year, new.month, new.day), strict=True):
                 numbers[k] = value
             wide = [len(parts[0]), len(parts[2]), len(parts[4])]
             return parts[1].join(f"{n:0{w}d}" for n, w in zip(numbers, wide, strict=True))
         return None
 
-    def _day(self, day: int, order: tuple[int, ...]) -> datetime.date:
-        while True:
-            day = self.within(day, _DAYS, "date")
-            new = datetime.date.fromordinal(day + _EPOCH)
-            if order != (2, 0, 1) or new.day > 12:
-                return new
+    def _day(self, day: int) -> int:
+        """Permute dates; those past the 12th of a month among themselves.
+
+        Only they can be read month first, so a date has one pseudonym in all layouts and
+        each layout can still be read.
+        """
+        late = _RANKS[day] < 0
+        rank = self.within(-1 - _RANKS[day] if late else _RANKS[day], len(_LATE if late else _EARLY), "late" if late else "early")
+        return (_LATE if late else _EARLY)[rank]
 
     def ipv4(self, text: str) -> str | None:
         octets = [int(x) for x in text.split(".")]
@@ -236,10 +264,11 @@ def _ssn_number(area: int, group: int, serial: int) -> int | None:
     return ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, text, n_card, n_iban, n_ssn, n_date, n_ipv4, n_phone, n_email)``, one row per row.
 
-    Whole texts; a null text is empty. Other columns are ignored.
+    Whole texts of any length; a null text is empty, an empty one stays. Ids may repeat or be
+    null: rows are handled one by one. Other columns are ignored.
     """
     bound_batches(docs.sparkSession)
 

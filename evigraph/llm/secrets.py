@@ -29,6 +29,8 @@ from evigraph.runtime import bound_batches
 
 KINDS = ("assign", "access", "hex", "lexed")
 THRESHOLD = 0.5
+#: A sum of literals with more characters is no secret as a whole; each literal may still be one.
+WHOLE = 1024
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
@@ -79,22 +81,35 @@ def plausibility(value: str) -> float:
     return min(1.0, 0.35 + 0.1 * mixed + entropy / 10 + min(len(value), 24) / 120)
 
 
-def _literals(parts: list) -> list[tuple[int, int, str]]:
+class _Value:
+    """An expression: literals and references to earlier expressions, and how long its text is."""
+
+    __slots__ = ("parts", "size", "told", "whole")
+
+    def __init__(self, parts: list) -> None:
+        self.parts = parts
+        self.size = min(WHOLE + 1, sum(p.size if isinstance(p, _Value) else len(p[2]) for p in parts))
+        self.told = self.whole = 0.0  # the greatest weight that its literals, and they as a whole, were scored with
+
+
+def _literals(value: _Value, weight: float) -> list[tuple[int, int, str]]:
     """The literals behind an expression in order, each once, constants followed to their own.
 
-    A constant is kept as a reference to its expression, so that chains of sums take linear
-    space however often they double.
+    A constant is a reference to its expression, so chains of sums take linear space however
+    often they double. In an expression of more than ``WHOLE`` characters, parts that were
+    scored with the weight before are passed over.
     """
-    out, seen, stack = [], {id(parts)}, [iter(parts)]
+    out, seen, stack, again = [], {id(value)}, [iter(value.parts)], value.size <= WHOLE
     while stack:
         for p in stack[-1]:
             if isinstance(p, tuple):
                 if p not in seen:
                     seen.add(p)
                     out.append(p)
-            elif id(p) not in seen:
+            elif id(p) not in seen and (again or p.told < weight):
                 seen.add(id(p))
-                stack.append(iter(p))
+                p.told = max(p.told, weight)
+                stack.append(iter(p.parts))
                 break
         else:
             stack.pop()
@@ -103,25 +118,28 @@ def _literals(parts: list) -> list[tuple[int, int, str]]:
 
 def lex(text: str) -> list[tuple[int, int, str, float]]:
     """``(start, end, name, score)`` of the literals that reach a sensitive name."""
-    known: dict[str, list] = {}
+    known: dict[str, _Value] = {}
     best: dict[tuple[int, int], tuple[float, str]] = {}
     for m in _PAIR.finditer(text):
         name, parts = m["name"], []
         for t in _TERMS.finditer(m["expr"]):
             at, raw = m.start("expr") + t.start(), t.group()
             if raw[0] in "\"'`":
-                parts.append((at + 1, at + len(raw) - 1, raw[1:-1]))
+                if len(raw) > 2:
+                    parts.append((at + 1, at + len(raw) - 1, raw[1:-1]))
             elif raw.rstrip(".:") in known:
                 parts.append(known[raw.rstrip(".:")])
             elif raw.rstrip(".:"):
                 parts.append((at, at + len(raw.rstrip(".:")), raw.rstrip(".:")))
-        known[name] = known[name.rpartition(".")[2]] = parts
+        value = parts[0] if len(parts) == 1 and isinstance(parts[0], _Value) else _Value(parts)
+        known[name] = known[name.rpartition(".")[2]] = value
         weight = sensitivity(name)
-        if weight:
-            literals = _literals(parts)
-            whole = plausibility("".join(p[2] for p in literals))
-            for a, b, value in literals:
-                score = weight * max(plausibility(value), whole if len(value) >= 3 else 0.0)
+        if weight > value.whole:
+            literals = _literals(value, weight)
+            value.told = value.whole = weight
+            whole = plausibility("".join(p[2] for p in literals)) if value.size <= WHOLE else 0.0
+            for a, b, literal in literals:
+                score = weight * max(plausibility(literal), whole if len(literal) >= 3 else 0.0)
                 if score >= THRESHOLD and score > best.get((a, b), (0.0, ""))[0]:
                     best[a, b] = (score, name)
     return [(a, b, name, round(score, 4)) for (a, b), (score, name) in best.items()]

@@ -181,7 +181,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html")
     )
     chosen = hash_sample(narrow.select("page_id"), ["page_id"], DICTIONARY_PAGES).distinct()
-    kept = narrow.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min(F.substring("html", 1, DICTIONARY_PAGE_CHARS)).alias("html"))
+    room = F.greatest(F.length("html") - DICTIONARY_PAGE_CHARS, F.lit(0)) + 1
+    start = (F.pmod(F.xxhash64("html"), room) + 1).cast("int")  # a stretch from anywhere in the page
+    kept = narrow.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min(F.substring("html", start, F.lit(DICTIONARY_PAGE_CHARS))).alias("html"))
     dictionary = fit_dictionary([r.html.encode("utf-8", "surrogatepass") for r in kept.orderBy("page_id").collect()])
 
     marks = narrow.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(f"n >= {MIN_REVISIT}")
@@ -258,7 +260,10 @@ def page_of(uri: str, kind: str) -> F.Column:
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write every page, read the archives back, and return what was read.
 
-    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to. Revisits take
+    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to. One row per page:
+    null html is an empty payload, repeated ids keep a row each, and of equal payloads all
+    with a null id stay responses (a revisit could not say which it refers to). Other columns
+    are ignored. Revisits take
     length and digest from their own headers, checked against the response they refer to;
     a mismatch or a missing response raises an error.
     """

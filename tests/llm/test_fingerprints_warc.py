@@ -3,7 +3,9 @@ import io
 import random
 import struct
 
+import numpy as np
 import pytest
+import xxhash
 import zstandard
 
 from evigraph.llm import multiset_fp as M
@@ -27,7 +29,8 @@ def test_likeness_follows_shared_words():
 
 
 def test_edits_match_brute_force(odd, odd_rows, empty, clashing, spark):
-    order = sorted(((i, t or "") for i, t, *_ in odd_rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ (1 << 63)) - (1 << 63)
+    order = sorted(((i, t or "") for i, t, *_ in odd_rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1])), reverse=True)
     want = []
     for k, (i, t) in enumerate(order):
         n = len(t) // 3
@@ -41,6 +44,62 @@ def test_edits_match_brute_force(odd, odd_rows, empty, clashing, spark):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def slow_likeness(a, b):
+    """2<a,b> / (<a,a> + <b,b>) of the signed sums of all shingles of all paragraphs, in plain integers."""
+
+    def sums(text):
+        total = [0] * M.SKETCH
+        for paragraph in text.encode().split(b"\n"):
+            ws = paragraph.split()
+            for k in range(max(1, len(ws) - 2) if ws else 0):
+                base = xxhash.xxh64_intdigest(b" ".join(ws[k : k + 3]), M.SEED)
+                for i in range(M.SKETCH // 64):
+                    x = (base + 0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64)
+                    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+                    x = (x ^ x >> 27) * 0x94D049BB133111EB % (1 << 64)
+                    x ^= x >> 31
+                    for j in range(64):
+                        total[64 * i + j] += 1 if x >> j & 1 else -1
+        return np.array(total, dtype=float)
+
+    x, y = sums(a), sums(b)
+    whole = x @ x + y @ y
+    return 1.0 if a == b else min(1.0, max(0.0, 1 - float((x - y) @ (x - y)) / whole)) if whole else 0.0
+
+
+def test_likeness_matches_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 6)))) for i in range(40)]
+    rows += [(i + 100, t + " z") for i, t in rows[:10]]
+    order = sorted(rows, reverse=True)
+    got = {r.doc_id: r for r in M.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        n = len(t) // 3
+        assert got[i].near_next == pytest.approx(slow_likeness(t, following), abs=1e-9)
+        assert got[i].near_edited == pytest.approx(slow_likeness(t, t[: len(t) - n] + following[:n]), abs=1e-9)
+
+
+def test_likeness_of_words_repeated_more_often_than_small_lanes_hold():
+    one, two = (M.Fingerprint.of("word " * n) for n in (65_538, 65_539))
+    assert one.likeness(two) > 0.99 and one != two
+
+
+def test_ids_of_any_type_and_one_id_for_most_rows(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(20)) for _ in range(300)]
+    for ids, kind in (([f"doc-{i:05d}" for i in range(300)], "string"), ([None if i % 3 else i for i in range(300)], "long"), ([7 if i % 3 else i for i in range(300)], "int")):
+        rows = list(zip(ids, texts, strict=True))
+        got = M.fingerprint_edits(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()
+        signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) ^ (1 << 63)) - (1 << 63)
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0 if kind != "string" else r[0], signed(r[1])), reverse=True)
+        want = []
+        for k, (i, t) in enumerate(order):
+            n = len(t) // 3
+            want.append((i, hashlib.sha256((t[: len(t) - n] + order[(k + 1) % len(order)][1][:n]).encode()).hexdigest()))
+        assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
 PAGES = "page_id long, url string, html string"
 
 
@@ -80,3 +139,14 @@ def test_reader_uses_the_dictionary_and_checks_records():
     for bad in (raw[:-5], raw + b"junk", raw[: len(dictionary)]):
         with pytest.raises(warc.WarcError):
             list(warc.frames(io.BytesIO(bad)))
+
+
+def test_pages_with_clashing_columns_and_very_long_html(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choice("abc <>") for _ in range(3_000_000))
+    rows = [(1, "u", long), (2, "u", long), (3, "u", "x")]
+    frame = spark.createDataFrame(rows, PAGES)
+    for c in ("digest", "refers_to", "payload", "n", "path", "copies"):
+        frame = frame.withColumn(c, frame.html)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(frame).collect()}
+    assert got == {1: (3_000_000, "response", None), 2: (3_000_000, "revisit", 1), 3: (1, "response", None)}

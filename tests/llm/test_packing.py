@@ -1,4 +1,5 @@
 import itertools
+import pathlib
 import random
 
 from evigraph.llm import packing
@@ -39,3 +40,20 @@ def test_odd_tables(odd, empty, clashing):
     assert out.where("n_tokens = 0").count() >= 3
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in odd.collect()}
     assert packing.pack(empty).count() == 0 and packing.pack(clashing).count() == out.count()
+
+
+def test_text_ids_and_vocabulary_lengths(spark):
+    rows = [(f"doc-{i:04d}", "w " * (i % 30)) for i in range(200)] + [(None, "a b")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id string, text string"), max_len=20, buckets=3, token_budget=60).collect()
+    for b in {r.bucket for r in out}:
+        group = sorted((r for r in out if r.bucket == b), key=lambda r: (r.doc_id or "", r.piece))
+        assert [(r.batch, r.slot) for r in group] == [divmod(k, max(1, 60 // max(b, 1))) for k in range(len(group))]
+    files = sorted(pathlib.Path("/opt/tokenizers").rglob("*tokenizer*.json"))
+    if files:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_file(str(files[0]))
+        model.encode_special_tokens = True
+        frame = spark.createDataFrame([(1, "Some words, more words."), (2, None), (3, "é漢 " * 50)], "doc_id long, text string")
+        got = {r.doc_id: r.n_tokens for r in packing.vocabulary_lengths(frame, str(files[0])).collect()}
+        assert got == {r.doc_id: len(model.encode(r.text or "", add_special_tokens=False).ids) for r in frame.collect()}
