@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from evigraph.functions.normalize import soundex
 from evigraph.ontology import BlockingRule, EntityType
+from evigraph.runtime import materialize
 
 #: Blocks with more records have lost their selectivity and are left out.
 MAX_BLOCK = 400
@@ -59,7 +60,7 @@ def candidate_pairs(records: DataFrame, entity: EntityType, max_block: int = MAX
 
     Sizes are counted before members meet, so a block over ``max_block`` never expands.
     """
-    keys = blocking_keys(records, entity)
+    keys = materialize(blocking_keys(records, entity), "block-keys", compact=True)
     usable = block_sizes(keys).where((F.col("n") >= 2) & (F.col("n") <= max_block)).select("block", "first_pos")
     kept = keys.join(usable, "block")
     left = kept.select("block", "first_pos", "rule", F.col("pos").alias("l"))

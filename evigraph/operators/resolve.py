@@ -78,7 +78,7 @@ def evaluate(labelled: DataFrame) -> DataFrame:
     """
     rows = labelled.where("truth_id IS NOT NULL AND entity_id IS NOT NULL")
     pairs = F.sum(F.expr("n * (n - 1) div 2"))
-    cells = rows.groupBy("entity_type", "entity_id", "truth_id").agg(F.count(F.lit(1)).alias("n"))
+    cells = materialize(rows.groupBy("entity_type", "entity_id", "truth_id").agg(F.count(F.lit(1)).alias("n")), "cells", compact=True)
     found = cells.groupBy("entity_type", "entity_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("truths"), F.min("truth_id").alias("truth_id"))
     true = cells.groupBy("entity_type", "truth_id").agg(F.sum("n").alias("n"))
     exact = found.where("truths = 1").join(true, ["entity_type", "truth_id", "n"]).groupBy("entity_type").agg(F.count(F.lit(1)).alias("exact_clusters"))

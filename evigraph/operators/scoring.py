@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigraph.functions.similarity import compare
+from evigraph.functions.similarity import NATIVE_KINDS, compare, hashed_jaccard, token_hashes
 from evigraph.ontology import EntityType, PropertyDef
+from evigraph.runtime import materialize, release
 
 EXACT = {"exact", "email", "phone", "id"}
 
@@ -23,43 +24,68 @@ def evidence_weight(prop: PropertyDef, similarity: Column) -> Column:
     )
 
 
-def property_similarity(prop: PropertyDef, a: Column, b: Column, arrays: bool = False) -> Column:
-    """Similarity of two values; of arrays, that of the best pair of elements."""
-    kind = prop.compare_kind
-    if not arrays:
-        return compare(kind, a, b)
-    if kind in EXACT:
-        return F.coalesce(F.arrays_overlap(a, b).cast("double"), F.lit(0.0))
-    return F.array_max(F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: compare(kind, x, y)))))
+def _prepared(records: DataFrame, entity: EntityType, names: list[str]) -> DataFrame:
+    """``pos`` and each property in the form that is compared: texts of the address kind as word hashes."""
+    columns = []
+    for n in names:
+        value, listed = F.col(n), isinstance(records.schema[n].dataType, T.ArrayType)
+        filled = F.size(value) > 0 if listed else value.cast("string") != ""
+        if entity.properties[n].compare_kind == "address" and "address" in NATIVE_KINDS:
+            value = F.transform(value, token_hashes) if listed else token_hashes(value)
+        columns.append(F.when(filled, value).alias(n))
+    return records.select("pos", *columns)
 
 
-def score_pairs(records: DataFrame, pairs: DataFrame, entity: EntityType) -> DataFrame:
-    """``pairs`` with ``score``, ``verdict`` and ``evidence`` (array of prop, sim, weight).
+def _best_of_lists(both: DataFrame, kind: str, n: str) -> DataFrame:
+    """``(l, r, s_<n>)``: the similarity of the best pair of elements, each pair a row of its own."""
+    pairs = both.select("l", "r", F.explode(f"l_{n}").alias("a"), F.col(f"r_{n}").alias("bs")).select("l", "r", "a", F.explode("bs").alias("b"))
+    return pairs.select("l", "r", compare(kind, F.col("a"), F.col("b")).alias("s")).groupBy("l", "r").agg(F.max("s").alias(f"s_{n}"))
+
 
-    A property missing on either side says nothing. Attributes are joined by position.
+def similarities(records: DataFrame, pairs: DataFrame, entity: EntityType) -> DataFrame:
+    """``pairs`` with ``s_<property>`` for each property of the records, written once.
+
+    Values meet by position, texts as hashes of their words. NULL where a side has no value.
     """
     names = [p for p in entity.properties if p in records.columns]
-    side = lambda tag: records.select(F.col("pos").alias(tag), *[F.col(n).alias(f"{tag}_{n}") for n in names])
+    ready = materialize(_prepared(records, entity, names), "score-values")
+    side = lambda tag: ready.select(F.col("pos").alias(tag), *[F.col(n).alias(f"{tag}_{n}") for n in names])
     both = pairs.join(side("l"), "l").join(side("r"), "r")
-    sims, weights, items = {}, {}, []
-    for n in names:
-        prop, arrays = entity.properties[n], isinstance(records.schema[n].dataType, T.ArrayType)
-        a, b = F.col(f"l_{n}"), F.col(f"r_{n}")
-        filled = lambda c, arrays=arrays: (F.size(c) > 0) if arrays else (c.isNotNull() & (c.cast("string") != ""))
-        sims[f"s_{n}"] = F.when(F.coalesce(filled(a) & filled(b), F.lit(False)), property_similarity(prop, a, b, arrays))
-        weights[f"w_{n}"] = F.when(F.col(f"s_{n}").isNotNull(), evidence_weight(prop, F.col(f"s_{n}")))
-        items.append(F.struct(F.lit(n).alias("prop"), F.col(f"s_{n}").alias("sim"), F.col(f"w_{n}").alias("weight")))
-    total = F.lit(0.0)
+    here, lists = [], []
     for n in names:
-        total = total + F.coalesce(F.col(f"w_{n}"), F.lit(0.0))
+        kind, a, b = entity.properties[n].compare_kind, F.col(f"l_{n}"), F.col(f"r_{n}")
+        if not isinstance(records.schema[n].dataType, T.ArrayType):
+            same = hashed_jaccard(a, b) if kind == "address" and kind in NATIVE_KINDS else compare(kind, a, b)
+        elif kind in EXACT & NATIVE_KINDS:
+            same = F.arrays_overlap(a, b).cast("double")
+        elif kind in NATIVE_KINDS:
+            one = hashed_jaccard if kind == "address" else lambda x, y, kind=kind: compare(kind, x, y)
+            same = F.array_max(F.transform(a, lambda x, b=b, one=one: F.array_max(F.transform(b, lambda y: one(x, y)))))
+        else:  # functions that may run in Python cannot be called on elements of arrays
+            lists.append((n, kind))
+            continue
+        here.append(F.when(a.isNotNull() & b.isNotNull(), same).alias(f"s_{n}"))
+    found = both.select(*pairs.columns, *here)
+    for n, kind in lists:
+        found = found.join(_best_of_lists(both, kind, n), ["l", "r"], "left")
+    found = materialize(found, "similarities")
+    release(ready)
+    return found
+
+
+def score_pairs(records: DataFrame, pairs: DataFrame, entity: EntityType) -> DataFrame:
+    """``pairs`` with ``score``, ``verdict`` and ``evidence`` (array of prop, sim, weight).
+
+    A property missing on either side says nothing. ``pairs`` names each l and r once.
+    """
+    found = similarities(records, pairs, entity)
+    names = [p for p in entity.properties if f"s_{p}" in found.columns]
+    weights = {f"w_{n}": F.when(F.col(f"s_{n}").isNotNull(), evidence_weight(entity.properties[n], F.col(f"s_{n}"))) for n in names}
+    items = [F.struct(F.lit(n).alias("prop"), F.col(f"s_{n}").alias("sim"), F.col(f"w_{n}").alias("weight")) for n in names]
+    total = sum((F.coalesce(F.col(f"w_{n}"), F.lit(0.0)) for n in names), F.lit(0.0))
     verdict = F.when(F.col("score") >= entity.match, "match").when(F.col("score") >= entity.review, "review").otherwise("no-match")
-    return (
-        both.withColumns(sims)
-        .withColumns(weights)
-        .withColumns({"score": total, "evidence": F.filter(F.array(*items), lambda e: e["sim"].isNotNull())})
-        .withColumn("verdict", verdict)
-        .select(*pairs.columns, "score", "verdict", "evidence")
-    )
+    evidence = F.filter(F.array(*items), lambda e: e["sim"].isNotNull())
+    return found.withColumns(weights).withColumns({"score": total, "evidence": evidence}).withColumn("verdict", verdict).select(*pairs.columns, "score", "verdict", "evidence")
 
 
 def explain(evidence: list, score: float, verdict: str) -> str:

@@ -15,7 +15,7 @@ from evigraph.operators.clustering import cluster
 from evigraph.operators.merge import build_entities, merged_values
 from evigraph.operators.resolve import evaluate, find_errors
 from evigraph.plans.compiler import Engine
-from evigraph.runtime import table
+from evigraph.runtime import materialize, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -235,7 +235,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str, entity: EntityType = DOCUMENT) -> tuple[DataFrame, DataFrame]:
-    records = _records(spark, sf_dir)
+    records = materialize(_records(spark, sf_dir), "records")
     return records, scoring.score_pairs(records, blocking.candidate_pairs(records, entity), entity)
 
 
