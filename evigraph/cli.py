@@ -81,7 +81,7 @@ class Commands:
     def eval(self) -> int:
         run = self.analysed()
         if run.labelled is None:
-            print("the folder has no truth.jsonl", file=sys.stderr)
+            print("the folder has no truth.json", file=sys.stderr)
             return 1
         for r in run.evaluation().orderBy("entity_type").collect():
             print(f"{r.entity_type}: precision {r.precision:.4f}, recall {r.recall:.4f}, F1 {r.f1:.4f}, exact {r.exact_clusters} of {r.true_entities}")

@@ -13,7 +13,7 @@ from evigraph.operators.graph import KnowledgeGraph, build_edges, dangling_links
 from evigraph.operators.resolve import Resolution, evaluate, find_errors, resolve
 from evigraph.ontology import Ontology, default_ontology
 from evigraph.runtime import count_rows, materialize
-from evigraph.sources.adapters import _exists, ingest
+from evigraph.sources.adapters import ingest, read_truth
 
 RISK_FLAG = 0.5
 
@@ -97,9 +97,8 @@ def run(spark: SparkSession, folder: str, ontology: Ontology | None = None) -> R
     found = risk.run_all(graph.entities, graph.edges, ontology, seeds)
     flags = materialize(entity_flags(graph.entities, seeds, found["risk"], found["attributed"]), "flags")
     lap("analytics")
-    labelled, truth = None, f"{folder.rstrip('/')}/truth.jsonl"
-    if _exists(spark, truth):
-        known = spark.read.schema("key string, truth_id string").json(truth)
+    labelled, known = None, read_truth(spark, folder)
+    if known is not None:
         kinds = graph.entities.select(F.col("id").alias("entity_id"), "entity_type")
         labelled = materialize(resolution.assignment.join(known, "key").join(kinds, "entity_id").select("key", "entity_type", "entity_id", "truth_id"), "labelled")
     lap("evaluate")

@@ -12,7 +12,7 @@ from evigraph.streaming import keyed_stream, normalized_stream
 @pytest.fixture(scope="module")
 def run(spark, tmp_path_factory):
     folder = f"file://{tmp_path_factory.mktemp('corpus')}"
-    synthetic.generate(spark, folder, 99, 60, 20)
+    synthetic.generate(spark, folder, 99, 80, 25)
     return engine.run(spark, folder)
 
 
