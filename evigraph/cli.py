@@ -28,13 +28,11 @@ def _uri(path: str) -> str:
     return path if "://" in path else "file://" + os.path.abspath(path)
 
 
-def _table(frame: DataFrame, limit: int = 50) -> str:
-    rows = frame.limit(limit).collect()
-    if not rows:
-        return "nothing found"
+def _table(frame: DataFrame) -> str:
+    """All rows of an answer; the query's own limit says how many there are."""
     keep = [c for c in ("id", "label", "entity_type", "risk", "degree", "records", "hops", "path") if c in frame.columns] or frame.columns
     show = lambda v: f"{v:.3f}" if isinstance(v, float) else " > ".join(v) if isinstance(v, list) else str(v)
-    return "\n".join("  ".join(show(r[c]) for c in keep) for r in rows)
+    return "\n".join("  ".join(show(r[c]) for c in keep) for r in frame.select(*keep).toLocalIterator()) or "nothing found"
 
 
 class Commands:

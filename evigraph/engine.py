@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.operators import risk
-from evigraph.operators.graph import KnowledgeGraph, build_edges, dangling_links, graph_stats, rewire
+from evigraph.operators.graph import KnowledgeGraph, dangling_links, fold, graph_stats, observations, rewire
 from evigraph.operators.resolve import Resolution, evaluate, find_errors, resolve
 from evigraph.ontology import Ontology, default_ontology
-from evigraph.runtime import count_rows, materialize
+from evigraph.runtime import count_rows, materialize, release
 from evigraph.sources.adapters import ingest, read_truth
 
 RISK_FLAG = 0.5
@@ -46,7 +46,7 @@ class Run:
     def save(self, path: str) -> None:
         """The graph, findings, cases, evaluation and statistics."""
         self.graph.save(f"{path}/graph")
-        tables = {"findings": self.findings.withColumn("severity", F.round("severity", 3)), "cases": self.cases, "risk": self.risk, "communities": self.communities, "graph_stats": graph_stats(self.graph.entities, self.graph.edges)}
+        tables = {"findings": self.findings.withColumn("severity", F.round("severity", 3)), "cases": self.cases, "risk": self.risk, "communities": self.communities, "graph_stats": graph_stats(self.graph.entities, self.graph.edges, self.graph.dangling)}
         if self.labelled is not None:
             tables["evaluation"] = self.evaluation()
         for name, frame in tables.items():
@@ -91,10 +91,12 @@ def run(spark: SparkSession, folder: str, ontology: Ontology | None = None) -> R
     resolution = resolve(data.records, ontology)
     lap("resolve")
     wired = materialize(rewire(data.links, resolution.assignment), "wired")
-    graph = KnowledgeGraph(ontology, resolution.entities, materialize(build_edges(wired, ontology), "edges"), count_rows(dangling_links(wired, ontology)))
+    seen = materialize(observations(wired, ontology), "observations")
+    graph = KnowledgeGraph(ontology, resolution.entities, materialize(fold(seen), "edges"), count_rows(dangling_links(wired, ontology)), seen)
+    release(wired)
     lap("graph")
     seeds = materialize(watchlisted(graph.entities), "seeds")
-    found = risk.run_all(graph.entities, graph.edges, ontology, seeds)
+    found = risk.run_all(graph.entities, graph.edges, seen, ontology, seeds)
     flags = materialize(entity_flags(graph.entities, seeds, found["risk"], found["attributed"]), "flags")
     lap("analytics")
     labelled, known = None, read_truth(spark, folder)

@@ -1,8 +1,9 @@
 """The typed knowledge graph: edges from links, adjacency, degrees, lookups, storage.
 
-``edges``: id, link_type, src, dst, count, total_amount, observations (array of structs ord,
-link_key, amount, date, attrs), provenance (first 25 link keys). ``entities``: id,
-entity_type, ord, props, members, sources, confidence.
+``edges``: id, link_type, src, dst, count, total_amount. What stands behind them is a table of
+its own, ``observations``: edge_id, link_type, src, dst, ord, link_key, amount, date, attrs; an
+edge's row stays small however often it is seen. ``entities``: id, entity_type, ord, props,
+members, sources, confidence.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evigraph.ontology import Ontology
+from evigraph.runtime import exists
 
 PROVENANCE = 25
 LABELS = ("full_name", "legal_name", "account_number", "address", "label")
@@ -33,8 +35,8 @@ def dangling_links(rewired: DataFrame, ontology: Ontology) -> DataFrame:
     return rewired.where(F.col("link_type").isin(list(ontology.links)) & (F.col("src").isNull() | F.col("dst").isNull()))
 
 
-def build_edges(rewired: DataFrame, ontology: Ontology) -> DataFrame:
-    """One edge per (link type, source, target) with all its observations.
+def observations(rewired: DataFrame, ontology: Ontology) -> DataFrame:
+    """Every link between two known entities, with the id and ends of its edge.
 
     Symmetric types are stored with the smaller end first; unknown types, dangling links and
     links within one entity are left out.
@@ -43,26 +45,29 @@ def build_edges(rewired: DataFrame, ontology: Ontology) -> DataFrame:
     known = rewired.where(F.col("link_type").isin(list(ontology.links)) & F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
     flip = F.col("link_type").isin(symmetric) & (F.col("src") > F.col("dst"))
     ends = known.withColumns({"a": F.when(flip, F.col("dst")).otherwise(F.col("src")), "b": F.when(flip, F.col("src")).otherwise(F.col("dst"))})
-    seen = F.struct("ord", "link_key", "amount", "date", "attrs")
-    edges = ends.groupBy("link_type", F.col("a").alias("src"), F.col("b").alias("dst")).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"),
-        F.collect_list(seen).alias("observations"),
-    )
-    # maps are not comparable, so observations are ordered by position and key alone
-    ordered = F.array_sort("observations", lambda x, y: F.when(F.struct(x["ord"], x["link_key"]) < F.struct(y["ord"], y["link_key"]), -1).when(F.struct(x["ord"], x["link_key"]) > F.struct(y["ord"], y["link_key"]), 1).otherwise(0))
-    edges = edges.withColumn("observations", ordered)
-    return edges.select(
-        F.concat_ws("|", "link_type", "src", "dst").alias("id"),
-        "link_type", "src", "dst", "count", "total_amount", "observations",
-        F.transform(F.slice("observations", 1, PROVENANCE), lambda o: o["link_key"]).alias("provenance"),
-    )
+    return ends.select(F.concat_ws("|", "link_type", "a", "b").alias("edge_id"), "link_type", F.col("a").alias("src"), F.col("b").alias("dst"), "ord", "link_key", "amount", "date", "attrs")
+
+
+def fold(seen: DataFrame) -> DataFrame:
+    """One edge per (link type, source, target) of the observations."""
+    edges = seen.groupBy("link_type", "src", "dst").agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"))
+    return edges.select(F.concat_ws("|", "link_type", "src", "dst").alias("id"), "link_type", "src", "dst", "count", "total_amount")
+
 
+def build_edges(rewired: DataFrame, ontology: Ontology) -> DataFrame:
+    return fold(observations(rewired, ontology))
+
+
+def provenance(seen: DataFrame, most: int = PROVENANCE) -> DataFrame:
+    """``(edge_id, provenance)``: the keys of each edge's first links, ``most`` at most."""
+    first = Window.partitionBy("edge_id").orderBy("ord", "link_key")
+    few = seen.select("edge_id", "ord", "link_key").withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    return few.groupBy("edge_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "link_key"))), lambda x: x["link_key"]).alias("provenance"))
 
-def edge_dates(edges: DataFrame) -> DataFrame:
+
+def edge_dates(seen: DataFrame) -> DataFrame:
     """``(id, dates)``: the sorted dates of each edge's observations."""
-    dates = F.filter(F.transform("observations", lambda o: o["date"]), lambda d: d.isNotNull())
-    return edges.select("id", F.array_sort(dates).alias("dates"))
+    return seen.groupBy(F.col("edge_id").alias("id")).agg(F.array_sort(F.collect_list("date")).alias("dates"))
 
 
 def adjacency(edges: DataFrame, link_types: Iterable[str] | None = None, direction: str = "both") -> DataFrame:
@@ -86,13 +91,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def graph_stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(section, name, n)``: entities and edges by type, and observations in all."""
-    return (
+def graph_stats(entities: DataFrame, edges: DataFrame, dangling: int | None = None) -> DataFrame:
+    """``(section, name, n)``: entities and edges by type, observations in all, and dangling links if they are known."""
+    counted = (
         entities.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("entity").alias("section"), F.col("entity_type").alias("name"), "n")
         .unionByName(edges.groupBy("link_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("section"), F.col("link_type").alias("name"), "n"))
         .unionByName(edges.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).select(F.lit("total").alias("section"), F.lit("observations").alias("name"), "n"))
     )
+    if dangling is None:
+        return counted
+    return counted.unionByName(entities.sparkSession.createDataFrame([("total", "dangling_links", dangling)], "section string, name string, n long"))
 
 
 def label() -> Column:
@@ -129,21 +137,33 @@ def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 @dataclass
 class KnowledgeGraph:
-    """Entities, edges and the schema they follow."""
+    """Entities, edges, the observations behind them and the schema they follow."""
 
     ontology: Ontology
     entities: DataFrame
     edges: DataFrame
     dangling: int = 0
+    observations: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        """Nodes and edges as Parquet, with a JSON export beside them."""
+        """Entities, edges and observations as Parquet, the schema's name and the dangling links, and a JSON export."""
+        spark = self.entities.sparkSession
         self.entities.write.mode("overwrite").parquet(f"{path}/entities")
         self.edges.write.mode("overwrite").parquet(f"{path}/edges")
+        exported = self.edges
+        if self.observations is not None:
+            self.observations.write.mode("overwrite").parquet(f"{path}/observations")
+            exported = exported.join(provenance(self.observations).withColumnRenamed("edge_id", "id"), "id", "left")
+        spark.createDataFrame([(self.ontology.name, self.dangling)], "ontology string, dangling_links long").write.mode("overwrite").json(f"{path}/graph")
         rounded = self.entities.withColumn("confidence", F.round("confidence", 4)).withColumn("label", label())
         rounded.write.mode("overwrite").json(f"{path}/json/entities")
-        self.edges.write.mode("overwrite").json(f"{path}/json/edges")
+        exported.write.mode("overwrite").json(f"{path}/json/edges")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, ontology: Ontology) -> KnowledgeGraph:
-        return cls(ontology, spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/edges"))
+        """What ``save`` wrote; the schema must be the one it was saved with."""
+        head = spark.read.schema("ontology string, dangling_links long").json(f"{path}/graph").first()
+        if head.ontology != ontology.name:
+            raise ValueError(f"the graph follows {head.ontology}, not {ontology.name}")
+        seen = spark.read.parquet(f"{path}/observations") if exists(spark, f"{path}/observations") else None
+        return cls(ontology, spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/edges"), head.dangling_links, seen)

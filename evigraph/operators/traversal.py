@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.operators.graph import adjacency
-from evigraph.runtime import materialize
+from evigraph.runtime import count_rows, materialize
 
 
 def ego(edges: DataFrame, nodes: DataFrame | str, hops: int = 1, link_types: Iterable[str] | None = None) -> DataFrame:
@@ -57,28 +57,48 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_hops: int = 6, lin
     return spark.createDataFrame([], shape)
 
 
+def nearest(edges: DataFrame, start: str, targets: DataFrame, max_hops: int = 4) -> tuple[str, int] | None:
+    """The target (column node) that the fewest hops lead to, the smallest of several, and how many."""
+    spark = edges.sparkSession
+    near = materialize(adjacency(edges).select("node", "other").distinct(), "near")
+    seen = spark.createDataFrame([(start, 0)], "node string, hop int")
+    others = targets.select("node").where(F.col("node") != start)
+    for hop in range(1, max_hops + 1):
+        ahead = seen.where(F.col("hop") == hop - 1).join(near, "node").select(F.col("other").alias("node")).distinct()
+        new = materialize(ahead.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), f"ring-{hop}")
+        hit = new.join(others, "node", "left_semi").agg(F.min("node")).first()[0]
+        if hit is not None:
+            return hit, hop
+        if not new.limit(1).count():
+            break
+        seen = seen.unionByName(new)
+    return None
+
+
 def all_paths(edges: DataFrame, start: str, end: str, max_hops: int = 4, limit: int | None = 25) -> DataFrame:
     """``(hops, path, edge_ids)``: simple paths, shortest first; parallel edges are distinct.
 
     Partial paths are only extended to nodes from which the end can still be reached in the
-    hops that are left.
+    hops that are left, and longer paths are not sought once shorter ones fill the limit.
     """
     near = materialize(adjacency(edges).select("node", "other", "edge_id"), "near")
     left = ego(edges, end, max_hops).withColumnsRenamed({"node": "other", "hops": "left"})
     paths = edges.sparkSession.createDataFrame([(start, [start], [])], "node string, path array<string>, edge_ids array<string>")
-    found = None
-    if start != end:
-        for hop in range(1, max_hops + 1):
-            step = (
-                paths.join(near, "node")
-                .where(~F.array_contains("path", F.col("other")))
-                .join(left.where(F.col("left") <= max_hops - hop), "other")
-                .select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
-            )
-            step = materialize(step, f"paths-{hop}")
-            done = step.where(F.col("node") == end).select(F.lit(hop).alias("hops"), "path", "edge_ids")
-            found = done if found is None else found.unionByName(done)
-            paths = step.where(F.col("node") != end)
+    found, known = None, 0
+    for hop in range(1, max_hops + 1 if start != end else 0):
+        step = (
+            paths.join(near, "node")
+            .where(~F.array_contains("path", F.col("other")))
+            .join(left.where(F.col("left") <= max_hops - hop), "other")
+            .select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"), F.concat("edge_ids", F.array("edge_id")).alias("edge_ids"))
+        )
+        step = materialize(step, f"paths-{hop}")
+        done = step.where(F.col("node") == end).select(F.lit(hop).alias("hops"), "path", "edge_ids")
+        found = done if found is None else found.unionByName(done)
+        known += count_rows(done) if limit is not None else 0
+        if limit is not None and known >= limit:
+            break
+        paths = step.where(F.col("node") != end)
     if found is None:
         return edges.sparkSession.createDataFrame([], "hops int, path array<string>, edge_ids array<string>")
     found = found.orderBy("hops", "path", "edge_ids")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions.normalize import norm_date
 from evigraph.operators.components import connected_components
-from evigraph.runtime import materialize
+from evigraph.runtime import count_rows, materialize, release
 
 COLUMNS = ("finding_id", "kind", "severity", "entities", "title", "evidence")
 
@@ -29,27 +29,54 @@ def _top(found: DataFrame, limit: int | None) -> DataFrame:
     return found if limit is None else found.limit(limit)
 
 
+def _trimmed(flow: DataFrame, rounds: int = 5) -> DataFrame:
+    """Edges without those that begin or end where a cycle cannot pass, some rounds of it."""
+    size = count_rows(flow)
+    for _ in range(rounds):
+        some = flow.join(flow.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(flow.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        some = materialize(some.select("src", "dst", "total_amount"), "flow", compact=True)
+        release(flow)
+        flow, left = some, count_rows(some)
+        if left == size:
+            break
+        size = left
+    return flow
+
+
+def _first_of_each(walks: DataFrame) -> DataFrame:
+    """Of walks between the same two nodes over the same nodes the first."""
+    best = walks.groupBy("start", "node", F.array_sort("path").alias("nodes")).agg(F.min(F.struct("path", "total")).alias("m"))
+    return best.select("start", "node", "m.path", "m.total")
+
+
 def cycles(edges: DataFrame, link_type: str = "transacted", min_observations: int = 3, max_length: int = 8) -> DataFrame:
     """``(path, total_amount)``: directed simple cycles of 3 to ``max_length`` nodes on repeated edges.
 
-    A cycle starts at its smallest node and grows only through larger ones; of cycles over
-    the same nodes the first path is kept.
+    A cycle starts at its smallest node. Half of it is walked forward and half backward from
+    there, through larger nodes only, and the halves meet where they end; of halves, as of
+    cycles, over the same nodes the first path is kept, so dense graphs cost sets of nodes
+    instead of paths.
     """
-    flow = materialize(
-        edges.where((F.col("link_type") == link_type) & (F.col("count") >= min_observations)).select("src", "dst", "total_amount"), "flow"
-    )
-    paths = flow.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"), F.col("total_amount").alias("total"))
+    flow = edges.where((F.col("link_type") == link_type) & (F.col("count") >= min_observations)).select("src", "dst", "total_amount")
+    flow = _trimmed(materialize(flow, "flow", compact=True))
+    step = flow.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("total_amount").alias("t"))
+    ahead = {1: flow.where("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"), F.col("total_amount").alias("total"))}
+    back = {1: flow.where("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("node"), F.array("src").alias("path"), F.col("total_amount").alias("total"))}
+    unseen = lambda c: (F.col(c) > F.col("start")) & ~F.array_contains("path", F.col(c))
+    for size in range(2, (max_length + 1) // 2 + 1):
+        more = ahead[size - 1].join(step, F.col("node") == F.col("a")).where(unseen("b"))
+        more = more.select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), (F.col("total") + F.col("t")).alias("total"))
+        ahead[size] = materialize(_first_of_each(more), f"ahead-{size}", compact=True)
+        if size <= max_length // 2:
+            more = back[size - 1].join(step, F.col("node") == F.col("b")).where(unseen("a"))
+            more = more.select("start", F.col("a").alias("node"), F.concat(F.array("a"), "path").alias("path"), (F.col("total") + F.col("t")).alias("total"))
+            back[size] = materialize(_first_of_each(more), f"back-{size}", compact=True)
     found = None
-    for size in range(3, max_length + 2):
-        paths = materialize(paths, f"cycles-{size}")
-        ahead = paths.join(flow.withColumnsRenamed({"src": "node", "dst": "next"}), "node")
-        closed = ahead.where((F.col("next") == F.col("start")) & (F.size("path") >= 3)).select("path", (F.col("total") + F.col("total_amount")).alias("total_amount"))
+    for size in range(3, max_length + 1):
+        first, rest = ahead[(size + 1) // 2], back[size // 2].withColumnsRenamed({"path": "rest", "total": "more"})
+        closed = first.join(rest, ["start", "node"]).withColumn("rest", F.slice("rest", 2, max_length)).where(~F.arrays_overlap("path", "rest"))
+        closed = closed.select(F.concat("path", "rest").alias("path"), (F.col("total") + F.col("more")).alias("total_amount"))
         found = closed if found is None else found.unionByName(closed)
-        if size > max_length:
-            break
-        paths = ahead.where((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))).select(
-            "start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), (F.col("total") + F.col("total_amount")).alias("total")
-        )
     return found.groupBy(F.array_sort("path").alias("nodes")).agg(F.min(F.struct("path", "total_amount")).alias("m")).select("m.path", "m.total_amount")
 
 
@@ -68,9 +95,9 @@ def circular_flows(edges: DataFrame, link_type: str = "transacted", min_observat
     )
 
 
-def near_threshold(edges: DataFrame, threshold: float = 10_000.0, band: float = 0.15, min_count: int = 4, min_share: float = 0.35, link_type: str = "transacted") -> DataFrame:
+def near_threshold(observations: DataFrame, threshold: float = 10_000.0, band: float = 0.15, min_count: int = 4, min_share: float = 0.35, link_type: str = "transacted") -> DataFrame:
     """Per account: payments just under the threshold, their share, range and counterparties."""
-    paid = edges.where(F.col("link_type") == link_type).select("src", "dst", F.explode("observations").alias("o")).select("src", "dst", F.col("o.amount").alias("amount")).where("amount IS NOT NULL")
+    paid = observations.where((F.col("link_type") == link_type) & F.col("amount").isNotNull()).select("src", "dst", "amount")
     hit = (F.col("amount") >= threshold * (1 - band)) & (F.col("amount") < threshold)
     amount = F.when(hit, F.col("amount"))
     per = paid.groupBy("src").agg(
@@ -80,9 +107,9 @@ def near_threshold(edges: DataFrame, threshold: float = 10_000.0, band: float =
     return per.withColumn("share", F.col("hits") / F.col("outgoing")).where((F.col("hits") >= min_count) & (F.col("share") >= min_share))
 
 
-def structuring(edges: DataFrame, threshold: float = 10_000.0, band: float = 0.15, min_count: int = 4, limit: int | None = 20, min_share: float = 0.35, link_type: str = "transacted") -> DataFrame:
+def structuring(observations: DataFrame, threshold: float = 10_000.0, band: float = 0.15, min_count: int = 4, limit: int | None = 20, min_share: float = 0.35, link_type: str = "transacted") -> DataFrame:
     """Payments sized to stay under a reporting threshold that dominate an account's payments."""
-    found = near_threshold(edges, threshold, band, min_count, min_share, link_type)
+    found = near_threshold(observations, threshold, band, min_count, min_share, link_type)
     return _top(
         found.select(
             *_finding(

@@ -14,8 +14,10 @@ from evigraph.operators import analytics, blocking, graph, risk, scoring, traver
 from evigraph.operators.clustering import cluster
 from evigraph.operators.merge import build_entities, merged_values
 from evigraph.operators.resolve import evaluate, find_errors
+from evigraph.ontology import default_ontology
 from evigraph.plans.compiler import Engine
-from evigraph.runtime import materialize, table
+from evigraph.sources import adapters
+from evigraph.runtime import materialize, number_rows, scratch_path, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -184,8 +186,14 @@ _pair_query(
     "len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / CAST(len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS DOUBLE)",
 )
 _pair_query("exact_parts", S.exact, "CASE WHEN a = b THEN 1.0 ELSE 0.0 END")
-_pair_query("name_similarity_parts", S.name_similarity, None)
-_pair_query("org_similarity_parts", S.org_similarity, None)
+# part names have two words of several letters: the best of the four word pairs, then what is left of it
+_JW = {(i, j): f"jaro_winkler_similarity(split_part(a, ' ', {i}), split_part(b, ' ', {j}))" for i in (1, 2) for j in (1, 2)}
+_PAIRED_SQL = f"""(CASE WHEN greatest({_JW[1, 1]}, {_JW[2, 2]}) > greatest({_JW[1, 2]}, {_JW[2, 1]}) OR {_JW[1, 1]} >= greatest({_JW[1, 2]}, {_JW[2, 1]}) THEN {_JW[1, 1]} + {_JW[2, 2]} ELSE {_JW[1, 2]} + {_JW[2, 1]} END) / 2"""
+_pair_query(
+    "name_similarity_parts", S.name_similarity,
+    f"greatest({_PAIRED_SQL}, len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / CAST(len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS DOUBLE))",
+)
+_pair_query("org_similarity_parts", S.org_similarity, _PAIRED_SQL)
 
 
 @query(
@@ -224,6 +232,8 @@ DOCUMENT = EntityType(
     match=9.0,
     review=4.5,
 )
+#: With these thresholds some pairs are left to review.
+_REVIEWED = EntityType("document", DOCUMENT.properties, DOCUMENT.blocking, match=9.0, review=-12.0)
 _DOC_ID = EntityType("document", {**DOCUMENT.properties, "source": PropertyDef("source", "id", 0.9, 1e-6, 1.0)}, DOCUMENT.blocking)
 
 
@@ -284,6 +294,35 @@ def blocking_soundex_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.blocking_keys(records, entity).select("pos", "block")
 
 
+_CUSTOMER = EntityType(
+    "customer", {n: PropertyDef(n) for n in ("name", "nation", "segment")},
+    (BlockingRule("nation", ("nation",)), BlockingRule("both", ("nation", "segment")), BlockingRule("sound", ("segment",), "soundex"), BlockingRule("tail", ("name",), "prefix", 14)),
+)
+_CUSTOMER_KEYS = f"""keys AS (SELECT c_custkey AS pos, unnest(['nation:' || c_nationkey, 'both:' || c_nationkey || '|' || c_mktsegment, 'sound:' || ({_sql_soundex("c_mktsegment")}) || ({_sql_soundex("c_mktsegment")}),
+  'tail:' || left(c_name, 14)]) AS block, unnest([0, 1, 2, 3]) AS rule FROM customer)"""
+
+
+def _customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    return rows.select(F.col("c_custkey").alias("pos"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("nation"), F.col("c_mktsegment").alias("segment"))
+
+
+@query("blocking_rules_customers", f"WITH {_CUSTOMER_KEYS} SELECT pos, rule, block FROM keys")
+def blocking_rules_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact keys of one and two properties, soundex and prefix: the union of four rules."""
+    return blocking.blocking_keys(_customer_records(spark, sf_dir), _CUSTOMER)
+
+
+@query(
+    "candidate_pairs_customers",
+    f"""WITH {_CUSTOMER_KEYS}, sizes AS (SELECT block, count(*) AS n, min(pos) AS first_pos FROM keys GROUP BY 1)
+        SELECT a.pos AS l, b.pos AS r, min(s.first_pos) AS first_pos FROM keys a JOIN keys b ON a.block = b.block AND a.pos < b.pos JOIN sizes s ON s.block = a.block WHERE s.n BETWEEN 2 AND 60 GROUP BY 1, 2""",
+)
+def candidate_pairs_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that several rules make count once; blocks of more than 60 records are left out."""
+    return blocking.candidate_pairs(_customer_records(spark, sf_dir), _CUSTOMER, 60).select("l", "r", "first_pos")
+
+
 @query("block_stats_docs", f"WITH {_DOCS_SQL} SELECT count(*) AS blocks, coalesce(max(n), 0) AS largest_block, count(*) FILTER (WHERE n > 400) AS skipped_blocks FROM sizes")
 def block_stats_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.block_statistics(_records(spark, sf_dir), DOCUMENT)
@@ -304,9 +343,9 @@ def match_verdicts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir)[1].select("l", "r", F.round("score", 6).alias("score"), "verdict")
 
 
-@query("review_queue_docs", f"WITH {_DOCS_SQL} SELECT l, r, round(score, 6) AS score FROM pairs WHERE verdict = 'review' ORDER BY score DESC, l, r LIMIT 500")
+@query("review_queue_docs", f"WITH {_DOCS_SQL} SELECT l, r, round(score, 6) AS score FROM pairs WHERE score < 9.0 AND score >= -12.0 ORDER BY round(score, 6) DESC, l, r LIMIT 500")
 def review_queue_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)[1].where("verdict = 'review'").select("l", "r", F.round("score", 6).alias("score"))
+    scored = _scored(spark, sf_dir, _REVIEWED)[1].where("verdict = 'review'").select("l", "r", F.round("score", 6).alias("score"))
     return scored.orderBy(F.desc("score"), "l", "r").limit(500)
 
 
@@ -398,10 +437,155 @@ def find_errors_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) FILTER (WHERE value > 50) AS value FROM events GROUP BY 1""",
 )
 def key_merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from evigraph.sources.adapters import merge_by_key
-
     events = table(spark, sf_dir, "events").withColumn("value", F.when(F.col("value") > 50, F.col("value")))
-    return merge_by_key(events.select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id")
+    return adapters.merge_by_key(events.select("user_id", "event_id", "event_type", "value"), ["user_id"], "event_id")
+
+
+# --- intake ------------------------------------------------------------------------------
+
+
+def _taken_in(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    """``(kind, pos, key, value)``: the records and links that a source file of these rows yields.
+
+    The rows are written as the file, in the order given by ``ord``, and read back by the adapter.
+    """
+    folder = scratch_path(spark, "intake")
+    lines = rows.coalesce(1).sortWithinPartitions("ord").drop("ord")
+    lines.write.csv(f"{folder}/{name}", header=True) if name.endswith(".csv") else lines.write.json(f"{folder}/{name}")
+    got, ontology = adapters.ingest(spark, folder, default_ontology()), default_ontology()
+    out = None
+    for kind, records in got.records.items():
+        shown = [F.concat(F.lit(f"{p}="), F.col(p).cast("string")) for p in ontology.entity(kind).properties if p in records.columns]
+        part = records.select(F.lit(kind).alias("kind"), "pos", "key", F.concat_ws(";", *shown).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    if got.links is not None:
+        value = F.concat_ws(";", "source_key", "target_key", F.col("amount").cast("decimal(18,2)").cast("string"), "date", F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
+        out = out.unionByName(got.links.select(F.col("link_type").alias("kind"), F.col("ord").alias("pos"), F.col("link_key").alias("key"), value.alias("value")))
+    return out
+
+
+@query(
+    "intake_natreg",
+    """WITH c AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer), home AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS k FROM c WHERE c_custkey % 3 > 0)
+       SELECT 'person' AS kind, n AS pos, 'natreg:R' || c_custkey AS key, 'full_name=ann customer' || CASE WHEN c_custkey % 5 = 0 THEN ';dob=1970-01-0' || (1 + c_custkey % 9) ELSE '' END || ';national_id=n' || c_custkey ||
+         CASE WHEN c_custkey % 3 > 0 THEN ';address=' || c_custkey || ' mill street' ELSE '' END || ';nationality=c' || c_nationkey AS value FROM c
+       UNION ALL SELECT 'location', k, 'natreg:LOCR' || c_custkey, 'address=' || c_custkey || ' mill street;city=town ' || c_nationkey || ';country=c' || c_nationkey FROM home
+       UNION ALL SELECT 'resides_at', k, 'natreg:RESR' || c_custkey, 'natreg:R' || c_custkey || ';natreg:LOCR' || c_custkey || ';' FROM home""",
+)
+def intake_natreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    return _taken_in(spark, "natreg_persons.csv", table(spark, sf_dir, "customer").select(
+        k.alias("ord"), text("R", k).alias("record_id"), F.lit("CUSTOMER").alias("surname"), F.lit("Ann").alias("given_names"), F.when(k % 5 == 0, text("1970-01-0", 1 + k % 9)).alias("date_of_birth"),
+        text("N-", k).alias("national_id"), F.when(k % 3 > 0, text(k, " Mill St.")).alias("residential_address"), text("Town  ", F.col("c_nationkey")).alias("city"), text("C", F.col("c_nationkey")).alias("country"), F.lit("xx").alias("nationality"),
+    ))
+
+
+@query(
+    "intake_hr",
+    """WITH s AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer), e AS (SELECT c_nationkey, min(n) AS first, max(n) AS last, max(n) FILTER (WHERE c_custkey % 4 > 0) AS named FROM s GROUP BY 1)
+       SELECT 'person' AS kind, n AS pos, 'hr:H' || c_custkey AS key, 'full_name=robert staff;email=bob' || c_custkey || '@corp.com' || CASE WHEN c_custkey % 2 = 0 THEN ';phone=71230000' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') ELSE '' END || ';occupation=' || lower(c_mktsegment) AS value FROM s
+       UNION ALL SELECT 'organization', row_number() OVER (ORDER BY first) - 1, 'hr:E' || e.c_nationkey, 'legal_name=' || CASE WHEN named IS NULL THEN '' ELSE 'works ' || (SELECT c_custkey FROM s WHERE s.n = named) END || ';country=c' || e.c_nationkey FROM e
+       UNION ALL SELECT 'employed_by', n, 'hr:EMPH' || c_custkey, 'hr:H' || c_custkey || ';hr:E' || c_nationkey || ';01/02/2019;role=' || c_mktsegment || ',since=01/02/2019' FROM s""",
+)
+def intake_hr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Employers repeat on every row; their last name in file order that is not empty counts."""
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    return _taken_in(spark, "hr_directory.csv", table(spark, sf_dir, "customer").select(
+        k.alias("ord"), text("H", k).alias("staff_id"), F.lit("Dr Bob Staff").alias("display_name"), F.lit(None).cast("string").alias("date_of_birth"), text("Bob", k, "+x@Corp.com").alias("work_email"),
+        F.when(k % 2 == 0, text("+44 7123 0000 ", F.lpad((k % 100).cast("string"), 2, "0"))).alias("mobile"), F.col("c_mktsegment").alias("job_title"), text("E", F.col("c_nationkey")).alias("employer_id"),
+        F.when(k % 4 > 0, text("Works ", k, " Ltd")).alias("employer_name"), text("C", F.col("c_nationkey")).alias("employer_country"), F.lit("01/02/2019").alias("start_date"),
+    ))
+
+
+@query(
+    "intake_bank",
+    """WITH b AS (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer), p AS (SELECT *, row_number() OVER (PARTITION BY c_custkey % 3 > 0 ORDER BY c_custkey) - 1 AS m FROM b)
+       SELECT 'account' AS kind, n AS pos, 'bank:K' || c_custkey || 'A' AS key, 'account_number=acc' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ';iban=xb' || c_custkey ELSE '' END || ';institution=first bank;currency=eur;opened=2018-03-05' AS value FROM b
+       UNION ALL SELECT 'person', m, 'bank:K' || c_custkey || 'H', 'full_name=ann holder;dob=1970-02-01' FROM p WHERE c_custkey % 3 > 0
+       UNION ALL SELECT 'organization', m, 'bank:K' || c_custkey || 'H', 'legal_name=holder ' || c_custkey || ';reg_number=r' || c_custkey || ';country=de' FROM p WHERE c_custkey % 3 = 0
+       UNION ALL SELECT CASE WHEN c_custkey % 3 > 0 THEN 'owns_account' ELSE 'controls_account' END, n, CASE WHEN c_custkey % 3 > 0 THEN 'bank:OWNK' ELSE 'bank:CTLK' END || c_custkey, 'bank:K' || c_custkey || 'H;bank:K' || c_custkey || 'A;' FROM b""",
+)
+def intake_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    mine = k % 3 > 0
+    return _taken_in(spark, "bank_kyc.jsonl", table(spark, sf_dir, "customer").select(
+        k.alias("ord"), text("K", k).alias("kyc_id"), text("ACC-", k).alias("account_no"), F.when(k % 2 == 0, text("XB ", k)).alias("iban"), F.lit("First Bank AG").alias("bank"), F.lit("EUR").alias("ccy"), F.lit("05/03/2018").alias("opened_on"),
+        F.when(mine, "individual").otherwise("corporate").alias("holder_type"), F.when(mine, F.lit("Mrs Ann HOLDER")).otherwise(text("Holder ", k, " GmbH")).alias("holder_name"), F.when(mine, F.lit("01 Feb 1970")).alias("holder_dob"),
+        F.when(~mine, text("R-", k)).alias("holder_reg"), F.when(~mine, F.lit("DE")).alias("holder_country"),
+    ))
+
+
+@query(
+    "intake_corpreg",
+    """WITH s AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM supplier), o AS (SELECT s.s_suppkey, s.n, k FROM s, (SELECT unnest([0, 1]) AS k) WHERE k <= s.s_suppkey % 2),
+       links AS (SELECT 'registered_at' AS kind, n, 0 AS k, 'corpreg:REGC' || s_suppkey AS key, 'corpreg:C' || s_suppkey || ';corpreg:LOCC' || s_suppkey || ';' AS value, 0 AS phase FROM s
+         UNION ALL SELECT 'officer_of', n, k + 1, 'corpreg:OFFF' || s_suppkey || '-' || k, 'corpreg:F' || s_suppkey || '-' || k || ';corpreg:C' || s_suppkey || ';2022-07-01;role=director,since=2022-07-01', 0 FROM o
+         UNION ALL SELECT 'owns_stake', n, 0, 'corpreg:SH' || lpad(CAST(row_number() OVER (ORDER BY n) - 1 AS VARCHAR), 5, '0'), 'corpreg:C' || s_suppkey || ';corpreg:C' || (s_suppkey - 1) || ';percent=25.0', 1 FROM s WHERE s_suppkey > 0)
+       SELECT 'organization' AS kind, n AS pos, 'corpreg:C' || s_suppkey AS key, 'legal_name=firm ' || s_suppkey || ';reg_number=r' || s_suppkey || ';country=cy;address=' || s_suppkey || ' harbour road;incorporated=2022-06-01;sector=shipping' AS value FROM s
+       UNION ALL SELECT 'location', n, 'corpreg:LOCC' || s_suppkey, 'address=' || s_suppkey || ' harbour road;city=nicosia;country=cy;postcode=1066' FROM s
+       UNION ALL SELECT 'person', row_number() OVER (ORDER BY n, k) - 1, 'corpreg:F' || s_suppkey || '-' || k, 'full_name=director ' || CASE k WHEN 0 THEN 'one' ELSE 'two' END || ';nationality=cy' FROM o
+       UNION ALL SELECT kind, row_number() OVER (ORDER BY phase, n, k) - 1, key, value FROM links""",
+)
+def intake_corpreg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies with one or two officers, then the stakes that each holds in the one before."""
+    k = F.col("s_suppkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    officer = lambda i, name: F.struct(text("F", k, f"-{i}").alias("officer_id"), F.lit(f"Director {name}").alias("name"), F.lit(None).cast("string").alias("dob"), F.lit("director").alias("role"), F.lit("2022-07-01").alias("appointed"), F.lit("CY").alias("nationality"))
+    suppliers = table(spark, sf_dir, "supplier")
+    firms = suppliers.select(
+        k.alias("ord"), text("C", k).alias("entry_id"), F.lit("company").alias("entry_kind"), text("Firm ", k, " Ltd").alias("company_name"), text("R-", k).alias("registration_number"), F.lit("CY").alias("jurisdiction"), F.lit("2022-06-01").alias("incorporated_on"), F.lit("shipping").alias("sic_description"),
+        F.struct(text(k, " Harbour Rd").alias("street"), F.lit("Nicosia").alias("city"), F.lit("1066").alias("postcode"), F.lit("CY").alias("country")).alias("registered_office"), F.slice(F.array(officer(0, "One"), officer(1, "Two")), F.lit(1), (k % 2 + 1).cast("int")).alias("officers"),
+    )
+    stakes = suppliers.where(k > 0).select((k - 1_000_000_000).alias("ord"), F.lit("shareholding").alias("entry_kind"), text("R-", k).alias("parent_reg"), text("R-", k - 1).alias("child_reg"), F.lit(25.0).alias("percent"))
+    return _taken_in(spark, "company_registry.jsonl", firms.unionByName(stakes, allowMissingColumns=True))
+
+
+@query(
+    "intake_transactions",
+    """WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders), side AS (SELECT 'C' || o_custkey AS a, n, 0 AS k FROM o UNION ALL SELECT 'P' || left(o_orderpriority, 1), n, 1 FROM o),
+       f AS (SELECT a, min(n * 2 + k) AS first FROM side GROUP BY 1)
+       SELECT 'account' AS kind, row_number() OVER (ORDER BY first) - 1 AS pos, 'txn:ACC' || a AS key, 'account_number=' || lower(a) AS value FROM f
+       UNION ALL SELECT 'transacted', n, 'txn:T' || o_orderkey, 'txn:ACCC' || o_custkey || ';txn:ACCP' || left(o_orderpriority, 1) || ';' || CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) || ';' || strftime(o_orderdate, '%Y-%m-%d') || ';currency=EUR,reference=order' FROM o""",
+)
+def intake_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _taken_in(spark, "transactions.jsonl", table(spark, sf_dir, "orders").select(
+        k.alias("ord"), F.concat(F.lit("T"), k.cast("string")).alias("txn_id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("debit_account"), F.concat(F.lit("P"), F.left("o_orderpriority", F.lit(1))).alias("credit_account"),
+        F.col("o_totalprice").alias("amount"), F.lit("EUR").alias("ccy"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value_date"), F.lit("order").alias("narrative"),
+    ))
+
+
+@query(
+    "intake_comms",
+    """WITH e AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events), side AS (SELECT event_id, n, 0 AS k, 'phone=' || lpad(CAST(user_id AS VARCHAR), 10, '7') AS value FROM e
+         UNION ALL SELECT event_id, n, 1, 'email=u' || user_id || '@x.org' FROM e WHERE event_id % 4 > 0)
+       SELECT 'person' AS kind, row_number() OVER (ORDER BY n, k) - 1 AS pos, 'comms:' || CASE k WHEN 0 THEN 'A' ELSE 'B' END || event_id AS key, value FROM side
+       UNION ALL SELECT 'communicated', row_number() OVER (ORDER BY n) - 1, 'comms:V' || event_id, 'comms:A' || event_id || ';comms:B' || event_id || ';' || strftime(ts, '%Y-%m-%d') || ';channel=' || event_type FROM e WHERE event_id % 4 > 0""",
+)
+def intake_comms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth recipient has neither number nor address: no record, no link."""
+    k, user = F.col("event_id"), F.col("user_id").cast("string")
+    side = lambda mark, number, mail: F.struct(F.concat(F.lit(mark), k.cast("string")).alias("selector_id"), number.alias("msisdn"), mail.alias("address"))
+    none = F.lit(None).cast("string")
+    return _taken_in(spark, "comms_metadata.jsonl", table(spark, sf_dir, "events").select(
+        k.alias("ord"), F.concat(F.lit("V"), k.cast("string")).alias("event_id"), F.col("event_type").alias("channel"), side("A", F.concat(F.lit("+44 "), F.lpad(user, 10, "7")), none).alias("originator"),
+        side("B", none, F.when(k % 4 > 0, F.concat(F.lit("U"), user, F.lit("@X.org")))).alias("recipient"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"),
+    ))
+
+
+@query(
+    "intake_watchlist",
+    """SELECT 'person' AS kind, row_number() OVER (ORDER BY s_suppkey) - 1 AS pos, 'watch:W' || s_suppkey AS key, 'full_name=william listed' || CASE WHEN s_suppkey % 2 = 0 THEN ';dob=1974-03-08' ELSE '' END || ';nationality=n' || s_nationkey AS value FROM supplier""",
+)
+def intake_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return _taken_in(spark, "watchlist.csv", table(spark, sf_dir, "supplier").select(
+        k.alias("ord"), F.concat(F.lit("W"), k.cast("string")).alias("listing_id"), F.lit("Bill  Listed Jr").alias("subject_name"), F.when(k % 2 == 0, F.lit("8 Mar 1974")).alias("date_of_birth"),
+        F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("nationality"), F.lit("sanctions").alias("category"), F.lit("2023-01-01").alias("listed_on"),
+    ))
 
 
 # --- the graph ---------------------------------------------------------------------------
@@ -456,9 +640,12 @@ def _keys(spark: SparkSession, sf_dir: str, every: int = 0) -> DataFrame:
 
 def _flow_links(spark: SparkSession, sf_dir: str, link_type: str) -> DataFrame:
     """User to next user of the same event type."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    events = table(spark, sf_dir, "events").withColumn("next", F.lead("user_id").over(w)).where("next IS NOT NULL")
-    return _links(events, link_type, _id("U", "user_id"), _id("U", "next"), F.col("event_id"), F.col("value"))
+    events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "user_id", "value")
+    # numbered in order without a window over all events of a type; the next event has the next number
+    numbered = number_rows(events, ["event_type", "ts", "event_id"], "n")
+    after = numbered.select((F.col("n") - 1).alias("n"), F.col("event_type").alias("next_type"), F.col("user_id").alias("next"))
+    pairs = numbered.join(after, "n").where("event_type = next_type AND next IS NOT NULL")
+    return _links(pairs, link_type, _id("U", "user_id"), _id("U", "next"), F.col("event_id"), F.col("value"))
 
 
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,15 +657,15 @@ def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _flow_edges(spark: SparkSession, sf_dir: str, link_type: str = "transacted", least: int = 1) -> DataFrame:
+def _flow_edges(spark: SparkSession, sf_dir: str, link_type: str = "transacted") -> DataFrame:
     keys = _users(spark, sf_dir).select(F.col("id").alias("key"), F.col("id").alias("entity_id"))
-    return graph.build_edges(graph.rewire(_flow_links(spark, sf_dir, link_type), keys), TRADE).where(F.col("count") >= least)
+    return materialize(graph.build_edges(graph.rewire(_flow_links(spark, sf_dir, link_type), keys), TRADE), "flow-edges", compact=True)
 
 
 _ORDERED_SQL = "ordered AS (SELECT 'C-' || o_custkey AS src, 'S-' || l_suppkey AS dst, l_extendedprice AS amount FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 _FLOW_SQL = """flow AS (SELECT 'U-' || user_id AS src, 'U-' || lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS dst, value AS amount FROM events),
 edges AS (SELECT src, dst, count(*) AS count, sum(amount) AS total FROM flow WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2)"""
-_NEAR_SQL = f"{_FLOW_SQL}, few AS (SELECT * FROM edges WHERE count >= 3), near AS (SELECT src AS node, dst AS other, 'transacted|' || src || '|' || dst AS edge_id FROM few UNION ALL SELECT dst, src, 'transacted|' || src || '|' || dst FROM few)"
+_NEAR_SQL = f"{_FLOW_SQL}, near AS (SELECT src AS node, dst AS other, 'transacted|' || src || '|' || dst AS edge_id FROM edges UNION ALL SELECT dst, src, 'transacted|' || src || '|' || dst FROM edges)"
 
 
 @query("rewire_edges", f"WITH {_ORDERED_SQL} SELECT 'ordered' AS link_type, src, dst, count(*) AS count, round(sum(amount), 2) AS total_amount FROM ordered GROUP BY 2, 3")
@@ -494,8 +681,8 @@ def rewire_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT src, dst, string_agg('ordered:' || ord, ',' ORDER BY ord) AS provenance FROM k WHERE n <= 25 GROUP BY 1, 2""",
 )
 def edge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.build_edges(graph.rewire(_ordered(spark, sf_dir), _keys(spark, sf_dir)), TRADE)
-    return edges.select("src", "dst", F.concat_ws(",", "provenance").alias("provenance"))
+    found = graph.provenance(graph.observations(graph.rewire(_ordered(spark, sf_dir), _keys(spark, sf_dir)), TRADE))
+    return found.select(F.split_part("edge_id", F.lit("|"), F.lit(2)).alias("src"), F.split_part("edge_id", F.lit("|"), F.lit(3)).alias("dst"), F.concat_ws(",", "provenance").alias("provenance"))
 
 
 @query(
@@ -504,8 +691,8 @@ def edge_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
 )
 def edge_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.build_edges(graph.rewire(_ordered(spark, sf_dir), _keys(spark, sf_dir)), TRADE)
-    return graph.edge_dates(edges).select(F.split_part("id", F.lit("|"), F.lit(2)).alias("src"), F.split_part("id", F.lit("|"), F.lit(3)).alias("dst"), F.concat_ws(",", "dates").alias("dates"))
+    seen = graph.observations(graph.rewire(_ordered(spark, sf_dir), _keys(spark, sf_dir)), TRADE)
+    return graph.edge_dates(seen).select(F.split_part("id", F.lit("|"), F.lit(2)).alias("src"), F.split_part("id", F.lit("|"), F.lit(3)).alias("dst"), F.concat_ws(",", "dates").alias("dates"))
 
 
 @query("dangling_links", "SELECT 'ordered:' || (l_orderkey * 10 + l_linenumber) AS link_key FROM lineitem WHERE l_suppkey % 10 = 0")
@@ -559,7 +746,7 @@ def subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT 'U-1' AS node, 0 AS hops UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2""",
 )
 def ego_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.ego(_flow_edges(spark, sf_dir, least=3), "U-1", 2)
+    return traversal.ego(_flow_edges(spark, sf_dir), "U-1", 2)
 
 
 _PATHS_SQL = f"""WITH RECURSIVE {_NEAR_SQL}, walk(node, path, edge_ids) AS (SELECT 'U-1', ['U-1'], CAST([] AS VARCHAR[]) UNION ALL
@@ -571,27 +758,31 @@ _PATHS_SQL = f"""WITH RECURSIVE {_NEAR_SQL}, walk(node, path, edge_ids) AS (SELE
     f"{_PATHS_SQL} SELECT min(len(edge_ids)) AS hops FROM walk WHERE node = 'U-7'",
 )
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversal.shortest_path(_flow_edges(spark, sf_dir, least=3), "U-1", "U-7", 3).agg(F.max("step").cast("long").alias("hops"))
+    return traversal.shortest_path(_flow_edges(spark, sf_dir), "U-1", "U-7", 3).agg(F.max("step").cast("long").alias("hops"))
 
 
 @query("all_paths_3hop", f"{_PATHS_SQL} SELECT len(edge_ids) AS hops, array_to_string(path, '>') AS path, array_to_string(edge_ids, ' ') AS edge_ids FROM walk WHERE node = 'U-7'")
 def all_paths_3hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = traversal.all_paths(_flow_edges(spark, sf_dir, least=3), "U-1", "U-7", 3, None)
+    found = traversal.all_paths(_flow_edges(spark, sf_dir), "U-1", "U-7", 3, None)
     return found.select(F.col("hops").cast("long").alias("hops"), F.concat_ws(">", "path").alias("path"), F.concat_ws(" ", "edge_ids").alias("edge_ids"))
 
 
-def _rank_sql(restart: str, rounds: int = 10) -> str:
+_FLOW_ENDS = "SELECT src AS node, dst AS other, 1.0 + ln(1 + count) AS w FROM edges UNION ALL SELECT dst, src, 1.0 + ln(1 + count) FROM edges"
+
+
+def _rank_steps(nodes: str, ends: str, restart: str, rounds: int) -> str:
     steps = ["r0 AS (SELECT node, restart AS rank FROM start)"]
     for k in range(1, rounds + 1):
         steps.append(
             f"r{k} AS (SELECT s.node, s.restart * (0.15 + 0.85 * (SELECT coalesce(sum(r.rank), 0) FROM r{k - 1} r JOIN start t USING (node) WHERE t.sink)) + 0.85 * coalesce(g.got, 0) AS rank "
             f"FROM start s LEFT JOIN (SELECT w.other AS node, sum(r.rank * w.share) AS got FROM r{k - 1} r JOIN w USING (node) GROUP BY 1) g USING (node))"
         )
-    return f"""WITH {_FLOW_SQL}, u AS (SELECT DISTINCT 'U-' || user_id AS node FROM events),
-      ends AS (SELECT src AS node, dst AS other, 1.0 + ln(1 + count) AS w FROM edges UNION ALL SELECT dst, src, 1.0 + ln(1 + count) FROM edges),
-      w AS (SELECT node, other, sum(w) / sum(sum(w)) OVER (PARTITION BY node) AS share FROM ends GROUP BY 1, 2),
-      start AS (SELECT node, CAST({restart} AS DOUBLE) AS restart, node NOT IN (SELECT node FROM w) AS sink FROM u), {", ".join(steps)}
-      SELECT node, round(rank, 6) AS rank FROM r{rounds}"""
+    return f"""u AS ({nodes}), ends AS ({ends}), w AS (SELECT node, other, sum(w) / sum(sum(w)) OVER (PARTITION BY node) AS share FROM ends GROUP BY 1, 2),
+      start AS (SELECT node, CAST({restart} AS DOUBLE) AS restart, node NOT IN (SELECT node FROM w) AS sink FROM u), {", ".join(steps)}"""
+
+
+def _rank_sql(restart: str, rounds: int = 10) -> str:
+    return f"WITH {_FLOW_SQL}, {_rank_steps("SELECT DISTINCT 'U-' || user_id AS node FROM events", _FLOW_ENDS, restart, rounds)} SELECT node, round(rank, 6) AS rank FROM r{rounds}"
 
 
 @query("pagerank_uniform_10", _rank_sql("1.0 / (SELECT count(*) FROM u)"))
@@ -621,7 +812,19 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.communities(_users(spark, sf_dir), _flow_edges(spark, sf_dir), TRADE)
 
 
-@query("betweenness")
+_LEVELS_SQL = 7  # more than the longest shortest path of the tables
+_BETWEEN_SQL = f"""WITH RECURSIVE {_NEAR_SQL}, u AS (SELECT DISTINCT 'U-' || user_id AS node FROM events), ways AS (SELECT node, other, count(*) AS m FROM near GROUP BY 1, 2),
+  walk(s, node, d) AS (SELECT node, node, 0 UNION SELECT w.s, y.other, w.d + 1 FROM walk w JOIN ways y USING (node) WHERE w.d < {_LEVELS_SQL}),
+  dist AS (SELECT s, node, min(d) AS d FROM walk GROUP BY 1, 2), n0 AS (SELECT s, node, CAST(1.0 AS DOUBLE) AS sigma FROM dist WHERE d = 0)"""
+_BETWEEN_SQL = _BETWEEN_SQL.replace("(SELECT node, node, 0 UNION", "(SELECT node, node, 0 FROM u UNION")
+for _k in range(1, _LEVELS_SQL + 1):
+    _BETWEEN_SQL += f", n{_k} AS (SELECT p.s, y.other AS node, sum(p.sigma * y.m) AS sigma FROM n{_k - 1} p JOIN ways y USING (node) JOIN dist t ON t.s = p.s AND t.node = y.other AND t.d = {_k} GROUP BY 1, 2)"
+_BETWEEN_SQL += ", paths AS (" + " UNION ALL ".join(f"SELECT s, node, {_k} AS d, sigma FROM n{_k}" for _k in range(_LEVELS_SQL + 1)) + ")"
+_BETWEEN_SQL += """, share AS (SELECT a.node, sum(a.sigma * b.sigma / c.sigma) AS b FROM paths a JOIN paths b ON b.s = a.node JOIN paths c ON c.s = a.s AND c.node = b.node AND c.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY 1)
+  SELECT u.node, round(coalesce(share.b, 0) / ((SELECT count(*) FROM u) - 1.0) / ((SELECT count(*) FROM u) - 2.0), 6) AS betweenness FROM u LEFT JOIN share USING (node)"""
+
+
+@query("betweenness", _BETWEEN_SQL)
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.betweenness(_users(spark, sf_dir), _flow_edges(spark, sf_dir)).select("node", F.round("betweenness", 6).alias("betweenness"))
 
@@ -641,12 +844,12 @@ def weighted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "circular_flows",
     f"""WITH RECURSIVE {_FLOW_SQL}, e AS (SELECT src, dst, total FROM edges WHERE count >= 3),
         p(start, node, path, total) AS (SELECT src, dst, [src, dst], total FROM e WHERE dst > src UNION ALL SELECT p.start, e.dst, list_append(p.path, e.dst), p.total + e.total
-          FROM p JOIN e ON e.src = p.node WHERE len(p.path) < 5 AND e.dst > p.start AND NOT list_contains(p.path, e.dst)),
+          FROM p JOIN e ON e.src = p.node WHERE len(p.path) < 8 AND e.dst > p.start AND NOT list_contains(p.path, e.dst)),
         c AS (SELECT list_sort(p.path) AS nodes, array_to_string(p.path, '>') AS path, p.total + e.total AS total FROM p JOIN e ON e.src = p.node AND e.dst = p.start WHERE len(p.path) >= 3)
         SELECT min(path) AS path, round(arg_min(total, path), 2) AS total_amount, round(CAST(least(1.0, 0.55 + 0.08 * len(nodes)) AS DOUBLE), 6) AS severity FROM c GROUP BY nodes""",
 )
 def circular_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = typologies.circular_flows(_flow_edges(spark, sf_dir), min_observations=3, max_length=5, limit=None)
+    found = typologies.circular_flows(_flow_edges(spark, sf_dir), limit=None)
     return found.select(F.concat_ws(">", "entities").alias("path"), F.element_at("evidence", "total_amount").cast("double").alias("total_amount"), F.round("severity", 6).alias("severity"))
 
 
@@ -660,8 +863,7 @@ def structuring(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     links = _links(orders, "transacted", _id("C", "o_custkey"), _id("P", "o_orderpriority"), F.col("o_orderkey"), F.col("o_totalprice"))
     keys = orders.select(F.explode(F.array(_id("C", "o_custkey"), _id("P", "o_orderpriority"))).alias("key")).distinct().withColumn("entity_id", F.col("key"))
-    edges = graph.build_edges(graph.rewire(links, keys), TRADE)
-    found = typologies.structuring(edges, threshold=200_000.0, band=0.5, min_count=4, limit=None)
+    found = typologies.structuring(graph.observations(graph.rewire(links, keys), TRADE), threshold=200_000.0, band=0.5, min_count=4, limit=None)
     fact = lambda k, kind: F.element_at("evidence", k).cast(kind)
     return found.select(
         F.element_at("entities", 1).alias("src"), fact("count", "long").alias("hits"), fact("outgoing", "long").alias("outgoing"), fact("above", "long").alias("above"),
@@ -693,7 +895,7 @@ def _trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     often = _ordered(spark, sf_dir).groupBy("source_key", "target_key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord")).where("n >= 3")
     boards = _links(often, "officer_of", F.col("source_key"), F.col("target_key"), F.col("ord"))
     keys = _trade_entities(spark, sf_dir).select(F.col("id").alias("key"), F.col("id").alias("entity_id"))
-    return graph.build_edges(graph.rewire(at.unionByName(boards), keys), TRADE)
+    return materialize(graph.build_edges(graph.rewire(at.unionByName(boards), keys), TRADE), "trade-edges", compact=True)
 
 
 _OFTEN_SQL = f"{_ORDERED_SQL}, boards AS (SELECT src AS officer, dst AS org FROM ordered GROUP BY 1, 2 HAVING count(*) >= 3), seats AS (SELECT 'S-' || s_suppkey AS org, 'N-' || s_nationkey AS place FROM supplier)"
@@ -750,6 +952,19 @@ def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.principals(_trade_entities(spark, sf_dir), _trade_edges(spark, sf_dir))
 
 
+@query(
+    "principals_two_hops",
+    f"""WITH {_OFTEN_SQL}, held AS (SELECT 'A-' || s_nationkey AS node, 'S-' || s_suppkey AS org FROM supplier)
+        SELECT node, principal, min(hops) AS hops FROM (SELECT node, org AS principal, 1 AS hops FROM held UNION ALL SELECT node, officer, 2 FROM held JOIN boards USING (org) UNION ALL SELECT org, officer, 1 FROM boards) GROUP BY 1, 2""",
+)
+def principals_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts (one a nation) lead to the companies that control them and on to their officers."""
+    suppliers = table(spark, sf_dir, "supplier")
+    held = suppliers.select(F.lit("controls_account").alias("link_type"), _id("S", "s_suppkey").alias("src"), _id("A", "s_nationkey").alias("dst")).distinct()
+    edges = _trade_edges(spark, sf_dir).select("link_type", "src", "dst").unionByName(held)
+    return risk.principals(_trade_entities(spark, sf_dir), edges)
+
+
 def _attributed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     entities, edges = _trade_entities(spark, sf_dir), _trade_edges(spark, sf_dir)
     findings = typologies.shared_registration(entities, edges, limit=None)
@@ -766,20 +981,53 @@ def attribute_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attributed(spark, sf_dir)[3]
 
 
-@query(
-    "risk_scores",
-    f"""WITH {_OFTEN_SQL}, n AS (SELECT place, count(*) AS companies FROM seats GROUP BY 1 HAVING count(*) >= 3),
+_CLEAR_SQL = f"""{_OFTEN_SQL}, n AS (SELECT place, count(*) AS companies FROM seats GROUP BY 1 HAVING count(*) >= 3),
         k AS (SELECT place, count(*) AS officers FROM (SELECT place, officer FROM seats JOIN boards USING (org) GROUP BY 1, 2 HAVING count(DISTINCT org) > 1) GROUP BY 1),
         f AS (SELECT place, least(1.0, 0.3 + 0.1 * companies + 0.12 * coalesce(officers, 0)) AS severity FROM n LEFT JOIN k USING (place)),
         hits AS (SELECT place AS entity_id, severity, 0 AS hops FROM f UNION ALL SELECT org, severity, 0 FROM f JOIN seats USING (place) UNION ALL SELECT DISTINCT ON (f.place, officer) officer, severity, 1 FROM f JOIN seats USING (place) JOIN boards USING (org)),
         clear AS (SELECT entity_id, product(1 - 0.45 * severity / (1 + hops)) AS clear FROM hits GROUP BY 1),
-        ids AS (SELECT 'C-' || c_custkey AS entity_id FROM customer UNION ALL SELECT 'S-' || s_suppkey FROM supplier UNION ALL SELECT 'N-' || n_nationkey FROM nation)
-        SELECT entity_id, round(1 - (1 - 0.6) * coalesce(clear, 1.0), 6) AS risk FROM ids LEFT JOIN clear USING (entity_id)""",
-)
-def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ids AS (SELECT 'C-' || c_custkey AS entity_id FROM customer UNION ALL SELECT 'S-' || s_suppkey FROM supplier UNION ALL SELECT 'N-' || n_nationkey FROM nation)"""
+
+
+def _equal_risk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The entities, and their risk where all are equally close to the seeds (.6)."""
     entities, _, findings, attributed = _attributed(spark, sf_dir)
-    flat = entities.select(F.col("id").alias("node"), F.lit(0.001).alias("rank"))  # equal closeness: .6 for all
-    return risk.risk_scores(entities, flat, findings, attributed).select("entity_id", F.round("risk", 6).alias("risk"))
+    flat = entities.select(F.col("id").alias("node"), F.lit(0.001).alias("rank"))
+    return entities, risk.risk_scores(entities, flat, findings, attributed)
+
+
+@query("risk_scores", f"WITH {_CLEAR_SQL} SELECT entity_id, round(1 - (1 - 0.6) * coalesce(clear, 1.0), 6) AS risk FROM ids LEFT JOIN clear USING (entity_id)")
+def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _equal_risk(spark, sf_dir)[1].select("entity_id", F.round("risk", 6).alias("risk"))
+
+
+_TRADE_ENDS = f"""SELECT a AS node, b AS other, w FROM (SELECT org AS a, place AS b, 1.2 * (1 + ln(2)) AS w FROM seats UNION ALL SELECT place, org, 1.2 * (1 + ln(2)) FROM seats
+  UNION ALL SELECT officer, org, 1.4 * (1 + ln(2)) FROM boards UNION ALL SELECT org, officer, 1.4 * (1 + ln(2)) FROM boards)"""
+
+
+@query(
+    "risk_from_pagerank",
+    f"""WITH {_CLEAR_SQL}, {_rank_steps("SELECT entity_id AS node FROM ids", _TRADE_ENDS, "CASE WHEN node IN ('S-1', 'N-3') THEN 0.5 ELSE 0.0 END", 6)},
+        top AS (SELECT rank FROM (SELECT rank, row_number() OVER (ORDER BY rank DESC) - 1 AS k FROM r6) WHERE k = (SELECT count(*) // 100 FROM r6))
+        SELECT entity_id, round(1 - (1 - 0.6 * least(1.0, rank / (SELECT rank FROM top))) * coalesce(clear, 1.0), 5) AS risk FROM r6 JOIN ids ON entity_id = node LEFT JOIN clear USING (entity_id)""",
+)
+def risk_from_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk whose closeness is a seeded PageRank, relative to the rank at the top hundredth."""
+    entities, edges, findings, attributed = _attributed(spark, sf_dir)
+    seeds = spark.createDataFrame([("S-1",), ("N-3",)], "node string")
+    near = analytics.pagerank(entities, edges, TRADE, seeds, 0.85, 6, None)
+    return risk.risk_scores(entities, near, findings, attributed).select("entity_id", F.round("risk", 5).alias("risk"))
+
+
+@query(
+    "top_risk",
+    f"WITH {_CLEAR_SQL} SELECT entity_id AS id, round(1 - (1 - 0.6) * coalesce(clear, 1.0), 6) AS risk FROM ids LEFT JOIN clear USING (entity_id) WHERE entity_id LIKE 'S-%' ORDER BY 2 DESC, 1 LIMIT 15",
+)
+def top_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen organizations of highest risk."""
+    entities, scores = _equal_risk(spark, sf_dir)
+    some = graph.of_type(entities, "organization").select(F.col("id").alias("entity_id")).join(scores, "entity_id")
+    return some.select(F.col("entity_id").alias("id"), F.round("risk", 6).alias("risk")).orderBy(F.desc("risk"), "id").limit(15)
 
 
 @query("correlate_cases")
@@ -834,7 +1082,7 @@ _language("show_query", "show S-3", "SELECT 'S-' || s_suppkey AS id FROM supplie
 
 @query("path_query", f"{_PATHS_SQL} SELECT len(edge_ids) AS hops, array_to_string(path, '>') AS path FROM walk WHERE node = 'U-7' ORDER BY 1, path LIMIT 5")
 def path_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = Engine(graph.KnowledgeGraph(TRADE, _users(spark, sf_dir), _flow_edges(spark, sf_dir, least=3)))
+    engine = Engine(graph.KnowledgeGraph(TRADE, _users(spark, sf_dir), _flow_edges(spark, sf_dir)))
     return engine.query("path U-1 to U-7 within 3 limit 5").select(F.col("hops").cast("long").alias("hops"), F.concat_ws(">", "path").alias("path"))
 
 

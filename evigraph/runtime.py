@@ -16,14 +16,16 @@ _CREATED: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can see, as a URI.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local
-    tests) is a folder of our own chosen, and then set for the whole context.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and one machine
+    does all the work is a folder of our own chosen, and then set for the whole context.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if not named:
         named = context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="evigraph-")
         context.setCheckpointDir(named)
     return named.rstrip("/")
@@ -44,6 +46,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     _CREATED.pop(path, None)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, wherever it lives."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 @atexit.register
 def _clean_up() -> None:
     for path, spark in list(_CREATED.items()):

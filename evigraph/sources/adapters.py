@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from evigraph.functions.normalize import normalize, normalize_all
 from evigraph.ontology import EntityType, Ontology
-from evigraph.runtime import count_rows, materialize, number_rows
+from evigraph.runtime import count_rows, exists, materialize, number_rows
 
 #: Order of sources; positions of records and links follow it.
 SOURCES = ("natreg", "hr", "bank", "corpreg", "txn", "comms", "watch")
@@ -214,11 +214,6 @@ def normalize_records(raw: DataFrame, entity: EntityType) -> DataFrame:
     return raw.select("key", "source", "local_id", "at", *out)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def gather(frames: list[DataFrame], entity: EntityType) -> DataFrame:
     """One record per key, in the order of sources and of the rows that named it first."""
     whole = frames[0]
@@ -237,7 +232,7 @@ def ingest(spark: SparkSession, folder: str, ontology: Ontology) -> Ingested:
     parts, report = Parts(), {}
     for name, (schema, adapter) in ADAPTERS.items():
         path = f"{folder.rstrip('/')}/{name}"
-        if not _exists(spark, path):
+        if not exists(spark, path):
             continue
         rows = read_rows(spark, path, schema)
         report[name] = count_rows(rows)
@@ -258,7 +253,7 @@ def ingest(spark: SparkSession, folder: str, ontology: Ontology) -> Ingested:
 def read_truth(spark: SparkSession, folder: str) -> DataFrame | None:
     """``(key, truth_id)`` from ``truth.json``, one object with a map ``records``, if the folder has it."""
     path = f"{folder.rstrip('/')}/truth.json"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     whole = spark.read.schema("records map<string,string>").option("multiLine", True).json(path)
     return whole.select(F.explode("records").alias("key", "truth_id"))

@@ -36,7 +36,7 @@ def test_ring_ranks_high(run):
     assert len([r for r in view.top_risk("person", 10).collect() if r.id in ring]) >= 4
     text = view.dossier("watch:W000000")
     assert "records by source" in text and "natreg" in text and "officer_of" in text
-    assert " -> " in view.connect("natreg:R000000", "natreg:R000001") and "case 0" in view.case_report()
+    assert "hops" in view.connect("natreg:R000000", "natreg:R000001") and "case 0" in view.case_report()
     assert view.engine.query("find person where flags.watchlisted = true limit 50").count() == run.seeds.count()
 
 

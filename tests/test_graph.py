@@ -1,3 +1,4 @@
+import dataclasses
 import itertools
 import random
 
@@ -26,6 +27,12 @@ def edges_of(spark, rows):
     return graph.build_edges(graph.rewire(links_frame(spark, rows), keys), ONTOLOGY)
 
 
+def observed(spark, rows):
+    ids = sorted({x for r in rows for x in r[1:3]})
+    keys = spark.createDataFrame([(i, i) for i in ids], "key string, entity_id string")
+    return graph.observations(graph.rewire(links_frame(spark, rows), keys), ONTOLOGY)
+
+
 def entities_of(spark, ids):
     kind = {"PER": "person", "ORG": "organization", "ACC": "account", "LOC": "location"}
     rows = [(i, kind[i[:3]], k, {("full_name" if i[:3] == "PER" else "legal_name"): [NAMES.get(i, i)]}, [f"t:{i}"], ["t"], 0.7) for k, i in enumerate(ids)]
@@ -39,16 +46,24 @@ def toy(spark):
 
 def test_build(spark, toy):
     rows = [*LINKS, ("communicated", "PER-1", "PER-0", 5), ("communicated", "PER-0", "PER-0"), ("unheard_of", "PER-0", "PER-1")]
-    got = {(r.link_type, r.src, r.dst): (r["count"], r.total_amount, r.provenance) for r in edges_of(spark, rows).collect()}
-    assert got["communicated", "PER-0", "PER-1"] == (2, 5.0, ["x:0", "x:5"]) and len(got) == 5
+    got = {(r.link_type, r.src, r.dst): (r["count"], r.total_amount) for r in edges_of(spark, rows).collect()}
+    assert got["communicated", "PER-0", "PER-1"] == (2, 5.0) and len(got) == 5
+    seen = observed(spark, rows + [("communicated", "PER-0", "PER-1")] * 40)
+    keys = {r.edge_id: r.provenance for r in graph.provenance(seen).collect()}
+    assert keys["communicated|PER-0|PER-1"] == ["x:0", "x:5", *[f"x:{k}" for k in range(8, 31)]] and len(keys) == 5
+    assert {r.id: len(r.dates) for r in graph.edge_dates(seen).collect()}["communicated|PER-0|PER-1"] == 42
     keys = spark.createDataFrame([("PER-0", "PER-0")], "key string, entity_id string")
     assert graph.dangling_links(graph.rewire(links_frame(spark, rows), keys), ONTOLOGY).count() == 6
     assert {r.node: r.degree for r in graph.degrees(toy.edges).collect()} == {"PER-0": 2, "PER-1": 2, "PER-2": 2, "PER-3": 2, "ORG-0": 2}
 
 
 def test_save_and_load(spark, toy, tmp_path):
-    toy.save(f"file://{tmp_path}/g")
+    whole = graph.KnowledgeGraph(ONTOLOGY, toy.entities, toy.edges, 3, observed(spark, LINKS))
+    whole.save(f"file://{tmp_path}/g")
     again = graph.KnowledgeGraph.load(spark, f"file://{tmp_path}/g", ONTOLOGY)
+    assert again.dangling == 3 and again.observations.count() == len(LINKS)
+    with pytest.raises(ValueError, match="follows"):
+        graph.KnowledgeGraph.load(spark, f"file://{tmp_path}/g", dataclasses.replace(ONTOLOGY, name="other"))
     assert again.entities.count() == 5 and sorted(r.id for r in again.edges.collect()) == sorted(r.id for r in toy.edges.collect())
 
 
@@ -131,10 +146,37 @@ def test_patterns(spark):
     edges = edges_of(spark, rows)
     ring = typologies.circular_flows(edges).collect()
     assert len(ring) == 1 and ring[0].entities == ["ACC-0", "ACC-1", "ACC-2"] and float(ring[0].evidence["total_amount"]) == 18 and ring[0].severity == pytest.approx(0.79)
-    near = typologies.structuring(edges).collect()
+    near = typologies.structuring(observed(spark, rows)).collect()
     assert [r.entities for r in near] == [["ACC-5", "ACC-6"]] and near[0].severity == pytest.approx(0.88) and near[0].evidence["above"] == "0"
 
 
+def slow_cycles(arcs, most):
+    """Of every set of nodes that a cycle can pass, the first path in order."""
+    out = {}
+
+    def walk(path):
+        for b in sorted(arcs.get(path[-1], ())):
+            if b == path[0] and len(path) >= 3:
+                key = tuple(sorted(path))
+                out[key] = min(out.get(key, tuple(path)), tuple(path))
+            elif b > path[0] and b not in path and len(path) < most:
+                walk([*path, b])
+
+    for a in arcs:
+        walk([a])
+    return set(out.values())
+
+
+@pytest.mark.parametrize("most", [3, 5, 8])
+def test_cycles_match_enumeration(spark, most):
+    rng = random.Random(most)
+    nodes = [f"ACC-{i}" for i in range(9)]
+    arcs = {a: {b for b in nodes if a != b and rng.random() < 0.35} for a in nodes}
+    edges = edges_of(spark, [("transacted", a, b, 1) for a in arcs for b in arcs[a]])
+    found = typologies.cycles(edges, min_observations=1, max_length=most).collect()
+    assert {tuple(r.path) for r in found} == slow_cycles(arcs, most) and all(r.total_amount == len(r.path) for r in found)
+
+
 def test_shells_risk_and_cases(spark):
     orgs, people = [f"ORG-{i}" for i in range(4)], [f"PER-{i}" for i in range(4)]
     rows = [("registered_at", o, "LOC-0") for o in orgs] + [("officer_of", people[i], orgs[(i + k) % 4]) for i in range(4) for k in (0, 1)] + [("owns_account", "PER-0", "ACC-0"), ("controls_account", "ORG-1", "ACC-1")]
