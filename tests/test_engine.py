@@ -6,7 +6,8 @@ from evigraph.cli import main, parser
 from evigraph.investigate import Investigation
 from evigraph.sources import synthetic
 from evigraph.sources.adapters import merge_by_key
-from evigraph.streaming import keyed_stream, normalized_stream
+from evigraph.operators.blocking import blocking_keys
+from evigraph.streaming import candidate_stream, keyed_stream, normalized_stream
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,19 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r.block for r in spark.sql("SELECT block FROM keys").collect()} == {"name_sound:R163L000", "name_letters:beilor", "born:1974-03-08"}
+
+
+def test_arriving_records_meet_stored_ones(spark, tmp_path):
+    from evigraph.ontology import default_ontology
+
+    person, shape = default_ontology().entity("person"), "key string, source string, full_name string, dob string"
+    empty = {c: F.lit(None).cast("string") for c in ("email", "phone", "national_id")}
+    known = spark.createDataFrame([(0, "b:0", "b", "robert li", "1974-03-08"), (1, "b:1", "b", "jane roe", "1980-01-01"), *[(k, f"b:{k}", "b", f"person {k}", "1999-09-09") for k in range(2, 9)]], "pos long, " + shape)
+    stored = blocking_keys(known.withColumn("dob", F.to_date("dob")).withColumns(empty), person)
+    spark.createDataFrame([("a:1", "a", "Dr Bob Li", "08/03/1974"), ("a:2", "a", "Ann Other", "09/09/1999")], shape).write.parquet(f"file://{tmp_path}/in")
+    raw = spark.readStream.schema(shape).parquet(f"file://{tmp_path}/in")
+    met = candidate_stream(keyed_stream(normalized_stream(raw, person).withColumns(empty), person), stored, max_block=5)
+    query = met.writeStream.format("memory").queryName("met").start()
+    query.processAllAvailable()
+    query.stop()
+    assert {tuple(r) for r in spark.sql("SELECT DISTINCT key, pos FROM met").collect()} == {("a:1", 0)}  # the block of 1999-09-09 is too large
