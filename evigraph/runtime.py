@@ -78,7 +78,8 @@ def materialize(df: DataFrame, label: str = "step", compact: bool = False) -> Da
     path = scratch_path(spark, label)
     if compact:
         df = df.repartition(spark.sparkContext.defaultParallelism)
-    df.write.parquet(path)
+    # what reads this path knows that the job is over: no marker file
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.evigraph_path = path  # for release()
     return out
@@ -112,6 +113,20 @@ def hash_sample(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return some.orderBy(slot, F.xxhash64(F.lit(1), *keys), *keys).limit(limit)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], times: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has each key once and in ``times`` how many rows hold it.
+
+    Keys with more than their share of a partition never meet in one task: they are at most
+    ``4 * shuffle_width`` by count, so their facts are broadcast and their rows stay where they
+    are. Both frames are read twice and should be materialized.
+    """
+    total = count_rows(rows) if total is None else total
+    share = max(1, total // (4 * shuffle_width(rows.sparkSession)))
+    hot = F.broadcast(facts.where(F.col(times) > share).drop(times))
+    cold = rows.join(F.broadcast(facts.where(F.col(times) > share).select(*keys)), keys, "left_anti").join(facts.where(F.col(times) <= share).drop(times), keys)
+    return cold.unionByName(rows.join(hot, keys))
+
+
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 

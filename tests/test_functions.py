@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import normalize as N
 from evigraph.functions import similarity as S
+from evigraph.runtime import spread_join
 
 NORMALIZED = [
     (N.norm_text, "  Ça  va\tÉTÉ ", "ca va ete"), (N.norm_text, "Straße ﬁn", "strasse fin"), (N.norm_text, None, ""),
@@ -55,3 +56,10 @@ def test_column_similarity(spark):
         S.exact(F.lit("a"), F.lit("a")), S.exact(F.lit(""), F.lit("")), S.numeric_similarity(F.lit(3.0), F.lit(3.5), 2.0), S.numeric_similarity(F.lit(3.0), F.lit(3.0), 0),
     ).first()
     assert list(row) == pytest.approx([1 - 3 / 7, 0, 0.5, 0, 0.92, 0.8, 0.525, 0, 0, 1, 0, 0.75, 1])
+
+
+def test_spread_join_is_an_inner_join(spark):
+    rows = spark.createDataFrame([(0 if i % 3 == 0 else i, None if i % 7 == 0 else i) for i in range(300)], "k long, v long").cache()
+    facts = rows.where("k % 5 < 3").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least")).cache()
+    want = sorted(map(tuple, rows.join(facts.drop("n"), "k").select("k", "v", "least").collect()), key=str)
+    assert sorted(map(tuple, spread_join(rows, facts, ["k"], "n").select("k", "v", "least").collect()), key=str) == want
