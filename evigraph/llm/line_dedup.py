@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.runtime import materialize, release
+from evigraph.runtime import materialize, release, spread_join
 
 MIN_WORDS = 50
 _LAST = (1 << 63) - 1
@@ -59,9 +59,9 @@ def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _classes(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """``keys`` values at more than one position, with rank ``r`` in sorted order and first position ``f``."""
+    """``keys`` values at more than one position, with rank ``r`` in sorted order, first position ``f`` and number of positions."""
     at = F.struct("d", "t", "i")
-    found = rows.groupBy(*keys).agg(F.min(at).alias("f"), F.max(at).alias("l")).where("f < l").select(*keys, "f")
+    found = rows.groupBy(*keys).agg(F.min(at).alias("f"), F.max(at).alias("l"), F.count(F.lit(1)).alias("times")).where("f < l").select(*keys, "f", "times")
     # after a global sort the id grows with the key: a rank with gaps, made without a single task
     return materialize(found.orderBy(*keys).withColumn("r", F.monotonically_increasing_id()), label)
 
@@ -89,7 +89,7 @@ def repeated_ranges(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """``(d, t, s, e)``: stretches of lines that occur earlier as well."""
     lines = materialize(_lines(docs, text, doc_id), "lines")
     classes = _classes(lines, ["h1", "h2"], "line-ids")
-    level = materialize(lines.join(classes, ["h1", "h2"]).select("d", "t", "i", "w", "r", "f"), "rank-1")
+    level = materialize(spread_join(lines, classes, ["h1", "h2"], "times").select("d", "t", "i", "w", "r", "f"), "rank-1")
     release(lines)
     release(classes)
     stretches = materialize(_stretches(level, min_words), "stretches")
@@ -102,10 +102,12 @@ def repeated_ranges(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         if k:
             ahead = Window.partitionBy("d", "t").orderBy("i").rangeBetween(size // 2, size // 2)
             pairs = level.select("d", "t", "i", F.col("r").alias("a"), F.first("r").over(ahead).alias("b")).where("b IS NOT NULL")
+            pairs = materialize(pairs, f"pairs-{size}")
+            release(level)
             classes = _classes(pairs, ["a", "b"], "rank-classes")
-            below, level = level, materialize(pairs.join(classes, ["a", "b"]).select("d", "t", "i", "r", "f"), f"rank-{size}")
+            level = materialize(spread_join(pairs, classes, ["a", "b"], "times").select("d", "t", "i", "r", "f"), f"rank-{size}")
             release(classes)
-            release(below)
+            release(pairs)
         # the stretch is one run of this size: its class has the first position already
         whole = stretches.where(F.col("n") == size).join(level.withColumnRenamed("i", "s"), ["d", "t", "s"])
         found.append(whole.where(here > F.col("f")).select("d", "t", "s", "e"))

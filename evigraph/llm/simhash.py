@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.operators.components import connected_components
-from evigraph.runtime import bound_batches, materialize, release
+from evigraph.runtime import bound_batches, materialize, release, spread_join
 
 SEED = 42
 SHINGLE = 3
@@ -171,17 +171,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
     ``component_id`` is the smallest non-null id among the documents reachable over links,
     the document's own included (null only if all of them are null). Repeated rows and ids
-    each keep their own output row. Other columns of ``docs`` are ignored.
+    each keep their own output row; null and empty texts share the fingerprint zero. Other
+    columns of ``docs`` are ignored.
     """
     marks = materialize(fingerprints(docs, text, doc_id), "simhash-marks")
-    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")), "simhash-distinct")
     parts = connected_components(hamming_links(distinct.select("fp")))
     labelled = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
+        "fp", "least", "times", F.coalesce("component", "fp").alias("component")
     )
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = labelled.join(ids, "component").select("fp", "component_id")
-    return marks.join(classes, "fp").select(
+    classes = materialize(labelled.join(ids, "component").select("fp", "times", "component_id"), "simhash-classes", compact=True)
+    release(distinct)
+    return spread_join(marks, classes, ["fp"], "times").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

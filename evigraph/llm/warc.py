@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.runtime import bound_batches, delete_path, hash_sample, materialize, scratch_path, shuffle_width
+from evigraph.runtime import bound_batches, delete_path, hash_sample, materialize, scratch_path, shuffle_width, spread_join
 
 MIN_REVISIT = 100
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -187,8 +187,9 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     dictionary = fit_dictionary([r.html.encode("utf-8", "surrogatepass") for r in kept.orderBy("page_id").collect()])
 
     marks = narrow.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("n")).where(f"n >= {MIN_REVISIT}")
-    firsts = marks.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "refers_to")
-    revisits = marks.join(firsts, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    marks = materialize(marks.select("page_id", "digest"), "warc-marks", compact=True)
+    firsts = marks.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    revisits = spread_join(marks, materialize(firsts, "warc-firsts", compact=True), ["digest"], "copies").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
     # a repeated id may have several payloads, so the digest is part of the key
     ready = narrow.withColumn("digest", F.sha2("html", 256)).join(revisits, ["page_id", "digest"], "left")
     ready = ready.select("page_id", "url", F.col("html").cast("binary").alias("payload"), "digest", "refers_to")
