@@ -51,8 +51,8 @@ class Dice:
         return F.when(self.u(salt, *keys) < share, value)
 
 
-#: The key that a finger slips to.
-SLIPS = {"a": "s", "e": "r", "i": "o", "o": "i", "n": "m", "s": "a", "t": "r", "l": "k"}
+#: Rows of a keyboard; a finger slips to the next key of its row.
+KEY_ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
 
 def typo(text: Column, dice: Dice, salt: str, *keys: Column) -> Column:
@@ -60,7 +60,7 @@ def typo(text: Column, dice: Dice, salt: str, *keys: Column) -> Column:
     at = (dice.n(salt + "@", F.greatest(F.length(text) - 2, F.lit(1)), *keys) + 2).cast("int")
     head, tail = F.substring(text, F.lit(1), at - 1), F.substr(text, at + 1)
     letter, after = F.substring(text, at, F.lit(1)), F.substring(text, at + 1, F.lit(1))
-    beside = F.translate(F.lower(letter), "".join(SLIPS), "".join(SLIPS.values()))
+    beside = F.translate(F.lower(letter), "".join(row[:-1] for row in KEY_ROWS), "".join(row[1:] for row in KEY_ROWS))
     kind = dice.n(salt + "?", 4, *keys)
     made = F.when(kind == 0, F.concat(head, tail)).when(kind == 1, F.concat(head, letter, letter, tail))
     made = made.when(kind == 2, F.concat(head, after, letter, F.substr(text, at + 2))).otherwise(F.concat(head, beside, tail))

@@ -3,6 +3,7 @@ from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from evigraph import queries as Q
 
@@ -87,3 +88,59 @@ def test_betweenness_is_exact_up_to_the_operators_bound(spark, flow, users):
 def test_find_queries_without_sql_limit_have_none(spark, name):
     plan = Q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "GlobalLimit" not in plan
+
+
+def test_vetoed_clusters_match_the_strict_order(spark):
+    """``cluster_docs_veto`` over a whole table: pairs scored by SQL, merged one by one, strongest first."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    source = Q._DOC_ID.properties["source"]
+    docs = dict(duck.execute("SELECT doc_id, source FROM documents").fetchall())
+    pairs = []
+    for left, right, st, sl, wt, wl, first in duck.execute(f"WITH {Q._DOCS_SQL} SELECT p.l, p.r, st, sl, wt, wl, first_pos FROM pairs p JOIN cand USING (l, r)").fetchall():
+        score = float(wt) + float(wl)
+        if docs[left] and docs[right]:
+            score += source.agree if docs[left] == docs[right] else source.disagree
+        if score >= 9.0:
+            pairs.append((-score, first, left, right))
+    home, held = {d: d for d in docs}, {d: {v} if v else set() for d, v in docs.items()}
+
+    def find(x):
+        while home[x] != x:
+            x = home[x]
+        return x
+
+    for _, _, left, right in sorted(pairs):
+        a, b = sorted((find(left), find(right)))
+        if a != b and not (held[a] and held[b] and held[a].isdisjoint(held[b])):
+            home[b] = a
+            held[a] |= held[b]
+    got = {r.pos: r.cluster for r in Q.queries()["cluster_docs_veto"](spark, folder).collect()}
+    assert got == {d: find(d) for d in docs} and len(set(got.values())) < len(docs)
+
+
+def test_cases_match_a_slow_grouping(spark):
+    """``correlate_cases`` over a whole table: findings joined by shared entities until nothing more joins."""
+    from evigraph.operators import risk, typologies
+
+    folder = "/root/testdata/sf0.01"
+    entities, edges, findings, _ = Q._attributed(spark, folder)
+    more = findings.unionByName(typologies.rapid_incorporation(entities, edges, dates=Q._first_shipments(spark, folder)))
+    whole = risk.with_attribution(more, risk.attribute(entities, edges, more)).orderBy(F.desc("severity"), "finding_id").collect()
+    left, want = list(whole), []
+    while left:
+        group, union = [left.pop(0)], set()
+        size = 0
+        while size != len(group):
+            size = len(group)
+            union = {e for f in group for e in f.entities}
+            group += [f for f in left if len(union & set(f.entities)) >= 2]
+            left = [f for f in left if f not in group]
+        if len(group) > 1:
+            kinds = sorted({f.kind for f in group})
+            want.append((",".join(kinds), sorted(f.finding_id for f in group), len(union), round(min(1.0, 0.6 + 0.2 * len(kinds)) * sum(f.severity for f in group) / len(group), 3)))
+    got = [(r.kinds, sorted(r.findings.split(",")), r.entities, r.score) for r in Q.queries()["correlate_cases"](spark, folder).collect()]
+    assert sorted(got) == sorted(want) and got
