@@ -132,12 +132,16 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.collect()} == seen and len(seen) > 120
 
 
-def test_pipeline_takes_odd_rows(spark, odd, empty, tmp_path):
+def test_pipeline_takes_odd_rows(spark, odd, empty, clashing, tmp_path):
     folder = f"file://{tmp_path}"
     spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{folder}/labels.parquet")
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
-    for frame in (odd, empty):
+    packed = []
+    for frame in (odd, empty, clashing):
         now = frame
-        for _, stage in corpus_pipeline.STAGES:
-            now = stage(spark, now, folder).cache()
+        for name, stage in corpus_pipeline.STAGES:
+            before, now = now, stage(spark, now, folder).cache()
             now.count()
+            assert name == "packing" or now.columns == before.columns
+        packed.append(sorted(map(str, now.collect())))
+    assert packed[0] == packed[2] and not packed[1]  # other columns change nothing
