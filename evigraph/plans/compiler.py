@@ -82,9 +82,10 @@ class Engine:
         self.graph, self.view = graph, query_view(graph, risk, communities, flags)
 
     def resolve(self, ref: str) -> str:
-        """An entity id: the reference itself, or the first entity that mentions it."""
+        """An entity id: the reference itself, in any case, or the first entity that mentions it."""
         entities = self.graph.entities
-        hit = entities.where(F.col("id") == ref).select("id").first() or search(entities, ref, 1).select("id").first()
+        named = entities.where(F.lower("id") == ref.lower()).orderBy(F.col("id") != ref, "id").select("id").first()
+        hit = named or search(entities, ref, 1).select("id").first()
         if hit is None:
             raise QueryError(f"nothing is called {ref!r}")
         return hit.id

@@ -11,11 +11,13 @@ from evigraph.functions import normalize as N
 from evigraph.functions import similarity as S
 from evigraph.ontology import BlockingRule, EntityType, LinkType, Ontology, PropertyDef
 from evigraph.operators import analytics, blocking, graph, risk, scoring, traversal, typologies
+from evigraph import engine as pipeline
 from evigraph.operators.clustering import cluster
 from evigraph.operators.merge import build_entities, merged_values
-from evigraph.operators.resolve import evaluate, find_errors
+from evigraph.operators.resolve import evaluate, find_errors, resolve_type
 from evigraph.ontology import default_ontology
 from evigraph.plans.compiler import Engine
+from evigraph.plans.english import NaturalLanguage
 from evigraph.sources import adapters
 from evigraph.runtime import materialize, number_rows, scratch_path, table
 
@@ -359,6 +361,31 @@ def explain_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l", "r", "e.prop", F.round("e.sim", 6).alias("sim"), F.round("e.weight", 6).alias("weight"))
 
 
+@query("strongest_evidence_docs", f"WITH {_DOCS_SQL} SELECT l, r, CASE WHEN abs(wt) >= abs(wl) THEN 'text' ELSE 'lang' END AS prop FROM pairs")
+def strongest_evidence_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The property that says most about each pair, for or against."""
+    found = _scored(spark, sf_dir)[1].select("l", "r", F.array_sort("evidence", lambda x, y: F.when(F.abs(x["weight"]) > F.abs(y["weight"]), -1).when(F.abs(x["weight"]) < F.abs(y["weight"]), 1).otherwise(0)).alias("e"))
+    return found.select("l", "r", F.element_at("e", 1)["prop"].alias("prop"))
+
+
+_SHELF = EntityType("shelf", {"names": PropertyDef("names", "name", 0.9, 0.05, 0.9, multi=True)})
+_SHELF_SQL = f"""shelves AS (SELECT DISTINCT p_size * 1000 + CAST(regexp_extract(p_brand, '[0-9]+') AS INT) AS pos, p_size, p_name FROM part),
+  met AS (SELECT x.pos AS l, y.pos AS r, x.p_name AS a, y.p_name AS b FROM shelves x JOIN shelves y ON x.p_size = y.p_size AND x.pos < y.pos)"""
+
+
+@query(
+    "score_lists_parts",
+    f"""WITH {_SHELF_SQL} SELECT l, r, round(max(CASE WHEN a = b THEN 1.0 ELSE greatest({_PAIRED_SQL}, len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / CAST(len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS DOUBLE)) END), 6) AS sim FROM met GROUP BY 1, 2""",
+)
+def score_lists_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shelves hold lists of names; two are as similar as their most similar names."""
+    pos = (F.col("p_size") * 1000 + F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")).cast("long")
+    shelves = table(spark, sf_dir, "part").groupBy(pos.alias("pos"), "p_size").agg(F.collect_set("p_name").alias("names"))
+    sizes = shelves.select(F.col("pos").alias("l"), "p_size").join(shelves.select(F.col("pos").alias("r"), "p_size"), "p_size").where("l < r").select("l", "r")
+    found = scoring.score_pairs(shelves, sizes, _SHELF)
+    return found.select("l", "r", F.round(F.element_at("evidence", 1)["sim"], 6).alias("sim"))
+
+
 def _clusters(spark: SparkSession, sf_dir: str, entity: EntityType = DOCUMENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     records, scored = _scored(spark, sf_dir, entity)
     return records, *cluster(records, scored.where("verdict = 'match'"), entity)
@@ -385,6 +412,41 @@ def merge_props_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_values(records, clusters, DOCUMENT).select("cluster", "prop", F.element_at("values", 1).alias("value"))
 
 
+_MANY = EntityType("document", {"source": PropertyDef("source", "raw", multi=True)}, DOCUMENT.blocking)
+
+
+@query(
+    "merge_lists_docs",
+    f"""{_CLUSTER_SQL}, s AS (SELECT cluster, source, min(pos) AS first FROM clusters JOIN docs USING (pos) WHERE source <> '' GROUP BY 1, 2)
+        SELECT cluster, string_agg(source, ',' ORDER BY first) AS value FROM s GROUP BY 1""",
+)
+def merge_lists_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A property of many values keeps each of them, in order of appearance."""
+    records, clusters, _ = _clusters(spark, sf_dir)
+    return merged_values(records, clusters, _MANY).where("prop = 'source'").select("cluster", F.concat_ws(",", "values").alias("value"))
+
+
+@query(
+    "resolution_totals_docs",
+    f"""{_CLUSTER_SQL} SELECT 'records' AS measure, count(*) AS n FROM docs UNION ALL SELECT 'blocks', count(*) FROM sizes UNION ALL SELECT 'largest_block', coalesce(max(n), 0) FROM sizes
+        UNION ALL SELECT 'skipped_blocks', count(*) FILTER (WHERE n > 400) FROM sizes UNION ALL SELECT 'candidate_pairs', count(*) FROM pairs UNION ALL SELECT 'matches', count(*) FILTER (WHERE verdict = 'match') FROM pairs
+        UNION ALL SELECT 'review', count(*) FILTER (WHERE verdict = 'review') FROM pairs UNION ALL SELECT 'conflicts_blocked', 0 UNION ALL SELECT 'entities', count(DISTINCT cluster) FROM clusters""",
+)
+def resolution_totals_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resolve_type(_records(spark, sf_dir), Ontology("documents", {"document": DOCUMENT}, {}), "document")
+    return spark.createDataFrame(list(got.total().items()), "measure string, n long")
+
+
+@query("unresolved_nations", "SELECT 'NAT-' || lpad(CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS VARCHAR), 6, '0') AS id, 'geo:' || n_nationkey AS members, lower(n_name) AS name FROM nation")
+def unresolved_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type without blocking rules is not resolved: every record is an entity."""
+    nations = table(spark, sf_dir, "nation")
+    records = nations.select(F.col("n_nationkey").cast("long").alias("pos"), F.concat(F.lit("geo:"), F.col("n_nationkey").cast("string")).alias("key"), F.lit("geo").alias("source"), N.norm_text(F.col("n_name")).alias("name"))
+    kind = EntityType("nation", {"name": PropertyDef("name")})
+    got = resolve_type(records, Ontology("places", {"nation": kind}, {}), "nation").entities
+    return got.select("id", F.concat_ws(",", "members").alias("members"), F.element_at(F.element_at("props", "name"), 1).alias("name"))
+
+
 @query(
     "entity_ids_docs",
     f"""{_CLUSTER_SQL}, n AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS ord FROM (SELECT DISTINCT cluster FROM clusters))
@@ -728,6 +790,31 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.graph_stats(_users(spark, sf_dir), _flow_edges(spark, sf_dir))
 
 
+@query(
+    "graph_round_trip",
+    f"""WITH {_FLOW_SQL} SELECT 'entity' AS section, 'user' AS name, count(DISTINCT user_id) AS n FROM events UNION ALL SELECT 'edge', 'transacted', count(*) FROM edges
+        UNION ALL SELECT 'total', 'observations', CAST(sum(count) AS BIGINT) FROM edges UNION ALL SELECT 'total', 'dangling_links', 7
+        UNION ALL SELECT 'export', 'provenance', CAST(sum(least(count, 25)) AS BIGINT) FROM edges UNION ALL SELECT 'export', 'label', count(DISTINCT user_id) FROM events""",
+)
+def graph_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph saved, loaded again and counted; and what its JSON export holds."""
+    users, folder = _users(spark, sf_dir), scratch_path(spark, "graph")
+    wired = graph.rewire(_flow_links(spark, sf_dir, "transacted"), users.select(F.col("id").alias("key"), F.col("id").alias("entity_id")))
+    seen = materialize(graph.observations(wired, TRADE), "observations")
+    graph.KnowledgeGraph(TRADE, users, graph.fold(seen), 7, seen).save(folder)
+    again = graph.KnowledgeGraph.load(spark, folder, TRADE)
+    edges = spark.read.schema("id string, provenance array<string>").json(f"{folder}/json/edges")
+    entities = spark.read.schema("id string, label string").json(f"{folder}/json/entities")
+    line = lambda frame, name, n: frame.agg(n.alias("n")).select(F.lit("export").alias("section"), F.lit(name).alias("name"), "n")
+    counted = graph.graph_stats(again.entities, again.edges, again.dangling)
+    return counted.unionByName(line(edges, "provenance", F.sum(F.size("provenance")))).unionByName(line(entities, "label", F.count("label")))
+
+
+@query("community_sizes", "SELECT CAST(user_id % 5 AS VARCHAR) AS community, count(DISTINCT user_id) AS size FROM events GROUP BY 1")
+def community_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.community_sizes(_users(spark, sf_dir).select(F.col("id").alias("node"), (F.col("ord") % 5).cast("string").alias("community")))
+
+
 @query("neighbours_out", f"WITH {_FLOW_SQL} SELECT dst AS other, count FROM edges WHERE src = 'U-1'")
 def neighbours_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(_flow_edges(spark, sf_dir), "U-1", ["transacted"], "out").select("other", "count")
@@ -1030,6 +1117,29 @@ def top_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select(F.col("entity_id").alias("id"), F.round("risk", 6).alias("risk")).orderBy(F.desc("risk"), "id").limit(15)
 
 
+@query("top_findings", f"WITH {_CLEAR_SQL} SELECT 'shared_registration:' || place AS finding_id, round(CAST(severity AS DOUBLE), 6) AS severity FROM f ORDER BY 2 DESC, 1 LIMIT 20")
+def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of one pattern as its own limit leaves them, the most severe first."""
+    found = typologies.shared_registration(_trade_entities(spark, sf_dir), _trade_edges(spark, sf_dir))
+    return found.select("finding_id", F.round("severity", 6).alias("severity"))
+
+
+@query(
+    "entity_flags",
+    f"""WITH {_CLEAR_SQL}, r AS (SELECT entity_id, round(1 - (1 - 0.6) * coalesce(clear, 1.0) - 0.3, 6) AS risk FROM ids LEFT JOIN clear USING (entity_id)),
+        marks AS (SELECT entity_id, string_agg(DISTINCT id, ',' ORDER BY id) AS typologies FROM (SELECT place AS entity_id, 'shared_registration:' || place AS id FROM f UNION ALL SELECT org, 'shared_registration:' || place FROM f JOIN seats USING (place)) GROUP BY 1)
+        SELECT entity_id, CASE WHEN entity_id IN ('S-1', 'C-2') THEN 'true' END AS watchlisted, CASE WHEN risk >= 0.5 THEN round(risk, 3) END AS risk, typologies FROM r LEFT JOIN marks USING (entity_id)""",
+)
+def entity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of listed entities, of risk of one half or more and of the findings that entities are in."""
+    entities, _, findings, attributed = _attributed(spark, sf_dir)
+    flat = entities.select(F.col("id").alias("node"), F.lit(0.001).alias("rank"))
+    scores = materialize(risk.risk_scores(entities, flat, findings, attributed).withColumn("risk", F.round(F.col("risk") - 0.3, 6)), "risk")
+    flags = pipeline.entity_flags(entities, spark.createDataFrame([("S-1",), ("C-2",)], "node string"), scores, attributed)
+    of = lambda name: F.try_element_at("flags", F.lit(name))
+    return flags.select("entity_id", of("watchlisted").alias("watchlisted"), of("risk").cast("double").alias("risk"), of("typologies").alias("typologies"))
+
+
 @query("correlate_cases")
 def correlate_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, edges, findings, attributed = _attributed(spark, sf_dir)
@@ -1080,6 +1190,18 @@ _language(
 _language("show_query", "show S-3", "SELECT 'S-' || s_suppkey AS id FROM supplier WHERE s_suppkey = 3")
 
 
+def _asked(name: str, question: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return NaturalLanguage(TRADE).ask(_engine(spark, sf_dir), question)[1].select("id")
+
+    query(name, sql)(run)
+
+
+_asked("ask_who", "Who is Customer#000000012?", "SELECT 'C-12' AS id")
+_asked("ask_connected", "What is connected to N-1?", "SELECT 'S-' || s_suppkey AS id FROM supplier WHERE s_nationkey = 1 ORDER BY s_suppkey LIMIT 25")
+_asked("ask_top", "top 4 risky companies", "SELECT 'S-' || s_suppkey AS id FROM supplier ORDER BY s_suppkey LIMIT 4")
+
+
 @query("path_query", f"{_PATHS_SQL} SELECT len(edge_ids) AS hops, array_to_string(path, '>') AS path FROM walk WHERE node = 'U-7' ORDER BY 1, path LIMIT 5")
 def path_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(graph.KnowledgeGraph(TRADE, _users(spark, sf_dir), _flow_edges(spark, sf_dir)))
