@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +39,11 @@ def _prepared(records: DataFrame, entity: EntityType, names: list[str]) -> DataF
     return records.select("pos", *columns)
 
 
+def _best_of_arrays(a: Column, b: Column, one: Callable[[Column, Column], Column]) -> Column:
+    """The similarity of the best pair of elements, by SQL functions alone."""
+    return F.array_max(F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: one(x, y)))))
+
+
 def _best_of_lists(both: DataFrame, kind: str, n: str) -> DataFrame:
     """``(l, r, s_<n>)``: the similarity of the best pair of elements, each pair a row of its own."""
     pairs = both.select("l", "r", F.explode(f"l_{n}").alias("a"), F.col(f"r_{n}").alias("bs")).select("l", "r", "a", F.explode("bs").alias("b"))
@@ -59,8 +67,7 @@ def similarities(records: DataFrame, pairs: DataFrame, entity: EntityType) -> Da
         elif kind in EXACT & NATIVE_KINDS:
             same = F.arrays_overlap(a, b).cast("double")
         elif kind in NATIVE_KINDS:
-            one = hashed_jaccard if kind == "address" else lambda x, y, kind=kind: compare(kind, x, y)
-            same = F.array_max(F.transform(a, lambda x, b=b, one=one: F.array_max(F.transform(b, lambda y: one(x, y)))))
+            same = _best_of_arrays(a, b, hashed_jaccard if kind == "address" else partial(compare, kind))
         else:  # functions that may run in Python cannot be called on elements of arrays
             lists.append((n, kind))
             continue

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.operators.graph import adjacency
-from evigraph.runtime import count_rows, materialize
+from evigraph.runtime import count_rows, materialize, release
 
 
 def ego(edges: DataFrame, nodes: DataFrame | str, hops: int = 1, link_types: Iterable[str] | None = None) -> DataFrame:
@@ -24,7 +24,9 @@ def ego(edges: DataFrame, nodes: DataFrame | str, hops: int = 1, link_types: Ite
     for hop in range(1, hops + 1):
         ahead = seen.where(F.col("hops") == hop - 1).join(near, "node").select(F.col("other").alias("node")).distinct()
         new = ahead.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))
-        seen = materialize(seen.unionByName(new), f"ego-{hop}")
+        grown = materialize(seen.unionByName(new), f"ego-{hop}")
+        release(seen)
+        seen = grown
     return seen
 
 
@@ -44,7 +46,9 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_hops: int = 6, lin
         ahead = seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("parent")).join(near.withColumnRenamed("node", "parent"), "parent")
         best = ahead.groupBy(F.col("other").alias("node")).agg(F.min(F.struct("edge_id", "parent")).alias("m"))
         new = best.join(seen.select("node"), "node", "left_anti").select("node", "m.parent", "m.edge_id", F.lit(hop).alias("hop"))
-        seen = materialize(seen.unionByName(new), f"path-{hop}")
+        grown = materialize(seen.unionByName(new), f"path-{hop}")
+        release(seen)
+        seen = grown
         if seen.where(F.col("node") == end).limit(1).count():
             back, node = [], end
             for step in range(hop, 0, -1):  # one row for each hop

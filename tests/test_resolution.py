@@ -98,3 +98,24 @@ def test_evaluation(spark):
     merges, splits = find_errors(frame)
     assert merges.first().truths == ["a", "b"] and splits.first().entities == ["e1", "e2"]
     assert evaluate(frame.limit(0)).count() == 0
+
+
+def test_lists_of_every_kind_are_normalized_and_scored(spark):
+    from evigraph.functions.similarity import name_value, org_value
+    from evigraph.sources.adapters import normalize_records
+
+    kinds = {"names": "name", "firms": "org", "notes": "text", "mails": "email", "places": "address", "days": "date"}
+    kind = EntityType("person", {n: PropertyDef(n, k, 0.9, 0.05, 0.95, multi=True) for n, k in kinds.items()})
+    raw = [
+        (0, "a:0", ["Dr Bob Whitlock", ""], ["Acme Ltd", "Meridian Holdings"], ["hello"], ["A@x.org"], ["1 Main St", "2 Mill Rd"], ["08/03/1974"]),
+        (1, "a:1", ["Jane Roe", "Robert J Whitlock"], ["Meridian"], ["help", None], ["b@x.org", "a+t@x.org"], ["2 Mill Road"], ["nonsense", "1974-03-09"]),
+        (2, "a:2", [], None, ["hello"], ["c@x.org"], ["9 Oak Lane"], ["2001-01-01"]),
+    ]
+    shape = "pos long, key string, names array<string>, firms array<string>, notes array<string>, mails array<string>, places array<string>, days array<string>"
+    rows = spark.createDataFrame(raw, shape).withColumns({"source": F.lit("a"), "local_id": F.col("key"), "at": F.col("pos")})
+    clean = normalize_records(rows, kind).withColumnRenamed("at", "pos")
+    assert clean.where("pos = 0").first().names == ["robert whitlock"] and len(clean.where("pos = 1").first().days) == 1
+    found = {(r.l, r.r): {e.prop: e.sim for e in r.evidence} for r in scoring.score_pairs(clean, spark.createDataFrame([(0, 1), (0, 2)], "l long, r long"), kind).collect()}
+    want = {"names": name_value("robert whitlock", "robert j whitlock"), "firms": max(org_value("acme", "meridian"), 0.5), "mails": 1.0, "places": 1.0, "days": 0.9}
+    assert {k: v for k, v in found[0, 1].items() if k != "notes"} == pytest.approx(want) and 0.7 < found[0, 1]["notes"] < 1
+    assert "names" not in found[0, 2] and "firms" not in found[0, 2] and found[0, 2]["notes"] == 1.0 and found[0, 2]["mails"] == 0.0
