@@ -44,13 +44,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct(),
         "cc",
+        compact=True,
     )
     for _ in range(max_rounds):
         if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        step = materialize(_small_star(_large_star(now)), "cc")
+        step = materialize(_small_star(_large_star(now)), "cc", compact=True)
         release(now)
         now = step
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
