@@ -332,7 +332,7 @@ def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
     the square of its size.
     """
     ends = open_.select("component", "centre").where("component <> centre").distinct()
-    whole = materialize(connected_components(ends, "component", "centre").select(F.col("node").alias("component"), F.col("component").alias("g")), "near-groups")
+    whole = materialize(connected_components(ends, "component", "centre").select(F.col("node").alias("component"), F.col("component").alias("g")), "near-groups", compact=True)
     members = materialize(open_.select("id", "component").distinct().join(whole, "component"), "near-members", compact=True)
     fit = members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= GROUP)
     small = members.join(fit, "g").select(F.col("g").alias("block"), F.lit(0).alias("kind"), "id", "component", "size")
@@ -407,6 +407,6 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     distinct = materialize(marks.groupBy("digest").agg(rep, *[F.first(c).alias(c) for c in ("n", "keys", "c0", "c1", "c2")]).withColumn("id", F.monotonically_increasing_id()), "near-distinct")
     release(marks)
     labelled = distinct.select("id", "rep").join(similar_components(distinct, named), "id", "left")
-    kept = materialize(labelled.groupBy(F.coalesce("component", "id").alias("c")).agg(F.min("rep").alias("rep")).select(F.col("rep.a").alias("__a"), F.col("rep.b").alias("__b")), "near-kept")
+    kept = materialize(labelled.groupBy(F.coalesce("component", "id").alias("c")).agg(F.min("rep").alias("rep")).select(F.col("rep.a").alias("__a"), F.col("rep.b").alias("__b")), "near-kept", compact=True)
     release(distinct)
     return docs.withColumns(key).join(kept, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"]).select(*docs.columns)
