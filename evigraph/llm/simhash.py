@@ -22,12 +22,14 @@ shingles have a Jaccard similarity of 0.8 or more. Such pairs differ in about te
 64-bit SimHash and in up to eighteen, and blocks that must agree would have three bits each:
 they select nothing. The stage keeps the scheme and changes the symbols. Its fingerprint is
 ``SYMBOLS`` min-wise hashes of the set, split into blocks of ``BLOCK_SYMBOLS``; close pairs
-share a block (a pair of similarity 0.8 shares none with probability 3e-6), pairs meet on
-equal blocks, and the Hamming distance of the fingerprints' one-bit code is verified (at
-similarity 0.8 it is 16 of 160 bits on average and over ``FAR_BITS`` with probability 3e-7).
-What is left is compared exactly, set by set. No bucket is expanded into its pairs: each set
-first meets the most central one of its bucket, and what this leaves in different components
-is compared part by part within tasks, which return links alone.
+share a block (a pair of similarity 0.8 shares none with probability 3e-6) and meet on equal
+blocks; the Hamming distance of the fingerprints' one-bit code is 16 of 160 bits on average at
+similarity 0.8 and over ``FAR_BITS`` with probability 3e-7.
+What is left is compared exactly, set by set, and no bucket is expanded into its pairs: sets
+that hang together by shared blocks are compared part by part within tasks that return links
+alone. In a group of more than ``GROUP`` sets each first meets the most central one of its
+bucket, where the Hamming distance of the code is verified before the sets are compared, and
+only what this leaves in different components is compared part by part.
 """
 
 from __future__ import annotations
@@ -54,7 +56,7 @@ PAIR_LIMIT = 48
 NEAR_SHINGLE = 5
 SYMBOLS, BLOCK_SYMBOLS, FAR_BITS = 160, 5, 38
 WANTED_BITS = 1 << 23
-GROUP, PART = 4096, 256
+GROUP, PART = 1 << 14, 256
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The eight bits of a byte as eight one-byte lanes of a word, bit 0 in the lowest lane.
@@ -321,26 +323,16 @@ def _joined(labels: list[int], sets: list[np.ndarray], left: list[int], right: l
     return links
 
 
-def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` between components that have similar sets which share a block.
+def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` between the components of similar sets that are members of one block.
 
-    ``open_`` has key, id, component and centre, the component of the block's central set.
-    Components that hang together by blocks are one group or, where these have more than
-    ``GROUP`` sets, those of each block are. A group is dealt into parts of about ``PART``
-    sets, and each two parts meet in one task that compares whole sets and returns links
-    only. Where a block has many components of sets that are less than similar, this costs
-    the square of its size.
+    ``members`` has block, id and component. A block is dealt into parts of about ``PART``
+    sets, and each two parts meet in one task that compares whole sets and returns no more
+    links than it takes to join them.
     """
-    ends = open_.select("component", "centre").where("component <> centre").distinct()
-    whole = materialize(connected_components(ends, "component", "centre").select(F.col("node").alias("component"), F.col("component").alias("g")), "near-groups", compact=True)
-    members = materialize(open_.select("id", "component").distinct().join(whole, "component"), "near-members", compact=True)
-    fit = members.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= GROUP)
-    small = members.join(fit, "g").select(F.col("g").alias("block"), F.lit(0).alias("kind"), "id", "component", "size")
-    rest = open_.join(members.join(fit, "g", "left_anti").select("id"), "id", "left_semi").select(F.col("key").alias("block"), F.lit(1).alias("kind"), "id", "component")
-    large = rest.join(rest.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "block").select("block", "kind", "id", "component", "size")
-    dealt = small.unionByName(large).withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
+    dealt = members.join(members.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "block").withColumn("parts", F.ceil(F.col("size") / PART).cast("int"))
     dealt = dealt.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    met = dealt.select("block", "kind", "id", "component", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select("block", "kind", "id", "component", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+    met = dealt.select("block", "id", "component", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select("block", "id", "component", "p", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
 
     def run(group: pa.Table) -> pa.Table:
         labels, parts = (group.column(c).to_pylist() for c in ("component", "p"))
@@ -350,17 +342,38 @@ def _across(open_: DataFrame, sets: DataFrame) -> DataFrame:
         links = _joined(labels, found, left, left if i == j else right) if left and right else []
         return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
-    links = materialize(met.join(sets, "id").groupBy("block", "kind", "i", "j").applyInArrow(run, "u long, v long"), "near-links", compact=True)
-    release(whole)
-    release(members)
-    return links
+    return met.join(sets, "id").groupBy("block", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def _starred(led: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` in groups too large to compare in parts.
+
+    Each set first meets the central set of its blocks; only blocks with sets of different
+    components are then compared in parts, sets of one component not with each other. Where
+    a block has many components of sets that are less than similar, this costs the square of
+    its size.
+    """
+    stars = led.where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
+    links = materialize(_similar(_close(stars, facts), sets), "near-links", compact=True)
+    parts = materialize(connected_components(links).withColumnRenamed("node", "id"), "near-parts", compact=True)
+    of = lambda c: parts.withColumnsRenamed({"id": c, "component": f"{c}_part"})
+    labelled = led.join(of("id"), "id", "left").join(of("centre"), "centre", "left")
+    labelled = labelled.select("key", "id", F.coalesce("id_part", "id").alias("component"), F.coalesce("centre_part", "centre").alias("centre"))
+    mixed = labelled.where("component <> centre").select("key").distinct()
+    open_ = materialize(labelled.join(mixed, "key", "left_semi").select(F.col("key").alias("block"), "id", "component"), "near-open", compact=True)
+    more = materialize(_across(open_, sets), "near-links", compact=True)
+    release(open_)
+    release(parts)
+    return links.unionByName(more)
 
 
 def similar_components(distinct: DataFrame, named: DataFrame) -> DataFrame:
     """``(id, component)`` of the sets that are linked by Jaccard similarities of 0.8 or more.
 
     ``distinct`` has one row ``(id, digest, rep, n, keys, c0, c1, c2)`` for each set. Not
-    every similar pair becomes a link, but any two similar sets are joined by links.
+    every similar pair becomes a link, but any two similar sets are joined by links. Sets that
+    hang together by shared blocks are a group; groups of up to ``GROUP`` sets are compared
+    whole, larger ones by way of the central sets of their blocks.
     """
     rows = distinct.select("id", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -370,25 +383,18 @@ def similar_components(distinct: DataFrame, named: DataFrame) -> DataFrame:
     centre = met.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", "id"))["id"].alias("centre"))
     led = materialize(met.join(centre, "key").select("key", "id", "centre"), "near-led", compact=True)
     release(met)
-    stars = led.where("id <> centre").select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
-    facts = materialize(distinct.join(led.select("id").distinct(), "id").select("id", "digest", "rep.a", "n", "c0", "c1", "c2"), "near-facts", compact=True)
+    groups = connected_components(led.select("id", "centre").distinct(), "id", "centre").select(F.col("node").alias("id"), F.col("component").alias("block"))
+    facts = materialize(groups.join(distinct, "id").select("id", "block", "digest", "rep.a", "n", "c0", "c1", "c2"), "near-facts", compact=True)
     sets = _sets(facts.select("id", "digest", "a"), named)
-    links = materialize(_similar(_close(stars, facts), sets), "near-links", compact=True)
-    parts = materialize(connected_components(links).withColumnRenamed("node", "id"), "near-parts", compact=True)
-    of = lambda c: parts.withColumnsRenamed({"id": c, "component": f"{c}_part"})
-    labelled = led.join(of("id"), "id", "left").join(of("centre"), "centre", "left")
-    labelled = labelled.select("key", "id", F.coalesce("id_part", "id").alias("component"), F.coalesce("centre_part", "centre").alias("centre"))
-    mixed = labelled.where("component <> centre").select("key").distinct()
-    open_ = materialize(labelled.join(mixed, "key", "left_semi"), "near-open", compact=True)
-    more = _across(open_, sets)
-    for done in (led, facts, sets, links, open_):
+    large = materialize(facts.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > GROUP).select("block"), "near-large", compact=True)
+    links = _across(facts.join(large, "block", "left_anti").select("block", "id", F.col("id").alias("component")), sets)
+    if large.limit(1).count():
+        held = facts.join(large, "block", "left_semi").select("id")
+        links = links.unionByName(_starred(materialize(led.join(held, "id", "left_semi"), "near-led", compact=True), facts, sets))
+    parts = materialize(connected_components(links), "near-parts", compact=True)
+    for done in (led, facts, sets, large):
         release(done)
-    if not more.limit(1).count():
-        return parts
-    # components that the last links join: each becomes the least of them
-    joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    old = parts.unionByName(more.select(F.explode(F.array("u", "v")).alias("id"), F.col("id").alias("component"))).distinct()
-    return old.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    return parts.withColumnRenamed("node", "id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -131,12 +131,14 @@ def test_keep_one_finds_all_similar_pairs(spark, monkeypatch):
     assert len(far) > 50 and len(want) < len(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
-    # without the central sets the members of a bucket still meet each other, in groups, blocks and parts of any size
-    monkeypatch.setattr(simhash, "_close", lambda pairs, facts: pairs.limit(0))
-    for group, part in ((4096, 256), (4096, 4), (2, 3)):
+    # groups in one part or many, and groups that go by way of central sets
+    for group, part in ((1 << 14, 4), (2, 256), (2, 3)):
         monkeypatch.setattr(simhash, "GROUP", group)
         monkeypatch.setattr(simhash, "PART", part)
         assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
+    # if the central sets are similar to none, the members of a block still meet each other
+    monkeypatch.setattr(simhash, "_close", lambda pairs, facts: pairs.limit(0))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == want
 
 
 def test_min_wise_blocks_meet_and_codes_are_near():
