@@ -1,11 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed terms over all documents give inverse frequencies.
+1. Every text is hashed to its terms once; document frequencies over all documents give
+   inverse frequencies.
 2. A randomised SVD of TF-IDF passages gives ``RANK`` latent directions. Its rows are the
-   benchmark's passages (weighted) and a bounded sample of document passages (one from anywhere
-   in each of ``SAMPLE_DOCS`` documents). The matrix is dealt over the executors by blocks of
-   terms; every round multiplies there and adds up by ranges of rows, and the driver sees one
-   table of rows x rank.
+   benchmark's passages (weighted) and every passage of every document (together they weigh as
+   ``SAMPLE_DOCS`` passages do, however many there are). Its columns are the benchmark's terms:
+   no other word counts in the checks. Tasks add up products of columns, which are as many
+   however many the rows; the sums lie on the executors by ranges of columns, every round
+   multiplies there, and the driver sees one table of terms x rank.
 3. Every document is cut into blocks of ``BLOCK`` words; a passage is two adjacent blocks, so
    all words of all texts are in some passage. Passages and benchmark items meet by the
    cosine of their latent vectors; an item's bound is scaled by the share of its length that
@@ -17,8 +19,8 @@
    last sentence) present, within a span not much longer than the item. An item of fewer
    than ``LEAST_WORDS`` words must stand there word for word.
 
-The benchmark is handled in blocks of about ``QUERY_BLOCK`` passages, one after the other, each
-against all documents; items longer than ``ITEM_WORDS`` are split into passages and an item
+The benchmark is handled in blocks of about ``QUERY_BLOCK`` passages or ``TERMS`` terms, one after
+the other, each against all documents; items longer than ``ITEM_WORDS`` are split into passages and an item
 counts as found if one of them is. Items without words match nothing.
 """
 
@@ -34,15 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.runtime import bound_batches, hash_sample, materialize, release
+from evigraph.runtime import bound_batches, materialize, release
 
 BUCKETS = 1 << 18
 RANK, OVERSAMPLE, POWER = 256, 8, 2
+#: So many passages weigh in the fit what all passages of the documents weigh together.
 SAMPLE_DOCS = 2048
-#: Terms in one block of the matrix, and pieces in which sums over the blocks are made.
-SPAN, SUMS = 1024, 8
+#: Terms in one range of the products of columns, and pieces in which sums over the ranges are made.
+SPAN, SUMS = 64, 8
+#: Products that a task adds up at a time: more of them take several passes over the hashed texts.
+CELLS = 1 << 24
 BLOCK = 24
-QUERY_BLOCK = 1024
+QUERY_BLOCK, TERMS = 1024, 8192
+#: Words whose products are made at a time.
+SOME_WORDS = 1 << 17
 ITEM_WORDS, PASSAGE_WORDS, SHORT_WORDS, LEAST_WORDS = 96, 64, 16, 5
 COSINE, CONTAINED = 0.25, 0.45
 LCS_SURE, LCS_LEAST, ANSWER = 0.8, 0.6, 0.6
@@ -127,25 +134,42 @@ def passages_of(item: object, text: str | None) -> list[Passage]:
     return [Passage(item, c, answer if k == len(cut) - 1 else []) for k, c in enumerate(cut)]
 
 
-def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Smoothed inverse document frequency of every hash bucket, over all documents."""
+def hashed_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``terms``: the hash buckets of every text's words in order, four bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(BUCKETS, dtype=np.int64), 0
+        for batch in batches:
+            found = [term_hashes(words_of(t or "")).astype("<u4").tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["terms"])
+
+    return materialize(docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "terms binary"), "term-hashes")
+
+
+def inverse_frequencies(hashed: DataFrame) -> tuple[np.ndarray, int]:
+    """Smoothed inverse document frequency of every hash bucket, and the number of passages, over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, last, seen, passages = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64), 0, 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
+                terms = np.frombuffer(t, dtype="<u4")
+                blocks = -(-len(terms) // BLOCK)
                 seen += 1
-                counts[np.unique(term_hashes(list(set(words_of(t or "")))))] += 1
+                passages += blocks - (blocks > 1)
+                place = np.arange(len(terms))
+                last[terms] = place
+                counts[terms[last[terms] == place]] += 1  # every term at its last place
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int32()), pa.array([*counts[at], seen], pa.int64())], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([*at, -1, -2], pa.int32()), pa.array([*counts[at], seen, passages], pa.int64())], names=["term", "n"])
 
-    sums = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    got = sums.toArrow()  # BUCKETS + 1 rows at most
+    some = hashed.coalesce(hashed.sparkSession.sparkContext.defaultParallelism)
+    sums = some.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    got = sums.toArrow()  # BUCKETS + 2 rows at most
     terms, counts = got["term"].to_numpy(), got["n"].to_numpy()
-    total = int(counts[terms < 0].sum())
+    total = int(counts[terms == -1].sum())
     out = np.full(BUCKETS, math.log(total + 1.0) + 1.0, dtype=np.float32)
     out[terms[terms >= 0]] = np.log((total + 1.0) / (counts[terms >= 0] + 0.5)) + 0.01
-    return np.maximum(out, 0.01)
+    return np.maximum(out, 0.01), int(counts[terms == -2].sum())
 
 
 def _unit_row(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,39 +178,143 @@ def _unit_row(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return terms, (value / max(float(np.linalg.norm(value)), 1e-9)).astype(np.float32)
 
 
-def _orthonormal(y: np.ndarray) -> np.ndarray:
-    """An orthonormal basis of the columns, by way of their small Gram matrix."""
-    for _ in range(2):  # twice is enough for single precision
-        values, vectors = np.linalg.eigh((y.T @ y).astype(np.float64))
-        kept = values > 1e-6 * max(float(values[-1]), 1e-30)
-        y = y @ (vectors[:, kept] / np.sqrt(values[kept])).astype(np.float32)
-    return y
+class ColumnProducts:
+    """Sums over rows of the products of columns ``first..end`` with themselves and later ones.
+
+    The half of each square is kept, so the whole table is that of the sums plus its transpose.
+    """
+
+    def __init__(self, first: int, end: int, terms: int) -> None:
+        self.first, self.end, self.sums = first, end, np.zeros((end - first, terms - first))
+
+    def add(self, a: np.ndarray, b: np.ndarray, products: np.ndarray) -> None:
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if self.first or self.end < self.first + self.sums.shape[1]:
+            some = (low >= self.first) & (low < self.end)
+            low, high, products = low[some] - self.first, high[some] - self.first, products[some]
+        np.add.at(self.sums.ravel(), low * self.sums.shape[1] + high, products)
+
+    def parts(self) -> Iterator[pa.RecordBatch]:
+        for k in range(0, self.end - self.first, SPAN):
+            part = self.sums[k : k + SPAN, k:].astype(np.float32)
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([(self.first + k) // SPAN], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
+
+
+def add_passages(texts: list[np.ndarray], where: np.ndarray, idf: np.ndarray, weight: float, to: ColumnProducts) -> None:
+    """Add ``weight`` times the products of the unit TF-IDF rows of every passage of ``texts``.
+
+    A pair of words is looked at once: it is in the passages that begin at its first word's
+    block or the block before. Blocks are numbered with a gap after every text.
+    """
+    texts = [t for t in texts if len(t)]
+    if not texts:
+        return
+    sizes = np.array([len(t) for t in texts])
+    blocks = -(-sizes // BLOCK)
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    block = np.repeat(np.cumsum(blocks + 1) - blocks, sizes) + place // BLOCK
+    keys, times = np.unique(block * BUCKETS + np.concatenate(texts), return_counts=True)
+    block, term = keys // BUCKETS, keys % BUCKETS
+    value = times * idf[term].astype(np.float64)
+    wide = int(block[-1]) + 2
+    length = np.bincount(block, value**2, wide)
+    at = np.minimum(np.searchsorted(keys, keys + BUCKETS), len(keys) - 1)
+    both = keys[at] == keys + BUCKETS
+    shared = np.bincount(block[both], value[both] * value[at[both]], wide)
+    following, before = np.append(length[1:], 0), np.append(0, length[:-1])
+    begins = (following > 0) | (length > 0) & (before == 0)  # the last block of several begins none
+    one = np.where(begins & (length > 0), weight / np.maximum(length + following + 2 * shared, 1e-18), 0)
+    two = one + np.append(0, one[:-1])
+    column = where[term] - 1
+    known = column >= 0
+    column, block, value = column[known].astype(np.int64), block[known], value[known]
+    within, across = two[block] * value, one[block] * value
+    block = block.astype(np.int32)
+    to.add(column, column, 0.5 * within * value)
+    for d in range(1, len(column)):
+        apart = block[d:] - block[:-d]
+        near = np.flatnonzero(apart <= 1)
+        if not len(near):
+            break
+        later = near + d
+        to.add(column[near], column[later], np.where(apart[near] == 0, within[near], across[near]) * value[later])
+
+
+def _passes(terms: int) -> Iterator[tuple[int, int]]:
+    """Ranges of columns whose products fit a task."""
+    first = 0
+    while first < terms:
+        end = min(terms, first + max(1, CELLS // (terms - first) // SPAN) * SPAN)
+        yield first, end
+        first = end
+
+
+def passage_products(hashed: DataFrame, where: np.ndarray, idf: np.ndarray, weight: float, terms: int) -> DataFrame:
+    """``(at, part)``: column products of every passage of every text, in parts to be added up."""
+    spark = hashed.sparkSession
+    shared = spark.sparkContext.broadcast((where, idf))
+
+    def of(first: int, end: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            where, idf = shared.value
+            sums = ColumnProducts(first, end, terms)
+            some, size = [], 0
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    some.append(np.frombuffer(t, dtype="<u4"))
+                    size += len(some[-1])
+                    if size >= SOME_WORDS:
+                        add_passages(some, where, idf, weight, sums)
+                        some, size = [], 0
+            add_passages(some, where, idf, weight, sums)
+            yield from sums.parts()
+
+        # sums are as large however many texts a task has: one task for each core
+        return hashed.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(run, "at int, part binary")
+
+    out, *more = (of(*x) for x in _passes(terms))
+    for x in more:
+        out = out.unionByName(x)
+    return out
+
 
+def entry_products(entries: DataFrame, terms: int) -> DataFrame:
+    """``(at, part)``: column products of the rows ``(row, term, value)``, in parts to be added up."""
 
-def _summed(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys and the sums of their rows."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(values[order], starts, axis=0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(c.values.field("term").to_numpy(), c.values.field("value").to_numpy().astype(np.float64)) for batch in batches for c in batch.column(0)]
+        for first, end in _passes(terms):
+            sums = ColumnProducts(first, end, terms)
+            for term, value in rows:
+                a, b = np.triu_indices(len(term))
+                sums.add(term[a].astype(np.int64), term[b].astype(np.int64), np.where(a == b, 0.5, 1.0) * value[a] * value[b])
+            yield from sums.parts()
+
+    cell = F.struct(F.col("term").cast("int").alias("term"), F.col("value").cast("float").alias("value"))
+    return entries.groupBy("row").agg(F.collect_list(cell).alias("cells")).select("cells").coalesce(1).mapInArrow(run, "at int, part binary")
 
 
-def randomised_svd(entries: DataFrame, rows: int, rank: int, seed: int = 5) -> DataFrame:
+def randomised_svd(entries: DataFrame, rows: int, rank: int, seed: int = 5, terms: int | None = None, more: DataFrame | None = None) -> DataFrame:
     """``(term, vector)``: leading right singular vectors of the matrix ``(row, term, value)``.
 
-    A range finder with ``POWER`` power rounds on the side of the rows, whose number is a
-    parameter. Each executor holds whole columns and so has its part of A(A'Y) without any
-    other's; the parts are added up in ``SUMS`` groups.
+    ``rows`` rows are given as entries, a bounded number; of any number of others ``more`` has the
+    column products. A range finder with ``POWER`` power rounds on the side of the terms,
+    whose number is bounded. Each executor multiplies its ranges of the products of columns; the
+    results are added up in ``SUMS`` groups.
     """
     spark = entries.sparkSession
-    cell = F.struct(F.col("row").cast("int").alias("row"), F.col("term").cast("int").alias("term"), F.col("value").cast("float").alias("value"))
-    blocks = materialize(entries.groupBy(F.expr(f"term div {SPAN}").alias("block")).agg(F.collect_list(cell).alias("cells")).repartition(spark.sparkContext.defaultParallelism), "svd-blocks")
+    terms = entries.agg(F.max("term")).first()[0] + 1 if terms is None else terms
+    parts = entry_products(entries, terms) if more is None else more.unionByName(entry_products(entries, terms))
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-        for batch in batches:
-            for block in batch.column(0):
-                if len(block.values):
-                    yield tuple(block.values.field(c).to_numpy() for c in ("row", "term", "value"))
+    def add(group: pa.Table) -> pa.Table:
+        total = 0
+        for p in group.column("part"):
+            total = total + np.frombuffer(p.as_buffer(), dtype=np.float32)
+        return pa.table({"at": group.column("at").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+    ranges = materialize(parts.groupBy("at").applyInArrow(add, "at int, part binary"), "svd-products", compact=True)
+    slices = [slice(terms * k // SUMS, terms * (k + 1) // SUMS) for k in range(SUMS)]
 
     def product(y: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast(y)
@@ -194,88 +322,47 @@ def randomised_svd(entries: DataFrame, rows: int, rank: int, seed: int = 5) -> D
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = shared.value
             total = np.zeros_like(y)
-            for row, term, value in cells(batches):
-                names, right = _summed(value[:, None] * y[row], term)
-                at, left = _summed(value[:, None] * right[np.searchsorted(names, term)], row)
-                total[at] += left
+            for batch in batches:
+                for at, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    here = slice(at * SPAN, min(terms, (at + 1) * SPAN))
+                    half = np.frombuffer(part.as_buffer(), dtype=np.float32).reshape(-1, terms - here.start)
+                    total[here] += half @ y[here.start :]
+                    total[here.start :] += half.T @ y[here]
             yield pa.RecordBatch.from_arrays([pa.array(range(SUMS), pa.int32()), pa.array([total[x].tobytes() for x in slices], pa.binary())], names=["at", "part"])
 
-        def add(group: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(p.as_buffer(), dtype=np.float32) for p in group.column("part"))
-            return pa.table({"at": group.column("at").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
-
-        slices = [slice(rows * k // SUMS, rows * (k + 1) // SUMS) for k in range(SUMS)]
         total = np.zeros(y.shape, dtype=np.float32)
-        for r in blocks.select("cells").mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").collect():  # SUMS rows
+        for r in ranges.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").collect():  # SUMS rows
             total[slices[r["at"]]] = np.frombuffer(r.part, dtype=np.float32).reshape(-1, y.shape[1])
         shared.destroy()
         return total
 
-    y = np.random.default_rng(seed).standard_normal((rows, min(rows, rank + OVERSAMPLE)), dtype=np.float32)
+    y = np.random.default_rng(seed).standard_normal((terms, min(terms, rank + OVERSAMPLE) if more is not None else min(rows, terms, rank + OVERSAMPLE)), dtype=np.float32)
     for _ in range(1 + POWER):
-        y = _orthonormal(product(y))
+        y = np.linalg.qr(product(y))[0]
     values, vectors = np.linalg.eigh((small := y.T @ product(y)) + small.T)
     values = values / 2
+    release(ranges)
     order = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-6 * max(float(values.max()), 1e-30)]
-    left = spark.sparkContext.broadcast((y @ (vectors[:, order] / np.sqrt(values[order]))).astype(np.float32))
-
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, term, value in cells(batches):
-            names, found = _summed(value[:, None] * left.value[row], term)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([v.tobytes() for v in found], pa.binary())], names=["term", "vector"])
-
-    return blocks.select("cells").mapInArrow(right, "term int, vector binary")
+    found = y @ vectors[:, order].astype(np.float32)
+    return spark.createDataFrame(pa.table({"term": pa.array(range(terms), pa.int32()), "vector": pa.array([v.tobytes() for v in found], pa.binary())}))
 
 
-def _space(docs: DataFrame, passages: list[Passage], idf: np.ndarray, text: str, doc_id: str) -> tuple[np.ndarray, np.ndarray]:
-    """``(term -> row, rows)``: latent vectors of the terms of the fit, times idf; row 0 is zero.
+def _space(hashed: DataFrame, count: int, passages: list[Passage], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(term -> row, rows)``: latent vectors of the benchmark's terms, times idf; row 0 is zero.
 
-    A term outside the benchmark that one passage of the fit holds says nothing about
-    others and has no vector.
+    Fit on the ``count`` passages of all documents and on the benchmark's.
     """
-    spark = docs.sparkSession
-    chosen = hash_sample(docs.select(F.col(doc_id).alias("__id")), ["__id"], SAMPLE_DOCS).distinct()
-    shared = spark.sparkContext.broadcast(idf)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            taken = []
-            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(t or "")
-                start = h % max(1, len(words) - 2 * BLOCK + 1)  # anywhere in the whole text
-                taken.append(term_hashes(words[start : start + 2 * BLOCK]).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(taken, pa.list_(pa.int32()))], names=["h", "passage"])
-
-    some = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("t")).join(F.broadcast(chosen), "__id")
-    some = some.select(F.xxhash64("__id").alias("h"), "t").mapInArrow(cut, "h long, passage array<int>").where(F.size("passage") > 0)
-    some = materialize(some.groupBy("h").agg(F.min("passage").alias("passage")), "svd-passages", compact=True)
-    places = np.sort(np.array([r.h for r in some.select("h").collect()], dtype=np.int64))  # SAMPLE_DOCS numbers at most
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.searchsorted(places, batch.column(0).to_numpy())
-            made = [_unit_row(np.array(p, dtype=np.uint32), shared.value) for p in batch.column(1).to_pylist()]
-            sizes = [len(t) for t, _ in made]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, sizes), pa.int64()), pa.array(np.concatenate([t for t, _ in made]), pa.int32()), pa.array(np.concatenate([v for _, v in made]), pa.float32())], names=["row", "term", "value"])
-
-    items = []
-    for k, p in enumerate(passages):  # QUERY_BLOCK passages or one item at a time
-        terms, value = _unit_row(term_hashes(p.words), idf)
-        items += [(len(places) + k, t, v) for t, v in zip(terms.tolist(), (WEIGHT * value).tolist(), strict=True)]
-    wanted = spark.createDataFrame(items, "row long, term int, value float")
-    found = some.mapInArrow(weigh, "row long, term int, value float")
-    entries = materialize(found.unionByName(wanted), "svd-entries", compact=True)
-    known = entries.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("last")).where((F.col("n") > 1) | (F.col("last") >= len(places)))
-    got = randomised_svd(entries.join(known.select("term"), "term"), len(places) + len(passages), min(RANK, len(places) + len(passages))).toArrow()
-    release(some)
-    release(entries)
-    shared.destroy()
-    active = got["term"].to_numpy()
+    made = [_unit_row(term_hashes(p.words), idf) for p in passages]  # QUERY_BLOCK passages or one item at a time
+    active = np.unique(np.concatenate([t for t, _ in made]))
     where = np.zeros(BUCKETS, dtype=np.int32)
     where[active] = np.arange(1, len(active) + 1)
+    items = [(k, t, v) for k, (terms, value) in enumerate(made) for t, v in zip((where[terms] - 1).tolist(), (WEIGHT * value).tolist(), strict=True)]
+    entries = hashed.sparkSession.createDataFrame(items, "row long, term int, value float")
+    more = passage_products(hashed, where, idf, SAMPLE_DOCS / max(1, count), len(active))
+    got = randomised_svd(entries, len(passages), RANK, terms=len(active), more=more).toArrow()
     basis = np.frombuffer(b"".join(got["vector"].to_pylist()), dtype=np.float32).reshape(len(active), -1)
     latent = np.zeros((len(active) + 1, basis.shape[1]), dtype=np.float32)
-    latent[1:] = basis * idf[active][:, None]
+    latent[1 + got["term"].to_numpy()] = basis * idf[active[got["term"].to_numpy()]][:, None]
     return where, latent
 
 
@@ -304,7 +391,7 @@ def _matcher(docs: DataFrame, passages: list[Passage], idf: np.ndarray, where: n
 
     long, short = (bound > 0) & (floor == 0), floor > 0
     parts = ([(p.item, p.words, p.answer) for p in passages], idf, where, latent, query, np.where(long, bound, np.inf), np.where(short, floor, np.inf), most(query[long], bound[long]), most(query[short], floor[short]))
-    shared = docs.sparkSession.sparkContext.broadcast(parts)  # bounded by QUERY_BLOCK, RANK, SAMPLE_DOCS
+    shared = docs.sparkSession.sparkContext.broadcast(parts)  # bounded by QUERY_BLOCK, TERMS, RANK
     ready: list = []
 
     def match(texts: list[str | None]) -> list[tuple]:
@@ -321,24 +408,32 @@ def _matcher(docs: DataFrame, passages: list[Passage], idf: np.ndarray, where: n
     return match
 
 
-def _matchers(docs: DataFrame, benchmark: DataFrame, text: str, doc_id: str, item_id: str, item_text: str) -> Iterator:
+def _matchers(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str) -> Iterator:
     """One matcher after the other for blocks of benchmark passages; an item is in one block."""
-    idf, block = None, []
+    hashed, block, held = None, [], set()
 
     def made():
-        nonlocal idf
-        idf = inverse_frequencies(docs, text) if idf is None else idf
-        return _matcher(docs, list(block), idf, *_space(docs, block, idf, text, doc_id))
+        nonlocal hashed, idf, count
+        if hashed is None:
+            hashed = hashed_texts(docs, text)
+            idf, count = inverse_frequencies(hashed)
+        return _matcher(docs, list(block), idf, *_space(hashed, count, block, idf))
 
+    idf = count = None
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).dropDuplicates().orderBy("i", "t")
     for r in items.toLocalIterator():
         more = passages_of(r.i, r.t)
-        if block and len(block) + len(more) > QUERY_BLOCK:
+        new = {w for p in more for w in p.masks}
+        if block and (len(block) + len(more) > QUERY_BLOCK or len(held | new) > TERMS):
             yield made()
             block.clear()
+            held.clear()
         block.extend(more)
+        held |= new
     if block:
-        yield made()
+        last = made()
+        release(hashed)
+        yield last
 
 
 def _tf_idf(hashes: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -356,11 +451,18 @@ def _scan(row: int, words: list[bytes], targets, square, where, latent, query, b
     able, able_short, weight = sums if single else (x[:-1] + x[1:] for x in sums)
     norm = np.sqrt(weight)
     open_ = np.flatnonzero((able >= norm) | (able_short >= 1))
+    if not len(open_):
+        return
     best: dict = {}
+    # words without a vector add nothing; the first of each block stays so that no block is empty
+    held = places > 0
+    held[starts] = True
+    ends = np.cumsum(np.add.reduceat(held, starts, dtype=np.int64)).tolist()
+    places = places[held]
     for a in range(0, len(open_), 256):  # some passages at a time, so memory is bounded
         some = open_[a : a + 256]
         blocks = np.unique(some if single else np.concatenate([some, some + 1]))
-        spans = [places[b * BLOCK : (b + 1) * BLOCK] for b in blocks]
+        spans = [places[ends[b - 1] if b else 0 : ends[b]] for b in blocks.tolist()]
         cuts = np.cumsum([0, *map(len, spans[:-1])])
         vectors = np.add.reduceat(latent[np.concatenate(spans)], cuts, axis=0)
         at = np.searchsorted(blocks, some)
@@ -405,7 +507,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
         return narrow.mapInArrow(run, shape)
 
     hits = last = None
-    for match in _matchers(docs, benchmark, text, doc_id, item_id, item_text):
+    for match in _matchers(docs, benchmark, text, item_id, item_text):
         if last is not None:  # only one block's vectors are held at a time
             done = materialize(last, "contaminated", compact=True)
             hits = done if hits is None else hits.unionByName(done)
@@ -434,7 +536,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         return frame.mapInArrow(run, docs.schema)
 
     kept, last = docs, None
-    for match in _matchers(docs, benchmark, text, doc_id, "item_id", "text"):
+    for match in _matchers(docs, benchmark, text, "item_id", "text"):
         if last is not None:
             kept = materialize(cleared(kept, last), "cleared")
         last = match

@@ -96,6 +96,44 @@ def test_recall_against_exact_search(spark, planted, monkeypatch):
     assert got <= want and len(got) >= 0.9 * len(want) > 30
 
 
+def test_the_space_is_fit_on_every_passage(spark, planted, monkeypatch):
+    monkeypatch.setattr(D, "SAMPLE_DOCS", 50)  # fewer than documents
+    monkeypatch.setattr(D, "RANK", 24)
+    monkeypatch.setattr(D, "SPAN", 16)
+    monkeypatch.setattr(D, "CELLS", 20_000)  # several passes
+    monkeypatch.setattr(D, "SOME_WORDS", 5000)
+    rng = random.Random(3)
+    texts = [r.text for r in planted[0].collect()] + ["", None, "one", "so so so " * 40, " ".join(rng.choice("abc") for _ in range(100))]
+    items = [p for k, r in enumerate(planted[1].collect()[:20]) for p in D.passages_of(k, r.text + " so so a b")]
+    hashed = D.hashed_texts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    idf, count = D.inverse_frequencies(hashed)
+    where, latent = D._space(hashed, count, items, idf)
+    active = np.flatnonzero(where)
+    rows = []
+    for t in texts:
+        hashes = D.term_hashes(D.words_of(t or ""))
+        for a in range(0, max(len(hashes) - D.BLOCK, min(len(hashes), 1)), D.BLOCK):
+            rows.append(hashes[a : a + 2 * D.BLOCK])
+
+    def dense(hashes):
+        row = np.bincount(hashes, minlength=D.BUCKETS) * idf.astype(np.float64)
+        return (row / np.linalg.norm(row))[active]
+
+    assert len(rows) == count > len(texts)
+    every, mine = np.array([dense(r) for r in rows]), np.array([dense(D.term_hashes(p.words)) for p in items])
+    want = 50 / count * every.T @ every
+    got = np.zeros_like(want)
+    for r in D.passage_products(hashed, where, idf, 50 / count, len(active)).collect():
+        a = r["at"] * 16
+        part = np.frombuffer(r.part, dtype=np.float32).reshape(-1, len(active) - a)
+        got[a : a + len(part), a:] += part
+    assert np.allclose(got + got.T, want, atol=1e-5)
+    want += D.WEIGHT**2 * mine.T @ mine
+    basis = latent[where[active]] / idf[active][:, None]
+    assert np.allclose(basis.T @ basis, np.eye(24), atol=1e-3)
+    assert np.trace(basis.T @ want @ basis) > 0.99 * np.linalg.eigvalsh(want)[-24:].sum()
+
+
 def test_short_items_are_found_in_long_texts(spark):
     rng = random.Random(8)
     vocabulary = [words(rng, 1) for _ in range(2000)]
