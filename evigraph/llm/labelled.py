@@ -1,4 +1,4 @@
-"""Bounded, reproducible training samples from a table of labels."""
+"""Training rows from a table of labels: all of them, or a bounded, reproducible sample."""
 
 from __future__ import annotations
 
@@ -15,18 +15,21 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int) -> DataFrame:
-    """``(doc_id, text, y)`` of at most ``limit`` labelled documents that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, target: str, limit: int | None) -> DataFrame:
+    """``(doc_id, text, y)`` of the labelled documents that are not held out, at most ``limit`` if it is given.
 
-    The sample is the ``limit`` smallest hashes of doc_id, so it does not depend on how the
+    A sample is the ``limit`` smallest hashes of doc_id, so it does not depend on how the
     tables are laid out. A document labelled twice takes the larger label; a repeated id
     gives one text.
     """
     marks = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     marks = marks.groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
-    sample = hash_sample(marks, ["doc_id"], limit)  # so the broadcast below has ``limit`` rows at most
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("doc_id", "text", "y")
+    if limit is None:
+        texts, sample = texts.where(~held_out()), marks
+    else:
+        sample = F.broadcast(hash_sample(marks, ["doc_id"], limit))  # ``limit`` rows at most
+    return texts.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit_in_one_task(sample: DataFrame, features: Callable, shape: str, fit: Callable) -> bytes | None:

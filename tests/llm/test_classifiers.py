@@ -87,6 +87,44 @@ def test_training_learns_a_pure_interaction(spark):
         assert np.mean([(r.score >= 0.5) == r.toxic for r in rows if r.held == part]) > 0.95
 
 
+def test_training_takes_every_labelled_row(spark, monkeypatch):
+    import zlib
+
+    for name, value in (("PIECE", 64), ("PAIR_CELLS", 300), ("HELD_BYTES", 0), ("STEPS", 4)):  # all sums are made by tasks, in pieces
+        monkeypatch.setattr(toxicity, name, value)
+    rng = random.Random(5)
+    vocabulary = [words(rng, 1) for _ in range(80)]
+    texts, marks = [], []
+    for i in range(14_000):
+        a, b, c = (rng.random() < 0.5 for _ in range(3))
+        texts.append(" ".join(rng.sample(vocabulary, 4) + ["zzz"] * a + ["qqq"] * b + ["ggg"] * (c and i % 50 == 0)))
+        marks.append(int(a == b or (c and i % 50 == 0)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    machine = toxicity.train(docs, spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int"))
+    usable = [i for i in range(14_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    found = [toxicity.text_words(texts[i]) for i in usable]
+    rows = [np.array(sorted({f for w in ws for f in toxicity.word_features(w)})) for ws in found]
+    stems = [np.array(sorted({toxicity.stem_feature(w) for w in ws})) for ws in found]
+    y = np.array([float(marks[i]) for i in usable])
+    want = toxicity.fit_machine(rows, y, stems)
+    assert len(usable) > 9000 and {toxicity.stem_feature(w) for w in ("zzz", "qqq", "ggg")} <= set(want.active)
+    assert set(machine.active) == set(want.active) and machine.bias == pytest.approx(want.bias, abs=1e-3)
+    for f, k in want.active.items():
+        at = machine.active[f]
+        assert machine.weights[at] == pytest.approx(want.weights[k], abs=1e-3) and np.allclose(machine.vectors[at], want.vectors[k], atol=1e-3)
+    # the pairs, one by one
+    left = y - y.mean()
+    have = {f: np.array([f in set(s.tolist()) for s in stems]) for f in {f for s in stems for f in s.tolist()}}
+    clear = set()
+    for f, g in itertools.combinations(have, 2):
+        some = left[have[f] & have[g]]
+        if abs(some.sum()) >= toxicity.PAIR_EVIDENCE and abs(some.sum()) >= toxicity.PAIR_Z * np.sqrt((some**2).sum()):
+            clear |= {f, g}
+    data = toxicity.Held(toxicity._rows(rows, stems, y, np.ones(len(y))))
+    names = np.unique(np.concatenate(rows))
+    assert len(clear) > 2 and set(toxicity.paired_terms(data, names, names[:0], np.array([np.log(y.mean() / (1 - y.mean()))])).tolist()) == clear
+
+
 def test_op3_equals_a_slow_scorer(corpus):
     docs, labels = corpus
     machine = toxicity.train(docs, labels)
