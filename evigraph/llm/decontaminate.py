@@ -45,11 +45,11 @@ SAMPLE_DOCS = 2048
 #: Terms in one range of the products of columns, and pieces in which sums over the ranges are made.
 SPAN, SUMS = 64, 8
 #: Products that a task adds up at a time: more of them take several passes over the hashed texts.
-CELLS = 1 << 24
+CELLS = 1 << 23
 BLOCK = 24
 QUERY_BLOCK, TERMS = 1024, 8192
 #: Words whose products are made at a time.
-SOME_WORDS = 1 << 17
+SOME_WORDS = 1 << 15
 ITEM_WORDS, PASSAGE_WORDS, SHORT_WORDS, LEAST_WORDS = 96, 64, 16, 5
 COSINE, CONTAINED = 0.25, 0.45
 LCS_SURE, LCS_LEAST, ANSWER = 0.8, 0.6, 0.6
@@ -185,20 +185,29 @@ class ColumnProducts:
     """
 
     def __init__(self, first: int, end: int, terms: int) -> None:
-        self.first, self.end, self.sums = first, end, np.zeros((end - first, terms - first))
+        self.first, self.end, self.whole = first, end, first == 0 and end == terms
+        widths = terms - np.arange(first, end)
+        ends = np.cumsum(widths)
+        # a column and the later ones lie one after the other: their places are start + later column
+        self.starts, self.terms = ends - widths - np.arange(first, end), terms
+        self.sums = np.zeros(int(ends[-1]))
 
     def add(self, a: np.ndarray, b: np.ndarray, products: np.ndarray) -> None:
         low, high = np.minimum(a, b), np.maximum(a, b)
-        if self.first or self.end < self.first + self.sums.shape[1]:
+        if not self.whole:
             some = (low >= self.first) & (low < self.end)
-            low, high, products = low[some] - self.first, high[some] - self.first, products[some]
-        np.add.at(self.sums.ravel(), low * self.sums.shape[1] + high, products)
+            low, high, products = low[some] - self.first, high[some], products[some]
+        np.add.at(self.sums, self.starts[low] + high, products)
 
     def parts(self) -> Iterator[pa.RecordBatch]:
-        for k in range(0, self.end - self.first, SPAN):
-            part = self.sums[k : k + SPAN, k:].astype(np.float32)
+        for k in range(self.first, self.end, SPAN):
+            here = range(k, min(self.end, k + SPAN))
+            part = np.zeros((len(here), self.terms - k), dtype=np.float32)
+            for i, c in enumerate(here):
+                at = self.starts[c - self.first]
+                part[i, i:] = self.sums[at + c : at + self.terms]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([(self.first + k) // SPAN], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([k // SPAN], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["at", "part"])
 
 
 def add_passages(texts: list[np.ndarray], where: np.ndarray, idf: np.ndarray, weight: float, to: ColumnProducts) -> None:
@@ -242,12 +251,17 @@ def add_passages(texts: list[np.ndarray], where: np.ndarray, idf: np.ndarray, we
 
 
 def _passes(terms: int) -> Iterator[tuple[int, int]]:
-    """Ranges of columns whose products fit a task."""
-    first = 0
-    while first < terms:
-        end = min(terms, first + max(1, CELLS // (terms - first) // SPAN) * SPAN)
+    """Ranges of columns, each with at most ``CELLS`` products or ``SPAN`` columns."""
+    first = end = cells = 0
+    while end < terms:
+        after = min(terms, end + SPAN)
+        more = sum(range(terms - after + 1, terms - end + 1))
+        if end > first and cells + more > CELLS:
+            yield first, end
+            first, cells = end, 0
+        end, cells = after, cells + more
+    if end > first:
         yield first, end
-        first = end
 
 
 def passage_products(hashed: DataFrame, where: np.ndarray, idf: np.ndarray, weight: float, terms: int) -> DataFrame:
