@@ -310,7 +310,13 @@ def entry_products(entries: DataFrame, terms: int) -> DataFrame:
 
 
 def randomised_svd(entries: DataFrame, rows: int, rank: int, seed: int = 5, terms: int | None = None, more: DataFrame | None = None) -> DataFrame:
-    """``(term, vector)``: leading right singular vectors of the matrix ``(row, term, value)``.
+    """``(term, vector)``: the vectors of ``leading_vectors`` as rows."""
+    found = leading_vectors(entries, rows, rank, seed, terms, more)
+    return entries.sparkSession.createDataFrame(pa.table({"term": pa.array(range(len(found)), pa.int32()), "vector": pa.array([v.tobytes() for v in found], pa.binary())}))
+
+
+def leading_vectors(entries: DataFrame, rows: int, rank: int, seed: int = 5, terms: int | None = None, more: DataFrame | None = None) -> np.ndarray:
+    """Leading right singular vectors of the matrix ``(row, term, value)``, one row for each term.
 
     ``rows`` rows are given as entries, a bounded number; of any number of others ``more`` has the
     column products. A range finder with ``POWER`` power rounds on the side of the terms,
@@ -344,10 +350,12 @@ def randomised_svd(entries: DataFrame, rows: int, rank: int, seed: int = 5, term
                     total[here.start :] += half.T @ y[here]
             yield pa.RecordBatch.from_arrays([pa.array(range(SUMS), pa.int32()), pa.array([total[x].tobytes() for x in slices], pa.binary())], names=["at", "part"])
 
-        total = np.zeros(y.shape, dtype=np.float32)
-        for r in ranges.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").collect():  # SUMS rows
-            total[slices[r["at"]]] = np.frombuffer(r.part, dtype=np.float32).reshape(-1, y.shape[1])
+        # SUMS rows, which come as Arrow batches: the driver's JVM passes them on without making rows or pickles of them
+        got = ranges.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").toArrow()
         shared.destroy()
+        total = np.zeros(y.shape, dtype=np.float32)
+        for at, part in zip(got["at"].to_pylist(), got["part"], strict=True):
+            total[slices[at]] = np.frombuffer(part.as_buffer(), dtype=np.float32).reshape(-1, y.shape[1])
         return total
 
     y = np.random.default_rng(seed).standard_normal((terms, min(terms, rank + OVERSAMPLE) if more is not None else min(rows, terms, rank + OVERSAMPLE)), dtype=np.float32)
@@ -357,8 +365,7 @@ def randomised_svd(entries: DataFrame, rows: int, rank: int, seed: int = 5, term
     values = values / 2
     release(ranges)
     order = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-6 * max(float(values.max()), 1e-30)]
-    found = y @ vectors[:, order].astype(np.float32)
-    return spark.createDataFrame(pa.table({"term": pa.array(range(terms), pa.int32()), "vector": pa.array([v.tobytes() for v in found], pa.binary())}))
+    return y @ vectors[:, order].astype(np.float32)
 
 
 def _space(hashed: DataFrame, count: int, passages: list[Passage], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -373,10 +380,9 @@ def _space(hashed: DataFrame, count: int, passages: list[Passage], idf: np.ndarr
     items = [(k, t, v) for k, (terms, value) in enumerate(made) for t, v in zip((where[terms] - 1).tolist(), (WEIGHT * value).tolist(), strict=True)]
     entries = hashed.sparkSession.createDataFrame(items, "row long, term int, value float")
     more = passage_products(hashed, where, idf, SAMPLE_DOCS / max(1, count), len(active))
-    got = randomised_svd(entries, len(passages), RANK, terms=len(active), more=more).toArrow()
-    basis = np.frombuffer(b"".join(got["vector"].to_pylist()), dtype=np.float32).reshape(len(active), -1)
+    basis = leading_vectors(entries, len(passages), RANK, terms=len(active), more=more)
     latent = np.zeros((len(active) + 1, basis.shape[1]), dtype=np.float32)
-    latent[1 + got["term"].to_numpy()] = basis * idf[active[got["term"].to_numpy()]][:, None]
+    latent[1:] = basis * idf[active][:, None]
     return where, latent
 
 

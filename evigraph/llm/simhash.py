@@ -261,8 +261,8 @@ def _sets(wanted: DataFrame, named: DataFrame) -> DataFrame:
     slot = F.pmod("a", F.lit(WANTED_BITS))
     words = wanted.select(F.expr(f"pmod(a, {WANTED_BITS})").alias("slot")).groupBy(F.expr("slot div 32").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 AS int)))").alias("bits"))
     bitmap = np.zeros(WANTED_BITS // 32, dtype=np.uint32)
-    for r in words.collect():  # WANTED_BITS / 32 words at most
-        bitmap[r.w] = r.bits
+    got = words.toArrow()  # WANTED_BITS / 32 words at most
+    bitmap[got["w"].to_numpy()] = got["bits"].to_numpy()
     shared = named.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

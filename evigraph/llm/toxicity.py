@@ -14,8 +14,9 @@ what that fit leaves unexplained, and both the weighted terms and the members of
 with evidence get weights and vectors, fitted together. Most features stay exactly zero, so
 scoring a document looks at few. The fit takes every labelled document that is not held out:
 tasks add up counts, slopes and sums over pairs where the documents are, and documents that
-hold the same of the chosen features and have the same label are one row with their number. The
-driver sees tables as long as the features. Scoring covers every whole text.
+hold the same of the chosen features and have the same label are one row with their number. Tables
+as long as the features lie on the executors in pieces; the driver sees what each piece selects,
+at most a number for each feature that enough documents hold. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -133,6 +134,17 @@ def _places(names: np.ndarray) -> np.ndarray:
     return where
 
 
+def _labelled(cells: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Cells of a table and their whole numbers of less than 2^40, eight bytes for both."""
+    return cells.astype(np.int64) << 40 | np.rint(numbers).astype(np.int64)
+
+
+def _unlabelled(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells in order, and the numbers, of ``_labelled``."""
+    packed = np.sort(packed)
+    return packed >> 40, packed & (1 << 40) - 1
+
+
 #: Makes a table of sums, and the function that adds some documents to it.
 Work = Callable[[], tuple[np.ndarray, Callable[[Rows], None]]]
 
@@ -165,7 +177,7 @@ class Dealt:
 
     def sums(self, work: Work, length: int, select: Callable | None = None) -> np.ndarray:
         """The table of ``length`` columns added up over all documents, or what ``select`` finds in its pieces."""
-        few = length <= PIECE // 4 and select is None
+        few = length <= PIECE // 4
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, add = work()
@@ -190,14 +202,14 @@ class Dealt:
         shape = "piece int, deep int, part binary"
         # the table is as large however many documents a task has: one task for each core
         parts = self.frame.coalesce(self.frame.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, shape)
-        got = (parts if few else parts.groupBy("piece").applyInArrow(add_up, shape)).collect()  # as long as the features, or what was selected
-        if select is not None:
-            return np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(r.part, dtype=np.int64) for r in got]])
-        total = np.zeros((got[0].deep if got else 1, length))
+        got = (parts if few else parts.groupBy("piece").applyInArrow(add_up, shape)).toArrow().to_pylist()  # a short table, or what was selected
+        if select is not None and not (few and got):
+            return np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(r["part"], dtype=np.int64) for r in got]])
+        total = np.zeros((got[0]["deep"] if got else 1, length))
         for r in got:
-            part = np.frombuffer(r.part).reshape(r.deep, -1)
-            total[:, r.piece * PIECE : r.piece * PIECE + part.shape[1]] += part
-        return total
+            part = np.frombuffer(r["part"]).reshape(r["deep"], -1)
+            total[:, r["piece"] * PIECE : r["piece"] * PIECE + part.shape[1]] += part
+        return total if select is None else select(0, total)
 
     def only(self, names: np.ndarray) -> Held | Dealt:
         """The documents with the features ``names`` alone, equal ones as one row."""
@@ -213,9 +225,9 @@ class Dealt:
         size = some.agg(F.sum(F.length("x") + 32)).first()[0] or 0
         if size > HELD_BYTES:
             return Dealt(some)
-        rows = some.orderBy("x", "y").collect()  # HELD_BYTES at most
+        rows = some.orderBy("x", "y").toArrow()  # HELD_BYTES at most
         release(some)
-        return Held(_rows([np.frombuffer(r.x, dtype="<i4") for r in rows], [np.zeros(0)] * len(rows), [r.y for r in rows], [r.times for r in rows]))
+        return Held(_rows([np.frombuffer(x, dtype="<i4") for x in rows["x"].to_pylist()], [np.zeros(0)] * len(rows), rows["y"].to_pylist(), rows["times"].to_pylist()))
 
     def release(self) -> None:
         release(self.frame)
@@ -290,13 +302,19 @@ def _lasso(data: Held | Dealt, names: np.ndarray, base: float, penalty: np.ndarr
 
             return total, add
 
-        slope = data.sums(work, len(names) + 1)[0, 1:]
-        slope[active] = 0
-        excess = np.abs(slope) - penalty
-        fresh = np.flatnonzero(excess > 0)
+        bound = np.append(np.inf, penalty)
+        bound[1 + active] = np.inf
+
+        def most(offset: int, total: np.ndarray, bound: np.ndarray = bound) -> np.ndarray:
+            excess = np.abs(total[0]) - bound[offset : offset + total.shape[1]]
+            cells = np.flatnonzero(excess > 0)
+            cells = cells[np.argsort(-np.round(excess[cells], 3), kind="stable")[:grow]]
+            return _labelled(offset + cells, 1000 * excess[cells])
+
+        fresh, excess = _unlabelled(data.sums(work, len(names) + 1, most))
         if not len(fresh):
             break
-        fresh = fresh[np.argsort(-np.round(excess[fresh], 3), kind="stable")[:grow]]  # equal columns in order, however sums were rounded
+        fresh = fresh[np.argsort(-excess, kind="stable")[:grow]] - 1  # equal columns in order, however sums were rounded
         active, w = np.concatenate([active, fresh]), np.concatenate([w[:-1], np.zeros(len(fresh)), w[-1:]])
         some, cost = data.only(names[active]), np.append(penalty[active], 0)
         loss, slopes, curve = _curve(some, w)
@@ -347,8 +365,12 @@ def paired_terms(data: Held | Dealt, names: np.ndarray, features: np.ndarray, we
 
         return total, add
 
-    for_, against, docs = data.sums(single, len(names) + 1)[:, 1:]
-    able = names[(np.maximum(for_, against) >= least * (1 - 1e-6)) & (docs >= least_z * least_z)]
+    def enough(offset: int, total: np.ndarray) -> np.ndarray:
+        for_, against, docs = total
+        cells = offset + np.flatnonzero((np.maximum(for_, against) >= least * (1 - 1e-6)) & (docs >= least_z * least_z))
+        return cells[cells > 0]
+
+    able = names[np.sort(data.sums(single, len(names) + 1, enough)) - 1]
     found, first = np.zeros(len(able), dtype=bool), 0
     while first < len(able) - 1:
         wide = len(able) - first
@@ -393,10 +415,13 @@ def _fit(data: Held | Dealt, seed: int) -> FactorizationMachine:
 
         return total, add
 
-    counts = data.sums(count, BUCKETS + 2)[0]
-    docs, toxic = counts[BUCKETS:].tolist()
-    names = np.flatnonzero(counts[:BUCKETS] >= MIN_DOCS)
-    counts = counts[names]
+    def held(offset: int, total: np.ndarray) -> np.ndarray:
+        cells = np.flatnonzero((total[0] >= MIN_DOCS) | (offset + np.arange(total.shape[1]) >= BUCKETS))
+        return _labelled(offset + cells, total[0, cells])
+
+    cells, counts = _unlabelled(data.sums(count, BUCKETS + 2, held))
+    docs, toxic = (float(counts[cells == k].sum()) for k in (BUCKETS, BUCKETS + 1))
+    names, counts = cells[cells < BUCKETS], counts[cells < BUCKETS]
     base = float(np.clip(toxic / docs if docs else 0.5, 1e-3, 1 - 1e-3))
     bias = float(np.log(base / (1 - base)))
     if not len(names) or toxic in (0, docs):

@@ -87,6 +87,22 @@ def test_training_learns_a_pure_interaction(spark):
         assert np.mean([(r.score >= 0.5) == r.toxic for r in rows if r.held == part]) > 0.95
 
 
+def test_no_table_as_long_as_the_features_comes_to_the_driver(spark, monkeypatch):
+    got, sums = [], toxicity.Dealt.sums
+
+    def seen(self, work, length, select=None):
+        out = sums(self, work, length, select)
+        got.append((length, out.size))
+        return out
+
+    monkeypatch.setattr(toxicity, "PIECE", 4096)
+    monkeypatch.setattr(toxicity.Dealt, "sums", seen)
+    machine = toxicity.train(*exclusive_or(spark, n=600))
+    long = [n for length, n in got if length > toxicity.PIECE // 4]
+    assert machine.active and max(length for length, _ in got) > toxicity.BUCKETS
+    assert len(long) > 2 and max(long) < toxicity.BUCKETS // 100  # 1,502 words
+
+
 def test_training_takes_every_labelled_row(spark, monkeypatch):
     import zlib
 

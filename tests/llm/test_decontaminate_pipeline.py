@@ -74,6 +74,19 @@ def test_svd_finds_the_leading_directions(spark, monkeypatch):
     assert np.linalg.norm(a - a @ basis @ basis.T) / np.linalg.norm(a) < 0.01
 
 
+def test_vectors_come_to_the_driver_once_and_as_arrow(spark, planted, monkeypatch):
+    docs, items, _ = planted
+    passages = [p for r in items.collect() for p in D.passages_of(r.item_id, r.text)]
+    hashed = D.hashed_texts(docs)
+    idf, count = D.inverse_frequencies(hashed)
+    frame, made, as_rows = type(docs), [], []
+    create, collect = type(spark).createDataFrame, frame.collect
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: made.append(list(getattr(data, "column_names", []))) or create(self, data, *a, **b))
+    monkeypatch.setattr(frame, "collect", lambda self: as_rows.append([c for c, kind in self.dtypes if kind == "binary"]) or collect(self))
+    where, latent = D._space(hashed, count, passages, idf)
+    assert where.max() + 1 == len(latent) > 100 and not any(made) and not any(as_rows)
+
+
 def exact_search(docs, items):
     """Every pair that the checks accept, over all passages of all texts, without any candidate search."""
     found = set()
