@@ -1,7 +1,9 @@
 import dataclasses
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,63 @@ def test_centrality(spark, toy):
     assert sum(ranks.values()) == pytest.approx(1) and max(ranks, key=ranks.get) == "PER-0" and ranks["PER-6"] == 0
 
 
+def brandes(n, pairs):
+    near, out = {i: [] for i in range(n)}, [0.0] * n
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    for s in range(n):
+        depth, paths, order, delta = {s: 0}, {s: 1.0}, [s], {}
+        for x in order:
+            for y in near[x]:
+                if y not in depth:
+                    depth[y], paths[y] = depth[x] + 1, 0.0
+                    order.append(y)
+                if depth[y] == depth[x] + 1:
+                    paths[y] += paths[x]
+        for y in reversed(order[1:]):
+            out[y] += delta.get(y, 0.0)
+            for x in near[y]:
+                if depth[x] == depth[y] - 1:
+                    delta[x] = delta.get(x, 0.0) + paths[x] / paths[y] * (1 + delta.get(y, 0.0))
+    return [v / ((n - 1) * (n - 2)) for v in out]
+
+
+def test_betweenness_takes_every_source_at_any_size(spark):
+    rng, n = random.Random(3), 640
+    ids = [f"PER-{i}" for i in range(n)]
+    pairs = sorted({(rng.randrange(600), rng.randrange(600)) for _ in range(900)} | {(600 + i, 601 + i) for i in range(30)} | {(1, 0)})
+    pairs = [(a, b) for a, b in pairs if a != b]
+    edges = edges_of(spark, [("communicated", ids[a], ids[b]) for a, b in pairs])
+    got = {r.node: r.betweenness for r in analytics.betweenness(entities_of(spark, ids), edges).collect()}
+    assert got == pytest.approx(dict(zip(ids, brandes(n, edges_in(edges, ids)), strict=True)))
+
+
+def edges_in(edges, ids):
+    at = {x: i for i, x in enumerate(ids)}
+    return [(at[r.src], at[r.dst]) for r in edges.select("src", "dst").collect()]
+
+
+@pytest.mark.parametrize("cells", [1, 50, 4000])
+def test_betweenness_in_slices(cells):
+    rng, n = random.Random(4), 90
+    pairs = [(a, b) for a, b in ((rng.randrange(80), rng.randrange(80)) for _ in range(130)) if a != b] + [(80 + i, 81 + i) for i in range(6)]
+    ways = Counter(x for a, b in pairs for x in ((a, b), (b, a)))
+    rows = sorted(ways)
+    start = np.concatenate([[0], np.cumsum(np.bincount([a for a, _ in rows], minlength=n))])
+    found = analytics.dependencies(start, np.array([b for _, b in rows]), np.array([ways[r] for r in rows]), np.arange(n), cells)
+    assert list(found / ((n - 1) * (n - 2))) == pytest.approx(brandes(n, pairs))
+
+
+def test_betweenness_of_graphs_too_large_to_copy(spark, monkeypatch):
+    monkeypatch.setattr(analytics, "JOINED_ROWS", 40)
+    ids = [f"PER-{i}" for i in range(10)]
+    pairs = [(0, 1), (1, 2), (2, 3), (3, 0), (3, 4), (4, 5), (2, 5), (7, 8)]
+    edges = edges_of(spark, [("communicated", ids[a], ids[b]) for a, b in pairs])
+    got = {r.node: r.betweenness for r in analytics.betweenness(entities_of(spark, ids), edges, copied=0).collect()}
+    assert got == pytest.approx(dict(zip(ids, brandes(10, pairs), strict=True)))
+
+
 def test_communities(spark):
     ids = [f"PER-{i}" for i in range(8)]
     pairs = [*itertools.combinations(range(4), 2), *itertools.combinations(range(4, 8), 2), (3, 4)]
