@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,29 @@ def test_lists_of_every_kind_are_normalized_and_scored(spark):
     want = {"names": name_value("robert whitlock", "robert j whitlock"), "firms": max(org_value("acme", "meridian"), 0.5), "mails": 1.0, "places": 1.0, "days": 0.9}
     assert {k: v for k, v in found[0, 1].items() if k != "notes"} == pytest.approx(want) and 0.7 < found[0, 1]["notes"] < 1
     assert "names" not in found[0, 2] and "firms" not in found[0, 2] and found[0, 2]["notes"] == 1.0 and found[0, 2]["mails"] == 0.0
+
+
+def test_lists_compare_each_distinct_pair_of_values_once(spark):
+    from evigraph.functions import similarity
+
+    words = ["anna", "bert", "carla", "dora", "emil", "frida"]
+    lists = [[words[(k * step) % 6] for step in (1, 2, 5)] for k in range(30)] + [["zz"], None]
+    records = spark.createDataFrame([(k, v) for k, v in enumerate(lists)], "pos long, names array<string>")
+    pairs = spark.createDataFrame([(a, b) for a in range(32) for b in range(a + 1, 32)], "l long, r long")
+    compared = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        compared.add(len(a))
+        return pd.Series([similarity.name_value(x, y) / 2 for x, y in zip(a, b)])
+
+    similarity.register_comparator("counted", counted)
+    try:
+        for kind, best in (("name", similarity.name_value), ("counted", lambda x, y: similarity.name_value(x, y) / 2)):
+            entity = EntityType("thing", {"names": PropertyDef("names", kind, 0.9, 0.05, 0.9, multi=True)})
+            got = {(r.l, r.r): r.s_names for r in scoring.similarities(records, pairs, entity).collect()}
+            want = {(a, b): lists[a] and lists[b] and max(best(x, y) for x in lists[a] for y in lists[b]) for a in range(32) for b in range(a + 1, 32)}
+            assert got == pytest.approx(want)
+    finally:
+        del similarity.COMPARATORS["counted"]
+    assert 0 < compared.value <= 49
