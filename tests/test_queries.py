@@ -47,3 +47,20 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_intake_writes_its_file_in_parts_in_order(spark, monkeypatch):
+    from evigraph import queries as Q
+
+    written = []
+    ingest = Q.adapters.ingest
+    monkeypatch.setattr(Q.adapters, "ingest", lambda s, folder, o: (written.append(s.read.text(f"{folder}/*").inputFiles()), ingest(s, folder, o))[1])
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = {r.key: r.pos for r in Q.queries()["intake_comms"](spark, "/root/testdata/sf0.001").where("kind = 'communicated'").collect()}
+    finally:
+        spark.conf.unset(coalesce)
+    assert len(written[0]) > 1
+    keys = [f"comms:V{r.event_id}" for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_id % 4 > 0").orderBy("event_id").collect()]
+    assert got == {k: i for i, k in enumerate(keys)}
