@@ -146,3 +146,16 @@ def test_lists_compare_each_distinct_pair_of_values_once(spark):
     finally:
         del similarity.COMPARATORS["counted"]
     assert 0 < compared.value <= 49
+
+
+def test_merge_tallies_long_values_by_digest(spark):
+    from evigraph.operators.merge import merged_values
+
+    a, b = "x" * 50 + "a", "x" * 50 + "b"
+    records = spark.createDataFrame([(0, b, [b, "s"]), (1, a, [a, b]), (2, a, None), (3, b, ["s"]), (4, None, [])], "pos long, text string, tags array<string>")
+    clusters = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)], "pos long, cluster long")
+    entity = EntityType("thing", {"text": PropertyDef("text", "raw"), "tags": PropertyDef("tags", "raw", multi=True)})
+    found = merged_values(records, clusters, entity)
+    assert {(r.cluster, r.prop): r["values"] for r in found.collect()} == {(0, "text"): [a], (0, "tags"): [b, "s", a], (3, "text"): [b], (3, "tags"): ["s"]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cluster" in plan and not any("value#" in x for x in plan.splitlines() if "Exchange hashpartitioning(cluster" in x)
